@@ -87,7 +87,7 @@ def host_scores_from_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_bands(spark: SparkSession, folder: str) -> DataFrame:
     return _scores(spark, folder).groupBy(
-        scoring.risk_band(F.col("score"), NIGHT).alias("fascia"), "score").agg(F.count(F.lit(1)).alias("hosts"))
+        scoring.risk_band("score", NIGHT).alias("fascia"), "score").agg(F.count(F.lit(1)).alias("hosts"))
 
 
 def network_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,22 +121,23 @@ def m_fail_diagnostic(spark: SparkSession, folder: str) -> DataFrame:
 
 def dominant_cause(spark: SparkSession, folder: str) -> DataFrame:
     judged = flow_metrics.m_fail(tables(spark, folder), NIGHT, only_fired=False)
-    return judged.select("host_ip", verdicts.dominant_cause(F.col("breakdown")).alias("d")).select("host_ip", "d.*")
+    return judged.select("host_ip", verdicts.dominant_cause("breakdown").alias("d")).select(
+        "host_ip", "d.causa", "d.conteggio")
 
 
 def scan_code_labels(spark: SparkSession, folder: str) -> DataFrame:
     alerts = tables(spark, folder).host_alerts.filter("alert_id = 15")
     return (
-        alerts.select(F.explode(payload.scan_codes(F.col("json"))).alias("code"))
+        alerts.select(F.explode(payload.scan_codes("json")).alias("code"))
         .groupBy("code").agg(F.count(F.lit(1)).alias("alerts"))
-        .select("code", text.scan_label(F.col("code")).alias("label"), "alerts")
+        .select("code", text.scan_label("code").alias("label"), "alerts")
     )
 
 
 def novelty(spark: SparkSession, folder: str) -> DataFrame:
     flows = tables(spark, folder).flows.filter(baseline.is_subject(NIGHT))
     novel = service_novelty(flows, NIGHT, "IPV4_SRC_ADDR", "FIRST_SEEN", "SRV_PORT")
-    return novel.select(ip.ipv4_to_string(F.col("IPV4_SRC_ADDR")).alias("host_ip"),
+    return novel.select(ip.ipv4_to_string("IPV4_SRC_ADDR").alias("host_ip"),
                         F.col("SRV_PORT").alias("srv_port"))
 
 
@@ -161,21 +162,21 @@ def network_membership(spark: SparkSession, folder: str) -> DataFrame:
         tables(spark, folder).flows, "flows",
         baseline.is_subject(NIGHT).alias("subject"),
         baseline.goes_outside(NIGHT).alias("outside"),
-        ip.is_local_text(F.col("CLI_IP"), NIGHT).alias("local_text"),
+        ip.is_local_text("CLI_IP", NIGHT).alias("local_text"),
     )
 
 
 def address_conversion(spark: SparkSession, folder: str) -> DataFrame:
-    address = F.col("IPV4_SRC_ADDR")
+    address = "IPV4_SRC_ADDR"
     return _counted(
         tables(spark, folder).flows, "flows",
-        address.alias("address"), ip.ipv4_to_string(address).alias("text"),
-        ip.ipv4_to_long(F.col("CLI_IP")).alias("parsed"),
+        F.col(address).alias("address"), ip.ipv4_to_string(address).alias("text"),
+        ip.ipv4_to_long("CLI_IP").alias("parsed"),
     )
 
 
 def time_categories(spark: SparkSession, folder: str) -> DataFrame:
-    ts = F.col("FIRST_SEEN")
+    ts = "FIRST_SEEN"
     hours = _counted(
         tables(spark, folder).flows, "flows",
         (F.weekday(ts) + 1).alias("giorno"), F.hour(ts).alias("ora"),
@@ -186,7 +187,7 @@ def time_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def time_windows(spark: SparkSession, folder: str) -> DataFrame:
-    p, ts = replace(ODD_MINUTE, alert_window_minutes=60), F.col("FIRST_SEEN")
+    p = replace(ODD_MINUTE, alert_window_minutes=60)
     windows = {
         "correnti": timewin.current_window(p),
         "storici": timewin.history_window(p),
@@ -194,14 +195,14 @@ def time_windows(spark: SparkSession, folder: str) -> DataFrame:
         "senza_limite": (timewin.alert_window(p)[0], None),
     }
     return tables(spark, folder).flows.agg(*[
-        F.count_if(timewin.between(ts, *window)).alias(name) for name, window in windows.items()])
+        F.count_if(timewin.between("FIRST_SEEN", window)).alias(name) for name, window in windows.items()])
 
 
 def risk_bits(spark: SparkSession, folder: str) -> DataFrame:
-    bitmap, p = F.col("FLOW_RISK"), NIGHT
+    bitmap, p = "FLOW_RISK", NIGHT
     return _counted(
         tables(spark, folder).flows, "flows",
-        bitmap.alias("bitmap"),
+        F.col(bitmap).alias("bitmap"),
         risk.has_any_bit(bitmap, p.bit_nonstandard_port).alias("nonstandard_port"),
         risk.has_any_bit(bitmap, p.bit_missing_sni).alias("missing_sni"),
         risk.has_any_bit(bitmap, *p.cert_bits).alias("certificate"),
@@ -210,7 +211,7 @@ def risk_bits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alert_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    inputs, json = tables(spark, folder), F.col("json")
+    inputs, json = tables(spark, folder), "json"
 
     def kind(df: DataFrame, name: str, value: Column) -> DataFrame:
         return _counted(df, "alerts", F.lit(name).alias("kind"), value.alias("valore"))
@@ -228,11 +229,11 @@ def scan_severity(spark: SparkSession, folder: str) -> DataFrame:
     from wardline.operators.host_alerts import alerted_hosts
 
     alerts = alerted_hosts(tables(spark, folder).host_alerts, NIGHT, None, NIGHT.scan_alert_id)
-    penalty, category = verdicts.scan_severity(F.col("codes"), NIGHT)
+    rating = verdicts.scan_severity("codes", NIGHT)
     return _counted(
-        alerts.withColumn("codes", payload.scan_codes(F.col("json"))), "alerts",
+        alerts.withColumn("codes", payload.scan_codes("json")), "alerts",
         F.array_join(F.col("codes").cast("array<string>"), "|").alias("codici"),
-        penalty.alias("penalita"), category.alias("categoria"),
+        rating["penalty"].alias("penalita"), rating["category"].alias("categoria"),
     )
 
 
@@ -267,8 +268,8 @@ def contextual_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 def byte_labels(spark: SparkSession, folder: str) -> DataFrame:
     sums = tables(spark, folder).flows.groupBy("IPV4_SRC_ADDR").agg(F.sum("SRC2DST_BYTES").alias("bytes"))
-    return sums.select(ip.ipv4_to_string(F.col("IPV4_SRC_ADDR")).alias("host_ip"), "bytes",
-                       text.format_bytes(F.col("bytes")).alias("label"))
+    return sums.select(ip.ipv4_to_string("IPV4_SRC_ADDR").alias("host_ip"), "bytes",
+                       text.format_bytes("bytes").alias("label"))
 
 
 def queries() -> dict[str, Query]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from ipaddress import IPv4Network, collapse_addresses
 
 from pyspark.sql import Column
@@ -11,72 +10,68 @@ from pyspark.sql import functions as F
 
 from wardline.params import RiskParams
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4_PATTERN = f"^{_OCTET}([.]{_OCTET}){{3}}$"
 
 
-def ipv4_to_string(address: Column) -> Column:
-    return F.concat_ws(".", *[
-        F.shiftright(address, shift).bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)
-    ])
+def ipv4_to_string(address: str) -> Column:
+    octets = ", ".join(f"shiftright({address}, {shift}) & 255" for shift in (24, 16, 8, 0))
+    return F.expr(f"concat_ws('.', {octets})")
 
 
-def ipv4_to_long(text: Column) -> Column:
+def ipv4_to_long(text: str) -> Column:
     """Dotted quad to number; NULL for anything else, IPv6 included."""
-    octets = [F.split_part(text, F.lit("."), F.lit(i)).cast("long") for i in range(1, 5)]
-    number = reduce(lambda acc, octet: acc * 256 + octet, octets)
-    return F.when(text.rlike(IPV4_PATTERN), number)
+    number = " + ".join(
+        f"CAST(split_part({text}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5))
+    return F.expr(f"CASE WHEN {text} RLIKE '{IPV4_PATTERN}' THEN {number} END")
 
 
 def _collapsed(networks: Iterable[str]) -> list[IPv4Network]:
     return list(collapse_addresses(IPv4Network(n) for n in networks))
 
 
-def _any(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def in_networks(address: Column, networks: Iterable[str]) -> Column:
+def in_networks(address: str, networks: Iterable[str]) -> Column:
     """Numeric address inside any of the networks.
 
     Written as ranges rather than masks: range comparisons reach the parquet
     reader, where they can skip row groups.
     """
-    return _any(
-        address.between(int(net.network_address), int(net.broadcast_address))
+    return F.expr(" OR ".join(
+        f"{address} BETWEEN {int(net.network_address)} AND {int(net.broadcast_address)}"
         for net in _collapsed(networks)
-    )
+    ))
 
 
-def text_in_networks(text: Column, networks: Iterable[str]) -> Column:
+def text_in_networks(text: str, networks: Iterable[str]) -> Column:
     """Dotted-quad text inside any of the networks.
 
     The whole octets of a network are a plain prefix test, which the parquet
     reader can use; the pattern check then runs only on rows that passed it.
     """
-    def member(net: IPv4Network) -> Column:
+    def member(net: IPv4Network) -> str:
         octets = str(net.network_address).split(".")
         whole, bits = divmod(net.prefixlen, 8)
         if whole == 4:
-            return text == str(net.network_address)
-        condition = text.startswith("".join(f"{o}." for o in octets[:whole]))
+            return f"{text} = '{net.network_address}'"
+        condition = f"startswith({text}, '{''.join(f'{o}.' for o in octets[:whole])}')"
         if bits:
             low = int(octets[whole])
-            octet = F.split_part(text, F.lit("."), F.lit(whole + 1)).try_cast("int")
-            condition = condition & octet.between(low, low + 2 ** (8 - bits) - 1)
-        return condition
+            condition += (f" AND try_cast(split_part({text}, '.', {whole + 1}) AS INT)"
+                          f" BETWEEN {low} AND {low + 2 ** (8 - bits) - 1}")
+        return f"({condition})"
 
-    return _any(member(net) for net in _collapsed(networks)) & text.rlike(IPV4_PATTERN)
+    members = " OR ".join(member(net) for net in _collapsed(networks))
+    return F.expr(f"({members}) AND {text} RLIKE '{IPV4_PATTERN}'")
 
 
-def is_local(address: Column, p: RiskParams) -> Column:
+def is_local(address: str, p: RiskParams) -> Column:
     return in_networks(address, p.local_networks)
 
 
-def is_local_text(text: Column, p: RiskParams) -> Column:
+def is_local_text(text: str, p: RiskParams) -> Column:
     return text_in_networks(text, p.local_networks)
 
 
-def is_external(address: Column, p: RiskParams) -> Column:
+def is_external(address: str, p: RiskParams) -> Column:
     """Neither a local network nor one that is never an outside destination."""
     return ~in_networks(address, (*p.local_networks, *p.never_external))

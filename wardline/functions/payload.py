@@ -4,15 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def scan_codes(json: Column) -> Column:
-    codes = F.from_json(json, "alerts array<int>")["alerts"]
-    return F.coalesce(codes, F.array().cast("array<int>"))
+def scan_codes(json: str) -> Column:
+    return F.expr(f"coalesce(from_json({json}, 'alerts array<int>').alerts, CAST(array() AS array<int>))")
 
 
-def contacted_port(json: Column) -> Column:
-    return F.coalesce(F.get_json_object(json, "$.port").try_cast("int"), F.lit(0))
+def contacted_port(json: str) -> Column:
+    return F.expr(f"coalesce(try_cast(get_json_object({json}, '$.port') AS INT), 0)")
 
 
-def detected_protocol(json: Column) -> Column:
+def detected_protocol(json: str) -> Column:
     # The key holds a dot, hence the bracket form of the path.
-    return F.coalesce(F.get_json_object(json, "$.alerts['30']['proto.ndpi']"), F.lit(""))
+    return F.expr(f"""coalesce(get_json_object({json}, "$.alerts['30']['proto.ndpi']"), '')""")

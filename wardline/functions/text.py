@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,28 +25,27 @@ CAUSE_LABELS = {
 }
 
 
-def scan_label(code: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in SCAN_LABELS.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(known, code),
-        F.concat(F.lit("Codice sconosciuto ("), code.cast("string"), F.lit(")")),
-    )
+def _label(code: str) -> str:
+    known = " ".join(f"WHEN {number} THEN '{label}'" for number, label in SCAN_LABELS.items())
+    return f"CASE {code} {known} ELSE concat('Codice sconosciuto (', {code}, ')') END"
+
+
+def scan_label(code: str) -> Column:
+    return F.expr(_label(code))
 
 
-def scan_labels(codes: Column) -> Column:
-    return F.transform(codes, scan_label)
+def scan_labels(codes: str) -> Column:
+    return F.expr(f"transform({codes}, code -> {_label('code')})")
 
 
-def fixed_decimals(value: Column, digits: int) -> Column:
+def decimals(value: str, digits: int) -> str:
     # Round half to even first: the formatter alone would round ties up.
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    return f"format_string('%.{digits}f', bround({value}, {digits}))"
 
 
-def format_bytes(count: Column) -> Column:
+def format_bytes(count: str) -> Column:
     units = (("GB", 1024 ** 3), ("MB", 1024 ** 2), ("KB", 1024))
-    scaled = [
-        (count >= size, F.concat(fixed_decimals(count / size, 2), F.lit(f" {unit}")))
-        for unit, size in units
-    ]
-    chain = reduce(lambda acc, branch: acc.when(*branch), scaled[1:], F.when(*scaled[0]))
-    return chain.otherwise(F.concat(count.cast("string"), F.lit(" B")))
+    branches = " ".join(
+        f"WHEN {count} >= {size} THEN concat({decimals(f'{count} / {size}', 2)}, ' {unit}')"
+        for unit, size in units)
+    return F.expr(f"CASE {branches} ELSE concat({count}, ' B') END")

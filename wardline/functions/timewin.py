@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,54 +16,65 @@ WEEKEND = "weekend"
 WORKING = "feriale_lavorativo"
 OFF_HOURS = "feriale_fuoriorario"
 
+Window = tuple[int, int | None]  # [start, end) in epoch seconds; None is an open end
+
+
+def instant(epoch: int) -> str:
+    return f"timestamp_seconds({epoch})"
+
 
-def instant(epoch: int) -> Column:
-    return F.timestamp_seconds(F.lit(epoch))
+def _inside(ts: str, window: Window) -> str:
+    start, end = window
+    lower = f"{ts} >= {instant(start)}"
+    return f"({lower})" if end is None else f"({lower} AND {ts} < {instant(end)})"
 
 
-def between(ts: Column, start: int, end: int | None) -> Column:
-    """start <= ts < end, in epoch seconds; an open end when end is None."""
-    inside = ts >= instant(start)
-    return inside if end is None else inside & (ts < instant(end))
+def _day_inside(window: Window) -> str:
+    start, end = window
+    lower = f"{PARTITION_COLUMN} >= to_date({instant(start)})"
+    return f"({lower})" if end is None else f"({lower} AND {PARTITION_COLUMN} <= to_date({instant(end)}))"
 
 
-def in_windows(df: DataFrame, ts: str, *windows: tuple[int, int | None]) -> DataFrame:
+def between(ts: str, window: Window) -> Column:
+    return F.expr(_inside(ts, window))
+
+
+def in_windows(df: DataFrame, ts: str, *windows: Window) -> DataFrame:
     """Rows inside any of the windows.
 
     A table laid out by day carries the date as a partition column; naming it in
     the predicate lets Spark skip whole days, which it cannot derive from the
     timestamp alone.
     """
-    any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
     if PARTITION_COLUMN in df.columns:
-        day = F.col(PARTITION_COLUMN)
-        df = df.filter(any_of(
-            day >= F.to_date(instant(start)) if end is None
-            else day.between(F.to_date(instant(start)), F.to_date(instant(end)))
-            for start, end in windows
-        ))
-    return df.filter(any_of(between(F.col(ts), start, end) for start, end in windows))
+        df = df.filter(" OR ".join(map(_day_inside, windows)))
+    return df.filter(" OR ".join(_inside(ts, window) for window in windows))
 
 
-def _local(ts: Column, p: RiskParams) -> Column:
-    return ts if p.local_tz == "UTC" else F.from_utc_timestamp(ts, p.local_tz)
+def _local(ts: str, p: RiskParams) -> str:
+    return ts if p.local_tz == "UTC" else f"from_utc_timestamp({ts}, '{p.local_tz}')"
 
 
-def hour_bucket(ts: Column, p: RiskParams) -> Column:
+def hour_bucket(ts: str, p: RiskParams) -> Column:
     """Start of the local hour of ts, as an instant."""
     if p.local_tz == "UTC":
-        return F.date_trunc("hour", ts)
-    into_hour = F.pmod(F.unix_seconds(_local(ts, p)), F.lit(HOUR))
-    return F.timestamp_seconds(F.unix_seconds(ts) - into_hour)
+        return F.expr(f"date_trunc('hour', {ts})")
+    return F.expr(
+        f"timestamp_seconds(unix_seconds({ts}) - pmod(unix_seconds({_local(ts, p)}), {HOUR}))")
 
 
-def time_category(ts: Column, p: RiskParams) -> Column:
+def time_category(ts: str, p: RiskParams) -> Column:
     local = _local(ts, p)
-    return (
-        F.when((F.weekday(local) + 1).isin(*p.weekend_days), WEEKEND)
-        .when(F.hour(local).between(*p.working_hours), WORKING)
-        .otherwise(OFF_HOURS)
-    )
+    days = ", ".join(map(str, p.weekend_days))
+    first, last = p.working_hours
+    return F.expr(
+        f"CASE WHEN weekday({local}) + 1 IN ({days}) THEN '{WEEKEND}'"
+        f" WHEN hour({local}) BETWEEN {first} AND {last} THEN '{WORKING}'"
+        f" ELSE '{OFF_HOURS}' END")
+
+
+def reference_category(p: RiskParams) -> Column:
+    return time_category(instant(p.flows_epoch), p)
 
 
 def current_window(p: RiskParams) -> tuple[int, int]:
@@ -80,8 +89,10 @@ def alert_window(p: RiskParams, minutes: int | None = None) -> tuple[int, int]:
     return p.flows_epoch - _minutes(p, minutes) * 60, p.flows_epoch
 
 
-def host_alert_window(p: RiskParams, minutes: int | None = None) -> tuple[int, int]:
-    return p.alerts_epoch - _minutes(p, minutes) * 60, p.alerts_epoch
+def host_alert_window(p: RiskParams, minutes: int | None = None) -> Window:
+    """Host alerts have no upper bound unless a past instant is replayed."""
+    start = p.alerts_epoch - _minutes(p, minutes) * 60
+    return start, p.alerts_epoch if p.replays_alerts else None
 
 
 def _minutes(p: RiskParams, minutes: int | None) -> int:

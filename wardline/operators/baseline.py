@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 
 from wardline.functions.ip import ipv4_to_string, is_external, is_local
 from wardline.functions.risk import failure_causes, is_failed
+from wardline.functions.text import CAUSE_LABELS
 from wardline.functions.timewin import (
-    alert_window, between, current_window, history_window, hour_bucket, in_windows, instant,
-    time_category,
+    alert_window, between, current_window, history_window, hour_bucket, in_windows,
+    reference_category, time_category,
 )
 from wardline.params import RiskParams
 
 MEASURES = ("bytes_out", "flows", "failed")
 
 
-def robust_z(value: Column, median: Column, mad: Column) -> Column:
+def robust_z(value: str, median: str, mad: str) -> str:
     """Signed distance from the median in units of MAD; NULL when the MAD is zero."""
-    return F.try_divide(value - median, mad)
+    return f"try_divide({value} - {median}, {mad})"
 
 
-def median_of(values: Column) -> Column:
+def median_of(values: str) -> str:
     """Median of an array of numbers, interpolated between the middle two."""
-    ordered, size = F.array_sort(values), F.size(values)
-    low = F.get(ordered, ((size - 1) / 2).cast("int"))
-    high = F.get(ordered, (size / 2).cast("int"))
-    return (low + high) / 2.0
+    ordered, size = f"sort_array({values})", f"size({values})"
+    return f"(get({ordered}, ({size} - 1) DIV 2) + get({ordered}, {size} DIV 2)) / 2.0D"
 
 
-def mad_of(values: Column, median: Column) -> Column:
-    return median_of(F.transform(values, lambda v: F.abs(v - median)))
+def mad_of(values: str, median: str) -> Column:
+    """Median distance from the median, over an array of numbers."""
+    return F.expr(median_of(f"transform({values}, v -> abs(v - {median}))"))
 
 
 def contextual_baseline(samples: DataFrame, key: str, values: dict[str, Column],
@@ -50,30 +50,30 @@ def contextual_baseline(samples: DataFrame, key: str, values: dict[str, Column],
         for name in values
         for column in (
             F.col(f"{name}_mediana"),
-            mad_of(F.col(f"{name}_list"), F.col(f"{name}_mediana")).alias(f"{name}_mad"),
+            mad_of(f"{name}_list", f"{name}_mediana").alias(f"{name}_mad"),
         )
     ])
 
 
-def same_category(ts: Column, p: RiskParams) -> Column:
+def same_category(ts: str, p: RiskParams) -> Column:
     """ts falls into the time category of the reference instant."""
-    return time_category(ts, p) == time_category(instant(p.flows_epoch), p)
+    return time_category(ts, p) == reference_category(p)
 
 
 def is_subject(p: RiskParams) -> Column:
     """The flow has an IPv4 source inside the monitored networks."""
-    return (F.col("IPV4_SRC_ADDR") != 0) & is_local(F.col("IPV4_SRC_ADDR"), p)
+    return F.expr("IPV4_SRC_ADDR != 0") & is_local("IPV4_SRC_ADDR", p)
 
 
 def goes_outside(p: RiskParams) -> Column:
-    return is_external(F.col("IPV4_DST_ADDR"), p)
+    return is_external("IPV4_DST_ADDR", p)
 
 
 def hourly_profile(flows: DataFrame, p: RiskParams) -> DataFrame:
     """Bytes, flows and failed flows per host and hour, over all given flows."""
     return (
         flows.filter(is_subject(p) & goes_outside(p))
-        .groupBy(F.col("IPV4_SRC_ADDR").alias("host"), hour_bucket(F.col("FIRST_SEEN"), p).alias("bucket"))
+        .groupBy(F.col("IPV4_SRC_ADDR").alias("host"), hour_bucket("FIRST_SEEN", p).alias("bucket"))
         .agg(
             F.sum("SRC2DST_BYTES").alias("bytes_out"),
             F.count(F.lit(1)).alias("flows"),
@@ -85,7 +85,7 @@ def hourly_profile(flows: DataFrame, p: RiskParams) -> DataFrame:
 def host_hour(flows: DataFrame, p: RiskParams) -> DataFrame:
     """The hourly samples of the baseline: history window, category of the reference."""
     past = in_windows(flows, "FIRST_SEEN", history_window(p))
-    return hourly_profile(past.filter(same_category(F.col("FIRST_SEEN"), p)), p)
+    return hourly_profile(past.filter(same_category("FIRST_SEEN", p)), p)
 
 
 def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool,
@@ -97,32 +97,34 @@ def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool,
     a host that owns most flows still shuffles just a few rows per task.
     `past_filter` narrows the history rows further.
     """
-    ts = F.col("FIRST_SEEN")
-    past = between(ts, *history_window(p)) & same_category(ts, p)
+    ts = "FIRST_SEEN"
+    past = between(ts, history_window(p)) & same_category(ts, p)
     if past_filter is not None:
         past = past & past_filter
+    recent = between(ts, alert_window(p)) if with_reputation else F.lit(False)
     kept = (
         flows.filter(is_subject(p))
-        .withColumn("now", goes_outside(p) & between(ts, *current_window(p)))
-        .withColumn("past", goes_outside(p) & past)
+        .withColumns({"outside": goes_outside(p), "recent": recent})
+        .withColumns({
+            "now": F.col("outside") & between(ts, current_window(p)),
+            "past": F.col("outside") & past,
+            "srv": F.expr("recent AND IS_SRV_BLACKLISTED = 1"),
+            "cli": F.expr("recent AND IS_CLI_BLACKLISTED = 1"),
+            "failing": is_failed(p),
+            "hour": hour_bucket(ts, p),
+            **failure_causes(p),
+        })
+        .filter("now OR past OR srv OR cli")
     )
-    now, past = F.col("now"), F.col("past")
-    srv = cli = F.lit(False)
-    if with_reputation:
-        recent = between(ts, *alert_window(p))
-        srv = recent & (F.col("IS_SRV_BLACKLISTED") == 1)
-        cli = recent & (F.col("IS_CLI_BLACKLISTED") == 1)
-    counted = now | past
-    return kept.filter(counted | srv | cli).groupBy(
-        F.col("IPV4_SRC_ADDR").alias("host"),
-        F.when(past, hour_bucket(ts, p)).alias("bucket"),
+    return kept.groupBy(
+        F.col("IPV4_SRC_ADDR").alias("host"), F.expr("CASE WHEN past THEN hour END AS bucket")
     ).agg(
-        F.sum(F.when(counted, F.col("SRC2DST_BYTES"))).alias("bytes_out"),
-        F.count_if(counted).alias("flows"),
-        F.count_if(counted & is_failed(p)).alias("failed"),
-        *[F.count_if(now & hit).alias(f"n_{name}") for name, hit in failure_causes(p).items()],
-        F.count_if(srv).alias("hits_srv"),
-        F.count_if(cli).alias("hits_cli"),
+        F.expr("sum(CASE WHEN now OR past THEN SRC2DST_BYTES END) AS bytes_out"),
+        F.expr("count_if(now OR past) AS flows"),
+        F.expr("count_if((now OR past) AND failing) AS failed"),
+        *[F.expr(f"count_if(now AND {cause}) AS n_{cause}") for cause in CAUSE_LABELS],
+        F.expr("count_if(srv) AS hits_srv"),
+        F.expr("count_if(cli) AS hits_cli"),
     )
 
 
@@ -137,26 +139,26 @@ def host_slices(flows: DataFrame, p: RiskParams, with_reputation: bool = False)
 
 def summarise(slices: DataFrame, p: RiskParams) -> DataFrame:
     """One row per host: current sums next to the baseline, without a join."""
-    past, now = F.col("bucket").isNotNull(), F.col("bucket").isNull()
-    volume = F.when(past, F.col("bytes_out"))
-    rate = F.when(past, F.col("failed").cast("double") / F.col("flows"))
+    volume = "CASE WHEN bucket IS NOT NULL THEN bytes_out END"
+    rate = "CASE WHEN bucket IS NOT NULL THEN CAST(failed AS DOUBLE) / flows END"
     current = {"v_out": "bytes_out", "n_totali": "flows", "n_falliti": "failed"}
-    always = [c for c in slices.columns if c not in ("host", "bucket", *MEASURES)]
+    always = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
     grouped = slices.groupBy("host").agg(
-        *[F.coalesce(F.sum(F.when(now, F.col(c))), F.lit(0)).alias(name)
+        *[F.expr(f"coalesce(sum(CASE WHEN bucket IS NULL THEN {c} END), 0) AS {name}")
           for name, c in current.items()],
-        *[F.sum(c).alias(c) for c in always],
-        F.count("bucket").alias("bucket_baseline"),
-        F.median(volume).alias("v_mediana"),
-        F.collect_list(volume).alias("v_list"),
-        F.median(rate).alias("r_mediana"),
-        F.collect_list(rate).alias("r_list"),
+        *[F.expr(f"sum({c}) AS {c}") for c in always],
+        F.expr("count(bucket) AS bucket_baseline"),
+        F.expr(f"median({volume}) AS v_mediana"),
+        F.expr(f"collect_list({volume}) AS v_list"),
+        F.expr(f"median({rate}) AS r_mediana"),
+        F.expr(f"collect_list({rate}) AS r_list"),
     )
     return grouped.select(
-        ipv4_to_string(F.col("host")).alias("host_ip"),
+        ipv4_to_string("host").alias("host_ip"),
         *current, *always, "bucket_baseline",
-        "v_mediana", mad_of(F.col("v_list"), F.col("v_mediana")).alias("v_mad"),
-        "r_mediana", mad_of(F.col("r_list"), F.col("r_mediana")).alias("r_mad"),
+        "v_mediana", mad_of("v_list", "v_mediana").alias("v_mad"),
+        "r_mediana", mad_of("r_list", "r_mediana").alias("r_mad"),
+        reference_category(p).alias("categoria_temporale"),
     )
 
 

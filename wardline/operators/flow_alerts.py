@@ -18,12 +18,12 @@ from wardline.params import RiskParams
 def alerted_subjects(alerts: DataFrame, p: RiskParams, minutes: int | None, *bits: int) -> DataFrame:
     """Alerted flows of local clients in the window with any of the risk bits."""
     return in_windows(alerts, "tstamp", alert_window(p, minutes)).filter(
-        has_any_bit(F.col("flow_risk_bitmap"), *bits) & is_local_text(F.col("cli_ip"), p)
+        has_any_bit("flow_risk_bitmap", *bits) & is_local_text("cli_ip", p)
     ).withColumnRenamed("cli_ip", "host_ip")
 
 
 def hits(name: str, bit: int) -> Column:
-    return F.count_if(has_any_bit(F.col("flow_risk_bitmap"), bit)).alias(name)
+    return F.count_if(has_any_bit("flow_risk_bitmap", bit)).alias(name)
 
 
 def certificate_hits(p: RiskParams) -> list[Column]:
@@ -52,7 +52,7 @@ def tls_hits(alerts: DataFrame, p: RiskParams) -> DataFrame:
 def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
     """Per host: flows on an unusual port, distinct (protocol, port), the frequent ones as text."""
     combination = F.struct(
-        detected_protocol(F.col("json")).alias("proto"), F.col("srv_port").alias("port"))
+        detected_protocol("json").alias("proto"), F.col("srv_port").alias("port"))
     pairs = (
         alerted_subjects(alerts, p, minutes, p.bit_nonstandard_port)
         .groupBy("host_ip", combination.alias("combination"))
@@ -61,8 +61,7 @@ def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) ->
     totals = pairs.groupBy("host_ip").agg(
         F.sum("hits").alias("hits_totali"), F.count(F.lit(1)).alias("combinazioni_distinte"))
     listed = frequent_items(pairs, "combination", p.list_limit, "combinations")
-    labels = F.transform("combinations", lambda c: F.concat(
-        c["proto"], F.lit(" su porta "), c["port"].cast("string")))
+    labels = F.expr("transform(combinations, c -> concat(c.proto, ' su porta ', c.port))")
     return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
 
 

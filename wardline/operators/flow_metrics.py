@@ -15,13 +15,13 @@ from wardline.params import RiskParams
 
 def blacklist_hits(flows: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
     """Per host: flows to a blacklisted server and flows flagged on the client side."""
-    srv, cli = F.col("IS_SRV_BLACKLISTED") == 1, F.col("IS_CLI_BLACKLISTED") == 1
+    srv, cli = F.expr("IS_SRV_BLACKLISTED = 1"), F.expr("IS_CLI_BLACKLISTED = 1")
     return (
         in_windows(flows, "FIRST_SEEN", alert_window(p, minutes))
         .filter(is_subject(p) & (srv | cli))
         .groupBy("IPV4_SRC_ADDR")
         .agg(F.count_if(srv).alias("hits_srv"), F.count_if(cli).alias("hits_cli"))
-        .withColumn("host_ip", ipv4_to_string(F.col("IPV4_SRC_ADDR")))
+        .withColumn("host_ip", ipv4_to_string("IPV4_SRC_ADDR"))
     )
 
 

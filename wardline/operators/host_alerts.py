@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.ip import is_local_text
 from wardline.functions.payload import contacted_port, scan_codes
+from wardline.functions.text import scan_labels
 from wardline.functions.timewin import host_alert_window, in_windows
 from wardline.inputs import MetricInputs
 from wardline.operators import verdicts
@@ -17,7 +18,7 @@ from wardline.params import RiskParams
 def alerted_hosts(alerts: DataFrame, p: RiskParams, minutes: int | None, alert_id: int) -> DataFrame:
     """Alerts of one kind raised on local hosts in the window."""
     return in_windows(alerts, "tstamp", host_alert_window(p, minutes)).filter(
-        (F.col("alert_id") == alert_id) & is_local_text(F.col("ip"), p)
+        F.expr(f"alert_id = {alert_id}") & is_local_text("ip", p)
     ).withColumnRenamed("ip", "host_ip")
 
 
@@ -25,7 +26,7 @@ def ports(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
     """Per host: alerts on new server ports, distinct ports, the frequent ones."""
     pairs = (
         alerted_hosts(alerts, p, minutes, p.srv_alert_id)
-        .groupBy("host_ip", contacted_port(F.col("json")).alias("port"))
+        .groupBy("host_ip", contacted_port("json").alias("port"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )
     totals = pairs.groupBy("host_ip").agg(
@@ -41,11 +42,10 @@ def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
     """Per attacking host: scan alerts, codes seen, worst penalty and its category."""
     groups = (
         alerted_hosts(alerts, p, minutes, p.scan_alert_id)
-        .groupBy("host_ip", scan_codes(F.col("json")).alias("codes"))
+        .groupBy("host_ip", scan_codes("json").alias("codes"))
         .agg(F.count(F.lit(1)).alias("alerts"))
     )
-    penalty, category = verdicts.scan_severity(F.col("codes"), p)
-    attacks = groups.withColumn("penalty", penalty).withColumn("category", category).filter("penalty > 0")
+    attacks = groups.withColumns(verdicts.scan_severity("codes", p)).filter("penalty > 0")
     totals = attacks.groupBy("host_ip").agg(
         F.sum("alerts").alias("hits_totali"),
         F.max("penalty").alias("penalita_massima"),
@@ -56,9 +56,9 @@ def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
         .groupBy("host_ip", "code").agg(F.sum("alerts").alias("hits"))
     )
     listed = frequent_items(seen, "code", p.list_limit, "codici_rilevati")
-    none = F.array().cast("array<int>")
-    return totals.join(listed, "host_ip", "left").withColumn(
-        "codici_rilevati", F.coalesce("codici_rilevati", none))
+    found = totals.join(listed, "host_ip", "left").withColumn(
+        "codici_rilevati", F.expr("coalesce(codici_rilevati, CAST(array() AS array<int>))"))
+    return found.withColumn("codici_descritti", scan_labels("codici_rilevati"))
 
 
 def m_scan(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:

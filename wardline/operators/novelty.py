@@ -18,13 +18,12 @@ def service_novelty(df: DataFrame, p: RiskParams, host: str, ts: str, item: str)
     """
     start, _ = history_window(p)
     now_start, end = current_window(p)
-    seen = F.col(ts)
     pairs = in_windows(df, ts, (start, end)).groupBy(host, item).agg(
-        F.bool_or(between(seen, now_start, end)).alias("today"),
-        F.bool_or(between(seen, *history_window(p))).alias("before"),
+        F.bool_or(between(ts, (now_start, end))).alias("today"),
+        F.bool_or(between(ts, history_window(p))).alias("before"),
         F.min(ts).alias("first_seen"),
     )
     learned = pairs.groupBy(host).agg(F.min("first_seen").alias("known_since")).filter(
-        F.col("known_since") <= instant(now_start - p.novelty_learning_hours * HOUR))
+        f"known_since <= {instant(now_start - p.novelty_learning_hours * HOUR)}")
     novel = pairs.filter("today AND NOT before").select(host, item)
     return novel.join(learned.select(host), host, "left_semi")

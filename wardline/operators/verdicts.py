@@ -1,7 +1,7 @@
 """The rule of each metric: from the measures of a host to flag, penalty and details.
 
-A rule is a set of column expressions over a frame with one row per host. The
-metrics and the fused scoring plan share them, so a rule exists once.
+A rule is a set of expressions over a frame with one row per host. The metrics
+and the fused scoring plan share them, so a rule exists once.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.text import CAUSE_LABELS, scan_labels
-from wardline.functions.timewin import instant, time_category
+from wardline.functions.text import CAUSE_LABELS
 from wardline.operators.baseline import robust_z
 from wardline.params import RiskParams
 
@@ -33,153 +32,152 @@ NOT_DETAILS = ("host_ip", "timestamp")
 
 @dataclass(frozen=True)
 class Verdict:
+    """All parts are SQL text over the measures; details map names to expressions."""
+
     key: str
-    fired: Column
-    details: tuple[Column, ...]
-    penalty: Column
-    comparable: Column | None = None  # hosts that can be judged at all
+    fired: str
+    details: dict[str, str]
+    penalty: str
+    comparable: str = "true"  # hosts that can be judged at all
+
+    def _select(self, hosts: DataFrame, flag: str, penalty: str) -> DataFrame:
+        return hosts.selectExpr(
+            "host_ip", f"{flag} AS {self.key}",
+            *[f"{expression} AS {name}" for name, expression in self.details.items()],
+            f"{penalty} AS penalita", "current_timestamp() AS timestamp")
 
     def flagged(self, hosts: DataFrame) -> DataFrame:
         """The hosts that fire, in the shape of the metric."""
-        return hosts.filter(self.fired).select(
-            "host_ip", F.lit(1).alias(self.key), *self.details,
-            self.penalty.alias("penalita"), F.current_timestamp().alias("timestamp"))
+        return self._select(hosts.filter(f"({self.comparable}) AND ({self.fired})"), "1", self.penalty)
 
     def compared(self, hosts: DataFrame) -> DataFrame:
         """Every host that can be judged, the flag being 0 or 1."""
-        flag = F.when(self.fired, 1).otherwise(0)
-        return hosts.filter(self.comparable).select(
-            "host_ip", flag.alias(self.key), *self.details,
-            (flag * self.penalty).alias("penalita"), F.current_timestamp().alias("timestamp"))
+        def flag(one: str) -> str:
+            return f"CASE WHEN {self.fired} THEN {one} ELSE 0 END"
 
-    def as_struct(self) -> Column:
+        return self._select(hosts.filter(self.comparable), flag("1"), flag(self.penalty))
+
+    def as_struct(self) -> str:
         """Details and penalty of a firing host, else NULL."""
-        return F.when(self.fired, F.struct(*self.details, self.penalty.alias("penalita"))).alias(self.key)
+        fields = ", ".join(f"'{n}', {e}" for n, e in [*self.details.items(), ("penalita", self.penalty)])
+        return (f"CASE WHEN ({self.comparable}) AND ({self.fired})"
+                f" THEN named_struct({fields}) END AS {self.key}")
 
 
-def reputation(p: RiskParams) -> Verdict:
-    srv, cli = F.col("hits_srv"), F.col("hits_cli")
+def _same(*names: str) -> dict[str, str]:
+    return {name: name for name in names}
 
-    def tiers(persistent, isolated, targeted, rare) -> Column:
-        return (
-            F.when(srv >= p.rep_srv_persistent_from, persistent)
-            .when(srv >= 1, isolated)
-            .when(cli >= p.rep_cli_targeted_from, targeted)
-            .otherwise(rare)
-        )
 
+def _cases(values: tuple, *conditions: str) -> str:
+    """The value of the first condition that holds, else the last value."""
+    shown = [str(v) if isinstance(v, int) else f"'{v}'" for v in values]
+    branches = " ".join(f"WHEN {c} THEN {v}" for c, v in zip(conditions, shown))
+    return f"CASE {branches} ELSE {shown[-1]} END"
+
+
+def reputation(p: RiskParams) -> Verdict:
+    levels = (f"hits_srv >= {p.rep_srv_persistent_from}", "hits_srv >= 1",
+              f"hits_cli >= {p.rep_cli_targeted_from}")
+    scenarios = (REP_PERSISTENT, REP_ISOLATED, REP_TARGETED, REP_RARE)
+    penalties = (p.penalty_rep_srv_persistent, p.penalty_rep_srv,
+                 p.penalty_rep_cli_targeted, p.penalty_rep_cli)
     return Verdict(
         "M_rep",
-        fired=srv + cli > 0,
-        details=(srv, cli, (srv + cli).alias("hits_totali"),
-                 tiers(REP_PERSISTENT, REP_ISOLATED, REP_TARGETED, REP_RARE).alias("scenario")),
-        penalty=tiers(p.penalty_rep_srv_persistent, p.penalty_rep_srv,
-                      p.penalty_rep_cli_targeted, p.penalty_rep_cli),
+        fired="hits_srv + hits_cli > 0",
+        details={**_same("hits_srv", "hits_cli"), "hits_totali": "hits_srv + hits_cli",
+                 "scenario": _cases(scenarios, *levels)},
+        penalty=_cases(penalties, *levels),
     )
 
 
 def certificate(p: RiskParams) -> Verdict:
-    kinds = [F.col("hits_self_signed"), F.col("hits_sha1")]
+    kinds = ["hits_self_signed", "hits_sha1"]
     if p.bit_expired is not None:
-        kinds.insert(1, F.col("hits_expired"))
-    total = sum(kinds[1:], kinds[0])
-    return Verdict("M_cert", fired=total > 0, details=(*kinds, total.alias("hits_totali")),
-                   penalty=F.lit(p.penalty_cert))
+        kinds.insert(1, "hits_expired")
+    total = " + ".join(kinds)
+    return Verdict("M_cert", fired=f"{total} > 0", details={**_same(*kinds), "hits_totali": total},
+                   penalty=str(p.penalty_cert))
 
 
 def missing_sni(p: RiskParams) -> Verdict:
-    hits = F.col("hits_missing")
-    return Verdict("M_sni", fired=hits > 0, details=(hits,), penalty=F.lit(p.penalty_sni))
+    return Verdict("M_sni", fired="hits_missing > 0", details=_same("hits_missing"),
+                   penalty=str(p.penalty_sni))
 
 
 def server_ports(p: RiskParams) -> Verdict:
-    details = ("hits_totali", "porte_distinte", "lista_porte")
-    return Verdict("M_srv", fired=F.col("hits_totali") > 0, details=tuple(map(F.col, details)),
-                   penalty=F.lit(p.penalty_srv))
+    return Verdict("M_srv", fired="hits_totali > 0", penalty=str(p.penalty_srv),
+                   details=_same("hits_totali", "porte_distinte", "lista_porte"))
 
 
 def protocol_mismatch(p: RiskParams) -> Verdict:
-    details = ("hits_totali", "combinazioni_distinte", "lista_mismatch")
-    return Verdict("M_proto", fired=F.col("hits_totali") > 0, details=tuple(map(F.col, details)),
-                   penalty=F.lit(p.penalty_proto))
+    return Verdict("M_proto", fired="hits_totali > 0", penalty=str(p.penalty_proto),
+                   details=_same("hits_totali", "combinazioni_distinte", "lista_mismatch"))
 
 
-def scan_severity(codes: Column, p: RiskParams) -> tuple[Column, Column]:
+def scan_severity(codes: str, p: RiskParams) -> dict[str, Column]:
     """Penalty and category of one scan alert; a victim weighs nothing."""
-    victim = F.array_contains(codes, 1)
-    evasion = F.array_contains(codes, 3) | F.array_contains(codes, 4)
-    syn = F.array_contains(codes, 2)
+    def has(code: int) -> str:
+        return f"array_contains({codes}, {code})"
 
-    def first_of(a, b, c, d) -> Column:
-        return F.when(victim, a).when(evasion, b).when(syn, c).otherwise(d)
-
-    return (
-        first_of(0, p.penalty_scan_evasion, p.penalty_scan_syn, p.penalty_scan_incomplete),
-        first_of(SCAN_VICTIM, SCAN_EVASION, SCAN_SYN, SCAN_INCOMPLETE),
-    )
+    kinds = (has(1), f"{has(3)} OR {has(4)}", has(2))
+    penalties = (0, p.penalty_scan_evasion, p.penalty_scan_syn, p.penalty_scan_incomplete)
+    categories = (SCAN_VICTIM, SCAN_EVASION, SCAN_SYN, SCAN_INCOMPLETE)
+    return {"penalty": F.expr(_cases(penalties, *kinds)), "category": F.expr(_cases(categories, *kinds))}
 
 
 def scan(p: RiskParams) -> Verdict:
-    codes = F.col("codici_rilevati")
-    return Verdict(
-        "M_scan",
-        fired=F.col("penalita_massima") > 0,
-        details=(F.col("hits_totali"), codes, scan_labels(codes).alias("codici_descritti"),
-                 F.col("categoria_dominante")),
-        penalty=F.col("penalita_massima"),
-    )
-
-
-def _category(p: RiskParams) -> Column:
-    return time_category(instant(p.flows_epoch), p).alias("categoria_temporale")
+    return Verdict("M_scan", fired="penalita_massima > 0", penalty="penalita_massima",
+                   details=_same("hits_totali", "codici_rilevati", "codici_descritti", "categoria_dominante"))
 
 
 def volume(p: RiskParams) -> Verdict:
     """Outgoing bytes against the host's own hourly baseline."""
-    out, median, mad = F.col("v_out"), F.col("v_mediana"), F.col("v_mad")
-    mad_eff = F.greatest(mad, median * p.vol_mad_fraction, F.lit(float(p.vol_mad_floor)))
-    z = robust_z(out, median, mad_eff)
-    comparable = (F.col("n_totali") > 0) & (F.col("bucket_baseline") >= p.min_baseline_buckets)
+    mad_eff = f"greatest(v_mad, v_mediana * {p.vol_mad_fraction}D, {p.vol_mad_floor}D)"
+    z = robust_z("v_out", "v_mediana", mad_eff)
     return Verdict(
         "M_vol",
-        comparable=comparable,
-        fired=comparable & (out > p.vol_min_bytes) & (out > median) & (z > p.vol_z),
-        details=(out, median.cast("long").alias("v_mediana"), mad.cast("long").alias("mad"),
-                 mad_eff.cast("long").alias("mad_eff"), z.alias("z_modified"), _category(p),
-                 F.col("bucket_baseline")),
-        penalty=F.lit(p.penalty_vol),
+        comparable=f"n_totali > 0 AND bucket_baseline >= {p.min_baseline_buckets}",
+        fired=f"v_out > {p.vol_min_bytes} AND v_out > v_mediana AND {z} > {p.vol_z}D",
+        details={
+            "v_out": "v_out",
+            "v_mediana": "CAST(v_mediana AS BIGINT)",
+            "mad": "CAST(v_mad AS BIGINT)",
+            "mad_eff": f"CAST({mad_eff} AS BIGINT)",
+            "z_modified": z,
+            **_same("categoria_temporale", "bucket_baseline"),
+        },
+        penalty=str(p.penalty_vol),
     )
 
 
 def failure_rate(p: RiskParams) -> Verdict:
     """Failed share of the current flows against the host's own hourly baseline."""
-    median, mad = F.col("r_mediana"), F.col("r_mad")
-    rate = F.try_divide(F.col("n_falliti").cast("double"), F.col("n_totali"))
-    mad_eff = F.greatest(mad, F.lit(p.fail_mad_floor))
-    z = robust_z(rate, median, mad_eff)
-    comparable = (F.col("n_totali") >= p.fail_min_flows) & (
-        F.col("bucket_baseline") >= p.min_baseline_buckets)
+    rate = "try_divide(CAST(n_falliti AS DOUBLE), n_totali)"
+    mad_eff = f"greatest(r_mad, {p.fail_mad_floor}D)"
+    z = robust_z(rate, "r_mediana", mad_eff)
+    causes = ", ".join(f"'{cause}', n_{cause}" for cause in CAUSE_LABELS)
     return Verdict(
         "M_fail",
-        comparable=comparable,
-        fired=comparable & (rate > p.fail_min_rate) & (rate > median) & (z > p.fail_z),
-        details=(F.col("n_totali"), F.col("n_falliti"), rate.alias("r_corrente"), median,
-                 mad.alias("mad"), mad_eff.alias("mad_eff"), z.alias("z_modified"),
-                 F.col("bucket_baseline").alias("bucket_count"), _category(p),
-                 F.struct(*[F.col(f"n_{cause}").alias(cause) for cause in CAUSE_LABELS])
-                 .alias("breakdown")),
-        penalty=F.lit(p.penalty_fail),
+        comparable=f"n_totali >= {p.fail_min_flows} AND bucket_baseline >= {p.min_baseline_buckets}",
+        fired=f"{rate} > {p.fail_min_rate}D AND {rate} > r_mediana AND {z} > {p.fail_z}D",
+        details={
+            **_same("n_totali", "n_falliti"),
+            "r_corrente": rate,
+            "r_mediana": "r_mediana",
+            "mad": "r_mad",
+            "mad_eff": mad_eff,
+            "z_modified": z,
+            "bucket_count": "bucket_baseline",
+            "categoria_temporale": "categoria_temporale",
+            "breakdown": f"named_struct({causes})",
+        },
+        penalty=str(p.penalty_fail),
     )
 
 
-def dominant_cause(breakdown: Column) -> Column:
+def dominant_cause(breakdown: str) -> Column:
     """Most frequent failure cause, as struct(causa, conteggio); ties go to the first cause."""
-    ranked = F.array_max(F.array(*[
-        F.struct(
-            breakdown[cause].alias("conteggio"),
-            F.lit(-position).alias("precedence"),
-            F.lit(label).alias("causa"),
-        )
-        for position, (cause, label) in enumerate(CAUSE_LABELS.items())
-    ]))
-    return F.struct(ranked["causa"].alias("causa"), ranked["conteggio"].alias("conteggio"))
+    ranked = ", ".join(
+        f"named_struct('conteggio', {breakdown}.{cause}, 'precedence', {-position}, 'causa', '{label}')"
+        for position, (cause, label) in enumerate(CAUSE_LABELS.items()))
+    return F.expr(f"array_max(array({ranked}))")

@@ -18,6 +18,7 @@ class RiskParams:
     # Reference instants (epoch seconds or datetime). None or 0 is "now".
     flows_ref: int | datetime | None = None
     alerts_ref: int | datetime | None = None  # None follows flows_ref
+    open_alerts: bool | None = None  # host alerts without upper bound; None: only when "now"
     local_tz: str = "UTC"  # zone in which hours and weekdays are read
 
     local_networks: tuple[str, ...] = LOCAL_NETWORKS
@@ -94,9 +95,17 @@ class RiskParams:
     def alerts_epoch(self) -> int:
         return self.flows_epoch if self.alerts_ref is None else _epoch(self.alerts_ref)
 
+    @property
+    def replays_alerts(self) -> bool:
+        """The alert reference is a given instant and not "now"."""
+        if self.open_alerts is not None:
+            return not self.open_alerts
+        return bool(self.flows_ref if self.alerts_ref is None else self.alerts_ref)
+
     def pinned(self) -> RiskParams:
         """The same parameters with "now" read once, so that one run sees one instant."""
-        return replace(self, flows_ref=self.flows_epoch, alerts_ref=self.alerts_epoch)
+        return replace(self, flows_ref=self.flows_epoch, alerts_ref=self.alerts_epoch,
+                       open_alerts=not self.replays_alerts)
 
     @property
     def fail_bits(self) -> tuple[int, ...]:

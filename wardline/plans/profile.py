@@ -14,7 +14,7 @@ from wardline import schemas
 from wardline.functions.timewin import (
     HOUR, alert_window, between, current_window, history_window, in_windows,
 )
-from wardline.functions.risk import failure_causes
+from wardline.functions.text import CAUSE_LABELS
 from wardline.operators.baseline import hourly_profile, same_category, slices_of, summarise
 from wardline.params import RiskParams
 
@@ -64,15 +64,14 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
     if with_reputation:
         raw_windows.append(alert_window(p))
     raw = in_windows(flows, "FIRST_SEEN", *raw_windows)
-    in_profile = between(F.col("FIRST_SEEN"), first, last)
-    recent = slices_of(raw, p, with_reputation, past_filter=~in_profile)
-    extra = [*[f"n_{cause}" for cause in failure_causes(p)], "hits_srv", "hits_cli"]
+    not_stored = ~between("FIRST_SEEN", (first, last))
+    recent = slices_of(raw, p, with_reputation, past_filter=not_stored)
+    extra = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
     stored = (
         in_windows(profile, "bucket", (first, last))
-        .filter(same_category(F.col("bucket"), p))
+        .filter(same_category("bucket", p))
         .groupBy("host", "bucket")
         .agg(*[F.sum(c).alias(c) for c in ("bytes_out", "flows", "failed")])
-        .select("host", "bucket", "bytes_out", "flows", "failed",
-                *[F.lit(0).cast("long").alias(c) for c in extra])
+        .selectExpr("host", "bucket", "bytes_out", "flows", "failed", *[f"0L AS {c}" for c in extra])
     )
     return summarise(stored.unionByName(recent), p)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.text import fixed_decimals
+from wardline.functions.text import decimals
 from wardline.inputs import MetricInputs
 from wardline.operators import flow_alerts, host_alerts, verdicts
 from wardline.operators.baseline import host_activity
@@ -25,16 +25,17 @@ STATE_SAFE, STATE_LOCAL, STATE_SYSTEMIC = "rete sicura", "anomalia localizzata",
 LIST_WIDTH = 40  # longest metric list shown whole in the suspect table
 
 
-def risk_band(score: Column, p: RiskParams) -> Column:
-    return F.when(score >= p.red_from, RED).when(score >= p.yellow_from, YELLOW).otherwise(GREEN)
+def risk_band(score: str, p: RiskParams) -> Column:
+    return F.expr(f"CASE WHEN {score} >= {p.red_from} THEN '{RED}'"
+                  f" WHEN {score} >= {p.yellow_from} THEN '{YELLOW}' ELSE '{GREEN}' END")
 
 
 def _as_details(key: str, frame: DataFrame) -> DataFrame:
     """(host_ip, details struct named after the metric)."""
     columns = [c for c in frame.columns if c not in (*NOT_DETAILS, key, "penalita")]
-    penalty = F.col("penalita") if "penalita" in frame.columns else F.lit(None)
-    return frame.select(
-        "host_ip", F.struct(*columns, penalty.cast("int").alias("penalita")).alias(key))
+    penalty = "penalita" if "penalita" in frame.columns else "NULL"
+    return frame.selectExpr(
+        "host_ip", f"struct({', '.join([*columns, f'CAST({penalty} AS INT) AS penalita'])}) AS {key}")
 
 
 def host_scores(frames: Mapping[str, DataFrame], p: RiskParams) -> DataFrame:
@@ -62,8 +63,8 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
     ]
     keys = ["M_rep", "M_cert", "M_sni", "M_srv", "M_proto", "M_scan", "M_vol", "M_fail"]
     wide = [
-        hosts.select("host_ip", *[v.as_struct() for v in rules])
-        .filter(F.coalesce(*[F.col(v.key)["penalita"] for v in rules]).isNotNull())
+        hosts.selectExpr("host_ip", *[v.as_struct() for v in rules])
+        .filter(" OR ".join(f"{v.key} IS NOT NULL" for v in rules))
         for hosts, rules in families
     ]
     return _score(wide, keys, p)
@@ -72,17 +73,17 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
 def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> DataFrame:
     """Union of the parts, one row per host. A host has each metric in one part only."""
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    hosts = union.groupBy("host_ip").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys])
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(k)["penalita"], F.lit(0)) for k in keys])
-    active = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), k) for k in keys]))
+    hosts = union.groupBy("host_ip").agg(*[F.expr(f"first({k}, true) AS {k}") for k in keys])
+    total = " + ".join(f"coalesce({k}.penalita, 0)" for k in keys)
+    active = ", ".join(f"CASE WHEN {k} IS NOT NULL THEN '{k}' END" for k in keys)
     return (
-        hosts.withColumn("penalita_totale", total)
-        .withColumn("score", F.least(F.lit(p.score_max), "penalita_totale"))
+        hosts.withColumn("penalita_totale", F.expr(total))
+        .withColumn("score", F.expr(f"least({p.score_max}, penalita_totale)"))
         .select(
             "host_ip",
             "score",
-            risk_band(F.col("score"), p).alias("fascia"),
-            active.alias("metriche_attive"),
+            risk_band("score", p).alias("fascia"),
+            F.expr(f"array_compact(array({active})) AS metriche_attive"),
             "penalita_totale",
             F.struct(*keys).alias("dettagli"),
         )
@@ -91,29 +92,23 @@ def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> Da
 
 def network_index(scores: DataFrame, p: RiskParams) -> DataFrame:
     """One row: worst score and its band, hosts per band, hosts seen."""
-    def hosts(band: str) -> Column:
-        return F.count_if(F.col("fascia") == band)
-
-    worst = F.coalesce(F.max("score"), F.lit(0))
+    worst = "coalesce(max(score), 0)"
     return scores.agg(
-        worst.alias("score_max"),
+        F.expr(f"{worst} AS score_max"),
         risk_band(worst, p).alias("fascia_globale"),
-        hosts(GREEN).alias("host_verde"),
-        hosts(YELLOW).alias("host_giallo"),
-        hosts(RED).alias("host_rosso"),
-        F.count(F.lit(1)).alias("host_totali_visti"),
+        F.expr(f"count_if(fascia = '{GREEN}') AS host_verde"),
+        F.expr(f"count_if(fascia = '{YELLOW}') AS host_giallo"),
+        F.expr(f"count_if(fascia = '{RED}') AS host_rosso"),
+        F.expr("count(*) AS host_totali_visti"),
     )
 
 
 def network_state(index: DataFrame, p: RiskParams) -> DataFrame:
     """State of the network by the number of critical hosts."""
-    critical = F.col("host_rosso")
-    state = (
-        F.when(critical == 0, STATE_SAFE)
-        .when(critical >= p.systemic_from, STATE_SYSTEMIC)
-        .otherwise(STATE_LOCAL)
-    )
-    return index.select("score_max", "fascia_globale", critical.alias("host_critici"), state.alias("stato"))
+    return index.selectExpr(
+        "score_max", "fascia_globale", "host_rosso AS host_critici",
+        f"CASE WHEN host_rosso = 0 THEN '{STATE_SAFE}'"
+        f" WHEN host_rosso >= {p.systemic_from} THEN '{STATE_SYSTEMIC}' ELSE '{STATE_LOCAL}' END AS stato")
 
 
 def _suspects(scores: DataFrame) -> DataFrame:
@@ -122,34 +117,35 @@ def _suspects(scores: DataFrame) -> DataFrame:
 
 def suspect_ranking(scores: DataFrame) -> DataFrame:
     """Hosts in the yellow and red bands, worst first, with the active metrics as text."""
-    names = F.concat_ws(", ", "metriche_attive")
-    shown = F.when(
-        F.length(names) > LIST_WIDTH, F.concat(F.substring(names, 1, LIST_WIDTH - 3), F.lit("..."))
-    ).otherwise(names)
-    return _suspects(scores).select("host_ip", "score", "fascia", shown.alias("metriche")).orderBy(
-        F.desc("score"), "host_ip")
+    cut = f"concat(left(metriche, {LIST_WIDTH - 3}), '...')"
+    return (
+        _suspects(scores)
+        .selectExpr("host_ip", "score", "fascia", "concat_ws(', ', metriche_attive) AS metriche")
+        .withColumn("metriche", F.expr(
+            f"CASE WHEN length(metriche) > {LIST_WIDTH} THEN {cut} ELSE metriche END"))
+        .orderBy(F.desc("score"), "host_ip")
+    )
 
 
-def _shown(value: Column, data_type: T.DataType) -> Column:
+def _shown(value: str, data_type: T.DataType) -> str:
     """A detail as report text: four decimals for floats, bracketed lists."""
     if isinstance(data_type, T.DoubleType):
-        return fixed_decimals(value, 4)
+        return decimals(value, 4)
     if isinstance(data_type, T.ArrayType):
-        quote = "'" if isinstance(data_type.elementType, T.StringType) else ""
-        items = F.transform(value, lambda v: F.concat(F.lit(quote), v.cast("string"), F.lit(quote)))
-        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    return value.cast("string")
+        quote = "chr(39)" if isinstance(data_type.elementType, T.StringType) else "''"
+        return f"concat('[', array_join(transform({value}, v -> concat({quote}, v, {quote})), ', '), ']')"
+    return f"CAST({value} AS STRING)"
 
 
-def _fields(value: Column, struct: T.StructType, prefix: str = "") -> list[Column]:
+def _fields(value: str, struct: T.StructType, prefix: str = "") -> list[str]:
     """(campo, valore) of every detail field; nested fields get dotted names."""
     fields = []
     for field in struct.fields:
-        name, inner = prefix + field.name, value[field.name]
+        name, inner = prefix + field.name, f"{value}.{field.name}"
         if isinstance(field.dataType, T.StructType):
             fields += _fields(inner, field.dataType, f"{name}.")
         elif name != "penalita":
-            fields.append(F.struct(F.lit(name).alias("campo"), _shown(inner, field.dataType).alias("valore")))
+            fields.append(f"named_struct('campo', '{name}', 'valore', {_shown(inner, field.dataType)})")
     return fields
 
 
@@ -159,22 +155,17 @@ def suspect_details(scores: DataFrame, p: RiskParams) -> DataFrame:
     `posizione` numbers the details in report order; `penalita_grezza` is the
     sum before the cap, given only where the cap was exceeded.
     """
-    metrics = scores.schema["dettagli"].dataType
-    entries = []
-    for metric in metrics.fields:
-        details = F.col("dettagli")[metric.name]
-        entries.append(F.when(details.isNotNull(), F.struct(
-            F.lit(metric.name).alias("metrica"),
-            details["penalita"].alias("penalita"),
-            F.array(*_fields(details, metric.dataType)).alias("campi"),
-        )))
-    raw = F.when(F.col("penalita_totale") > p.score_max, F.col("penalita_totale"))
+    metrics = [(f"dettagli.{f.name}", f.name, f.dataType) for f in scores.schema["dettagli"].dataType.fields]
+    entries = ", ".join(
+        f"CASE WHEN {value} IS NOT NULL THEN named_struct('metrica', '{name}',"
+        f" 'penalita', {value}.penalita, 'campi', array({', '.join(_fields(value, struct))})) END"
+        for value, name, struct in metrics)
+    host = ["host_ip", "score", "fascia"]
     return (
         _suspects(scores)
-        .select("host_ip", "score", "fascia", raw.alias("penalita_grezza"),
-                F.explode(F.array_compact(F.array(*entries))).alias("m"))
-        .select("host_ip", "score", "fascia", "penalita_grezza", F.col("m.metrica").alias("metrica"),
-                F.col("m.penalita").alias("penalita"), F.posexplode("m.campi").alias("posizione", "f"))
-        .select("host_ip", "score", "fascia", "penalita_grezza", "metrica", "penalita", "posizione",
-                F.col("f.campo").alias("campo"), F.col("f.valore").alias("valore"))
+        .selectExpr(*host, f"CASE WHEN penalita_totale > {p.score_max} THEN penalita_totale END AS penalita_grezza",
+                    f"explode(array_compact(array({entries}))) AS m")
+        .selectExpr(*host, "penalita_grezza", "m.metrica", "m.penalita",
+                    "posexplode(m.campi) AS (posizione, f)")
+        .selectExpr(*host, "penalita_grezza", "metrica", "penalita", "posizione", "f.campo", "f.valore")
     )

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.ip import ipv4_to_string
 from wardline.inputs import MetricInputs
 
 # Reading ts as an instant keeps time filters in the parquet reader.
@@ -35,6 +34,7 @@ LAN_SERVER_2 = 2886991872  # 172.20.0.0
 OUTSIDE = 134744072  # 8.8.8.8
 RISK_BITS = (5, 6, 9, 24, 29, 43, 46, 50, 51, 55)
 PROTOCOLS = ("TLS", "SSH", "HTTP", "IRC")
+DOTTED = "concat_ws('.', {ip} DIV 16777216, {ip} DIV 65536 % 256, {ip} DIV 256 % 256, {ip} % 256)"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -50,74 +50,67 @@ class EventTables:
         return MetricInputs(flows=self.flows, host_alerts=self.host_alerts)
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
-
-
-def _bit(bit: int) -> Column:
-    return F.lit(1 << bit).cast("long")
+def _with_k(events: DataFrame) -> DataFrame:
+    # A generated column is computed once per row; a projected one would be
+    # copied, JSON parsing included, into every predicate that mentions it.
+    return events.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "value",
+        "inline(array(named_struct('k', CAST(get_json_object(props, '$.k') AS INT))))")
 
 
 def flows_from_events(events: DataFrame) -> DataFrame:
-    k, user = F.col("k"), F.col("user_id")
-    source = (
-        F.when(k == 13, 0)  # a pure IPv6 flow
-        .when(k == 17, PUBLIC_NET + user % 256)
-        .otherwise(CLIENT_NET + user)
-    ).cast("long")
-    destination = (
-        F.when(k % 5 == 0, LAN_SERVER + k).when(k % 25 == 1, LAN_SERVER_2 + k).otherwise(OUTSIDE + k)
-    ).cast("long")
-    main_risk = F.coalesce(
-        F.get(F.array(*[_bit(b) for b in RISK_BITS]), k % 20), F.lit(0).cast("long"))
-    second_risk = (
-        F.when(k % 4 == 0, _bit(5)).when(k % 3 == 0, _bit(29)).when(k % 7 == 0, _bit(51)).otherwise(0)
-    ).cast("long")
-    risk = F.when(k % 20 < len(RISK_BITS), main_risk.bitwiseOR(second_risk)).otherwise(0).cast("long")
-    protocol = F.get(F.array(*map(F.lit, PROTOCOLS)), F.floor(k / 4).cast("int") % len(PROTOCOLS))
-    payload = F.when(k % 40 == 0, "{}").otherwise(
-        F.concat(F.lit('{"alerts":{"30":{"proto.ndpi":"'), protocol, F.lit('"}}}')))
+    main_risk = " ".join(f"WHEN {i} THEN {1 << bit}L" for i, bit in enumerate(RISK_BITS))
+    protocols = ", ".join(f"'{name}'" for name in PROTOCOLS)
     return (
-        events.withColumn("k", _k())
-        .select(
-            F.col("event_id").alias("FLOW_ID"),
-            F.lit(4).alias("IP_PROTOCOL_VERSION"),
-            F.col("ts").alias("FIRST_SEEN"),
-            (F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("LAST_SEEN"),
-            source.alias("IPV4_SRC_ADDR"),
-            destination.alias("IPV4_DST_ADDR"),
-            F.floor(F.col("value") * 1048576).cast("long").alias("SRC2DST_BYTES"),
-            F.lit(1).cast("long").alias("SRC2DST_PACKETS"),
-            F.when(F.col("event_type") == "error", 0).otherwise(5).cast("long").alias("DST2SRC_PACKETS"),
-            risk.alias("FLOW_RISK"),
-            (k % 37 == 0).cast("int").alias("IS_SRV_BLACKLISTED"),
-            (k % 41 == 0).cast("int").alias("IS_CLI_BLACKLISTED"),
-            (risk != 0).cast("int").alias("STATUS"),
-            F.when(k == 13, F.concat(F.lit("fd00::"), user.cast("string")))
-            .otherwise(ipv4_to_string(source)).alias("CLI_IP"),
-            (1000 + k).alias("SRV_PORT"),
-            payload.alias("JSON"),
+        _with_k(events)
+        .withColumns({
+            # k = 13 is a pure IPv6 flow, k = 17 has a source outside the networks
+            "src": F.expr(f"CASE k WHEN 13 THEN 0L WHEN 17 THEN {PUBLIC_NET}L + user_id % 256"
+                          f" ELSE {CLIENT_NET}L + user_id END"),
+            "second_risk": F.expr(f"CASE WHEN k % 4 = 0 THEN {1 << 5}L WHEN k % 3 = 0 THEN {1 << 29}L"
+                                  f" WHEN k % 7 = 0 THEN {1 << 51}L ELSE 0L END"),
+            "protocol": F.expr(f"array({protocols})[(k DIV 4) % {len(PROTOCOLS)}]"),
+        })
+        .withColumn("risk", F.expr(
+            f"CASE WHEN k % 20 < {len(RISK_BITS)} THEN (CASE k % 20 {main_risk} END) | second_risk ELSE 0L END"))
+        .selectExpr(
+            "event_id AS FLOW_ID",
+            "4 AS IP_PROTOCOL_VERSION",
+            "ts AS FIRST_SEEN",
+            "ts + INTERVAL 5 SECONDS AS LAST_SEEN",
+            "src AS IPV4_SRC_ADDR",
+            f"CASE WHEN k % 5 = 0 THEN {LAN_SERVER}L + k WHEN k % 25 = 1 THEN {LAN_SERVER_2}L + k"
+            f" ELSE {OUTSIDE}L + k END AS IPV4_DST_ADDR",
+            "CAST(floor(value * 1048576) AS BIGINT) AS SRC2DST_BYTES",
+            "1L AS SRC2DST_PACKETS",
+            "CASE WHEN event_type = 'error' THEN 0L ELSE 5L END AS DST2SRC_PACKETS",
+            "risk AS FLOW_RISK",
+            "CAST(k % 37 = 0 AS INT) AS IS_SRV_BLACKLISTED",
+            "CAST(k % 41 = 0 AS INT) AS IS_CLI_BLACKLISTED",
+            "CAST(risk != 0 AS INT) AS STATUS",
+            f"CASE WHEN k = 13 THEN concat('fd00::', user_id) ELSE {DOTTED.format(ip='src')} END AS CLI_IP",
+            "1000 + k AS SRV_PORT",
+            """CASE WHEN k % 40 = 0 THEN '{}'
+               ELSE concat('{"alerts":{"30":{"proto.ndpi":"', protocol, '"}}}') END AS JSON""",
         )
     )
 
 
 def host_alerts_from_events(events: DataFrame) -> DataFrame:
-    k, user = F.col("k"), F.col("user_id")
-    code, second = (k % 5).cast("string"), (k % 7).cast("string")
-    codes = F.when(k % 3 == 0, F.concat(code, F.lit(","), second)).otherwise(code)
-    scan = F.when(k % 11 == 0, "{}").otherwise(F.concat(F.lit('{"alerts":['), codes, F.lit("]}")))
-    port = F.when(k % 13 == 0, '{"port":"n/a"}').otherwise(
-        F.concat(F.lit('{"port":'), k.cast("string"), F.lit("}")))
-    is_scan = F.col("event_type") == "signup"
     return (
-        events.filter(F.col("event_type").isin("signup", "view"))
-        .withColumn("k", _k())
-        .select(
-            ipv4_to_string(F.when(k == 17, PUBLIC_NET + user % 256).otherwise(CLIENT_NET + user).cast("long"))
-            .alias("ip"),
-            F.col("ts").alias("tstamp"),
-            F.when(is_scan, 15).otherwise(29).alias("alert_id"),
-            F.when(is_scan, scan).otherwise(port).alias("json"),
+        _with_k(events.filter("event_type IN ('signup', 'view')"))
+        .withColumn("address", F.expr(
+            f"CASE k WHEN 17 THEN {PUBLIC_NET}L + user_id % 256 ELSE {CLIENT_NET}L + user_id END"))
+        .selectExpr(
+            f"{DOTTED.format(ip='address')} AS ip",
+            "ts AS tstamp",
+            "CASE event_type WHEN 'signup' THEN 15 ELSE 29 END AS alert_id",
+            """CASE
+               WHEN event_type = 'signup' AND k % 11 = 0 THEN '{}'
+               WHEN event_type = 'signup' AND k % 3 = 0 THEN concat('{"alerts":[', k % 5, ',', k % 7, ']}')
+               WHEN event_type = 'signup' THEN concat('{"alerts":[', k % 5, ']}')
+               WHEN k % 13 = 0 THEN '{"port":"n/a"}'
+               ELSE concat('{"port":', k, '}') END AS json""",
         )
     )
 
