@@ -65,7 +65,7 @@ def hour_bucket(ts: str, p: RiskParams) -> Column:
 
 def time_category(ts: str, p: RiskParams) -> Column:
     local = _local(ts, p)
-    days = ", ".join(map(str, p.weekend_days))
+    days = ", ".join(map(str, p.weekend_days)) or "NULL"
     first, last = p.working_hours
     return F.expr(
         f"CASE WHEN weekday({local}) + 1 IN ({days}) THEN '{WEEKEND}'"
