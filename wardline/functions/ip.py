@@ -46,22 +46,26 @@ def text_in_networks(text: str, networks: Iterable[str]) -> Column:
     """Dotted-quad text inside any of the networks.
 
     The whole octets of a network are a plain prefix test, which the parquet
-    reader can use; the pattern check then runs only on rows that passed it.
+    reader can use. The test of a partial octet and the pattern check follow as
+    separate conditions, so that they run only on rows that passed the prefixes.
     """
-    def member(net: IPv4Network) -> str:
+    prefixes, exact, partial = set(), [], False
+    for net in _collapsed(networks):
         octets = str(net.network_address).split(".")
         whole, bits = divmod(net.prefixlen, 8)
-        if whole == 4:
-            return f"{text} = '{net.network_address}'"
-        condition = f"startswith({text}, '{''.join(f'{o}.' for o in octets[:whole])}')"
+        prefix = "".join(f"{octet}." for octet in octets[:whole]).removesuffix("." if whole == 4 else "")
+        condition = f"{text} = '{prefix}'" if whole == 4 else f"startswith({text}, '{prefix}')"
+        prefixes.add(condition)
         if bits:
+            partial = True
             low = int(octets[whole])
             condition += (f" AND try_cast(split_part({text}, '.', {whole + 1}) AS INT)"
                           f" BETWEEN {low} AND {low + 2 ** (8 - bits) - 1}")
-        return f"({condition})"
-
-    members = " OR ".join(member(net) for net in _collapsed(networks))
-    return F.expr(f"({members}) AND {text} RLIKE '{IPV4_PATTERN}'")
+        exact.append(f"({condition})")
+    checks = [" OR ".join(sorted(prefixes)), f"{text} RLIKE '{IPV4_PATTERN}'"]
+    if partial:
+        checks.append(" OR ".join(exact))
+    return F.expr(" AND ".join(f"({check})" for check in checks))
 
 
 def is_local(address: str, p: RiskParams) -> Column:

@@ -7,14 +7,17 @@ history window cut in two.
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import schemas
+from wardline.functions.text import CAUSE_LABELS
 from wardline.functions.timewin import (
     HOUR, alert_window, between, current_window, history_window, in_windows,
 )
-from wardline.functions.text import CAUSE_LABELS
 from wardline.operators.baseline import hourly_profile, same_category, slices_of, summarise
 from wardline.params import RiskParams
 
@@ -26,17 +29,20 @@ def with_partitions(profile: DataFrame) -> DataFrame:
 
 
 def write_profile(flows: DataFrame, path: str, p: RiskParams, window: tuple[int, int]) -> None:
-    """Roll up the flows of whole hours and replace just those hours.
+    """Roll up the flows of whole hours into the stored profile."""
+    if any(edge != whole_hour(edge, p) for edge in window):
+        raise ValueError("the profile is written in whole hours")
+    write_profile_rows(hourly_profile(in_windows(flows, "FIRST_SEEN", window), p), path)
+
 
-    Writing an hour again gives the same files' content, so a retried or late
-    run is safe.
+def write_profile_rows(profile: DataFrame, path: str) -> None:
+    """Replace just the hours present in `profile`.
+
+    Writing an hour again replaces it, so a retried or late run is safe.
     """
-    start, end = window
-    if start % HOUR or end % HOUR:
-        raise ValueError("the profile is written in whole hours")
-    rows = with_partitions(hourly_profile(in_windows(flows, "FIRST_SEEN", window), p))
     (
-        rows.hint("rebalance", *DAY_AND_HOUR)
+        with_partitions(profile)
+        .hint("rebalance", *DAY_AND_HOUR)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*DAY_AND_HOUR).parquet(path)
     )
@@ -46,10 +52,16 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROFILE).parquet(path)
 
 
+def whole_hour(epoch: int, p: RiskParams) -> int:
+    """The start of the local hour that holds an instant."""
+    offset = datetime.fromtimestamp(epoch, ZoneInfo(p.local_tz)).utcoffset()
+    return epoch - (epoch + int(offset.total_seconds())) % HOUR
+
+
 def whole_hours(p: RiskParams) -> tuple[int, int]:
     """The part of the history window made of whole hours."""
     start, end = history_window(p)
-    return -(-start // HOUR) * HOUR, end // HOUR * HOUR
+    return whole_hour(start + HOUR - 1, p), whole_hour(end, p)
 
 
 def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskParams,

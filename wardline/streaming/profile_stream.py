@@ -20,7 +20,7 @@ def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
                    available_now: bool = True) -> StreamingQuery:
     """Append the partial sums of every micro-batch to the table at `path`.
 
-    A batch replaces its own partition, so one that is replayed after a failure
+    A batch replaces its own partitions, so one that is replayed after a failure
     is not counted twice. `available_now` takes in what has arrived and stops,
     which suits an hourly job; otherwise the query keeps running.
     """
@@ -31,7 +31,7 @@ def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
             .withColumn("dt", F.to_date("bucket"))
             .hint("rebalance", "dt")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "dt").parquet(path)
+            .partitionBy("dt", "batch").parquet(path)
         )
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
