@@ -81,7 +81,8 @@ def host_scores_by_metric(spark: SparkSession, folder: str) -> DataFrame:
 def host_scores_from_profile(spark: SparkSession, folder: str) -> DataFrame:
     inputs = tables(spark, folder)
     stored = baseline.hourly_profile(inputs.flows, ODD_MINUTE)
-    activity = profile.host_activity_from_profile(stored, inputs.flows, ODD_MINUTE, with_reputation=True)
+    activity = profile.host_activity_from_profile(
+        stored, inputs.flows, ODD_MINUTE, "v", "r", with_reputation=True)
     return _score_columns(scoring.fused_host_scores(inputs, ODD_MINUTE, activity))
 
 

@@ -51,13 +51,14 @@ def activity(frame):
 ])
 def test_profile_gives_the_direct_result(flows, changes):
     p = params(**changes)
-    direct = host_activity(flows, p, with_reputation=True)
+    direct = host_activity(flows, p, "v", "r", with_reputation=True)
     stored = hourly_profile(flows, p)
-    from_profile = profile.host_activity_from_profile(stored, flows, p, with_reputation=True)
+    from_profile = profile.host_activity_from_profile(
+        stored, flows, p, "v", "r", with_reputation=True)
     assert direct.count() > 0
     assert activity(from_profile) == activity(direct)
-    plain = profile.host_activity_from_profile(stored, flows, p)
-    assert activity(plain) == activity(host_activity(flows, p))
+    plain = profile.host_activity_from_profile(stored, flows, p, "v")
+    assert activity(plain) == activity(host_activity(flows, p, "v"))
 
 
 def test_raw_flows_are_read_for_the_edges_only(flows, spark):
@@ -66,7 +67,7 @@ def test_raw_flows_are_read_for_the_edges_only(flows, spark):
     assert first == p.flows_epoch - 7 * 24 * HOUR + 1800 and last == p.flows_epoch - HOUR - 1800
     without_history = in_windows(flows, "FIRST_SEEN", (last, p.flows_epoch), (first - 1800, first))
     stored = hourly_profile(flows, p)
-    assert activity(profile.host_activity_from_profile(stored, without_history, p)) == activity(host_activity(flows, p))
+    assert activity(profile.host_activity_from_profile(stored, without_history, p, "v")) == activity(host_activity(flows, p, "v"))
 
 
 def test_stored_hours_are_replaced_not_added(flows, spark, tmp_path):
@@ -111,7 +112,7 @@ def test_streamed_partials_add_up(flows, spark, tmp_path):
     expected = sorted(map(tuple, hourly_profile(flows, p).collect()))
     assert partials.count() > len(expected)
     assert sorted(map(tuple, merged.collect())) == expected
-    assert activity(profile.host_activity_from_profile(partials, flows, p)) == activity(host_activity(flows, p))
+    assert activity(profile.host_activity_from_profile(partials, flows, p, "v")) == activity(host_activity(flows, p, "v"))
     profile.write_profile_rows(merged, str(tmp_path / "merged"))
     assert profile.read_profile(spark, str(tmp_path / "merged")).count() == len(expected)
 

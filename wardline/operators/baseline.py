@@ -22,15 +22,22 @@ def robust_z(value: str, median: str, mad: str) -> str:
     return f"try_divide({value} - {median}, {mad})"
 
 
-def median_of(values: str) -> str:
-    """Median of an array of numbers, interpolated between the middle two."""
-    ordered, size = f"sort_array({values})", f"size({values})"
-    return f"(get({ordered}, ({size} - 1) DIV 2) + get({ordered}, {size} DIV 2)) / 2.0D"
+def robust_stats(values: str) -> str:
+    """struct(median, mad) of an array of numbers, both interpolated between the middle two.
 
+    A one-element transform names an intermediate result, so that it is computed
+    once and not at each of its uses.
+    """
+    def median(ordered: str) -> str:
+        return f"(get({ordered}, (size({ordered}) - 1) DIV 2) + get({ordered}, size({ordered}) DIV 2)) / 2.0D"
+
+    def named(value: str, name: str, result: str) -> str:
+        return f"get(transform(array({value}), {name} -> {result}), 0)"
 
-def mad_of(values: str, median: str) -> Column:
-    """Median distance from the median, over an array of numbers."""
-    return F.expr(median_of(f"transform({values}, v -> abs(v - {median}))"))
+    distances = f"sort_array(transform({values}, x -> abs(x - mid)))"
+    return named(
+        named(f"sort_array({values})", "ordered", median("ordered")), "mid",
+        named(distances, "spread", f"named_struct('median', mid, 'mad', {median('spread')})"))
 
 
 def contextual_baseline(samples: DataFrame, key: str, values: dict[str, Column],
@@ -40,19 +47,23 @@ def contextual_baseline(samples: DataFrame, key: str, values: dict[str, Column],
     Samples are hourly roll-ups, so the collected list holds one number per
     hour of history and no more. NULL values are not samples.
     """
-    medians = [F.median(v).alias(f"{name}_mediana") for name, v in values.items()]
     lists = [F.collect_list(v).alias(f"{name}_list") for name, v in values.items()]
     grouped = samples.groupBy(key).agg(
-        F.count(next(iter(values.values()))).alias("bucket_count"), *medians, *lists
+        F.count(next(iter(values.values()))).alias("bucket_count"), *lists
     ).filter(F.col("bucket_count") >= min_samples)
-    return grouped.select(key, "bucket_count", *[
-        column
-        for name in values
-        for column in (
-            F.col(f"{name}_mediana"),
-            mad_of(f"{name}_list", f"{name}_mediana").alias(f"{name}_mad"),
-        )
-    ])
+    return with_stats(grouped, {name: f"{name}_list" for name in values}, key, "bucket_count")
+
+
+def with_stats(df: DataFrame, lists: dict[str, str], *kept: str) -> DataFrame:
+    """Median and MAD of array columns, next to the kept columns.
+
+    The statistics are generated, not projected: later filters on them then use
+    the computed values instead of computing them again.
+    """
+    stats = ", ".join(f"'{name}', {robust_stats(values)}" for name, values in lists.items())
+    return df.selectExpr(*kept, f"inline(array(named_struct({stats})))").selectExpr(
+        *kept, *[f"{name}.{s} AS {name}_{label}" for name in lists
+                 for s, label in (("median", "mediana"), ("mad", "mad"))])
 
 
 def same_category(ts: str, p: RiskParams) -> Column:
@@ -137,10 +148,17 @@ def host_slices(flows: DataFrame, p: RiskParams, with_reputation: bool = False)
     return slices_of(in_windows(flows, "FIRST_SEEN", (start, end)), p, with_reputation)
 
 
-def summarise(slices: DataFrame, p: RiskParams) -> DataFrame:
-    """One row per host: current sums next to the baseline, without a join."""
-    volume = "CASE WHEN bucket IS NOT NULL THEN bytes_out END"
-    rate = "CASE WHEN bucket IS NOT NULL THEN CAST(failed AS DOUBLE) / flows END"
+SAMPLES = {
+    "v": "CASE WHEN bucket IS NOT NULL THEN bytes_out END",
+    "r": "CASE WHEN bucket IS NOT NULL THEN CAST(failed AS DOUBLE) / flows END",
+}
+
+
+def summarise(slices: DataFrame, p: RiskParams, *values: str) -> DataFrame:
+    """One row per host: current sums next to the baseline, without a join.
+
+    `values` names the baselines wanted: v for the volume, r for the failure rate.
+    """
     current = {"v_out": "bytes_out", "n_totali": "flows", "n_falliti": "failed"}
     always = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
     grouped = slices.groupBy("host").agg(
@@ -148,19 +166,15 @@ def summarise(slices: DataFrame, p: RiskParams) -> DataFrame:
           for name, c in current.items()],
         *[F.expr(f"sum({c}) AS {c}") for c in always],
         F.expr("count(bucket) AS bucket_baseline"),
-        F.expr(f"median({volume}) AS v_mediana"),
-        F.expr(f"collect_list({volume}) AS v_list"),
-        F.expr(f"median({rate}) AS r_mediana"),
-        F.expr(f"collect_list({rate}) AS r_list"),
-    )
-    return grouped.select(
-        ipv4_to_string("host").alias("host_ip"),
-        *current, *always, "bucket_baseline",
-        "v_mediana", mad_of("v_list", "v_mediana").alias("v_mad"),
-        "r_mediana", mad_of("r_list", "r_mediana").alias("r_mad"),
-        reference_category(p).alias("categoria_temporale"),
-    )
-
-
-def host_activity(flows: DataFrame, p: RiskParams, with_reputation: bool = False) -> DataFrame:
-    return summarise(host_slices(flows, p, with_reputation), p)
+        *[F.expr(f"collect_list({SAMPLES[v]}) AS {v}_list") for v in values],
+    ).withColumns({
+        "host_ip": ipv4_to_string("host"),
+        "categoria_temporale": reference_category(p),
+    })
+    return with_stats(grouped, {v: f"{v}_list" for v in values},
+                      "host_ip", *current, *always, "bucket_baseline", "categoria_temporale")
+
+
+def host_activity(flows: DataFrame, p: RiskParams, *values: str, with_reputation: bool = False) -> DataFrame:
+    """Current sums and the wanted baselines of every host, straight from the flows."""
+    return summarise(host_slices(flows, p, with_reputation), p, *values)

@@ -34,11 +34,11 @@ def m_vol(inputs: MetricInputs, p: RiskParams, only_fired: bool = True) -> DataF
 
     With only_fired=False every comparable host is kept, M_vol being 0 or 1.
     """
-    hosts, verdict = host_activity(inputs.flows, p), verdicts.volume(p)
+    hosts, verdict = host_activity(inputs.flows, p, "v"), verdicts.volume(p)
     return verdict.flagged(hosts) if only_fired else verdict.compared(hosts)
 
 
 def m_fail(inputs: MetricInputs, p: RiskParams, only_fired: bool = True) -> DataFrame:
     """Hosts whose share of failed flows is far above their own baseline."""
-    hosts, verdict = host_activity(inputs.flows, p), verdicts.failure_rate(p)
+    hosts, verdict = host_activity(inputs.flows, p, "r"), verdicts.failure_rate(p)
     return verdict.flagged(hosts) if only_fired else verdict.compared(hosts)

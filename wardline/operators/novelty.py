@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.timewin import HOUR, between, current_window, history_window, in_windows, instant
+from wardline.functions.timewin import HOUR, current_window, history_window, in_windows, instant
 from wardline.params import RiskParams
 
 
 def service_novelty(df: DataFrame, p: RiskParams, host: str, ts: str, item: str) -> DataFrame:
     """(host, item) pairs of the current window that are absent from the host's history.
 
-    Both sets come from one scan: a pair is reduced to two flags before it is
-    shuffled, which is the set difference without a join of the two sets. A host
-    counts only once its history reaches back over the learning period.
+    A pair is new exactly when its first sight within history and current window
+    lies in the current one, so one minimum per pair stands for the difference
+    of the two sets. The learning period of the host is the earliest of its
+    pairs; both uses read the same shuffle. A host counts only once its history
+    reaches back over the learning period.
     """
     start, _ = history_window(p)
     now_start, end = current_window(p)
-    pairs = in_windows(df, ts, (start, end)).groupBy(host, item).agg(
-        F.bool_or(between(ts, (now_start, end))).alias("today"),
-        F.bool_or(between(ts, history_window(p))).alias("before"),
-        F.min(ts).alias("first_seen"),
-    )
+    pairs = in_windows(df, ts, (start, end)).groupBy(host, item).agg(F.min(ts).alias("first_seen"))
     learned = pairs.groupBy(host).agg(F.min("first_seen").alias("known_since")).filter(
         f"known_since <= {instant(now_start - p.novelty_learning_hours * HOUR)}")
-    novel = pairs.filter("today AND NOT before").select(host, item)
+    novel = pairs.filter(f"first_seen >= {instant(now_start)}").select(host, item)
     return novel.join(learned.select(host), host, "left_semi")

@@ -64,7 +64,7 @@ def whole_hours(p: RiskParams) -> tuple[int, int]:
     return whole_hour(start + HOUR - 1, p), whole_hour(end, p)
 
 
-def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskParams,
+def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskParams, *values: str,
                                with_reputation: bool = False) -> DataFrame:
     """The same rows as the direct scan, from stored hours plus the raw flows they miss."""
     past_start, past_end = history_window(p)
@@ -86,4 +86,4 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
         .agg(*[F.sum(c).alias(c) for c in ("bytes_out", "flows", "failed")])
         .selectExpr("host", "bucket", "bytes_out", "flows", "failed", *[f"0L AS {c}" for c in extra])
     )
-    return summarise(stored.unionByName(recent), p)
+    return summarise(stored.unionByName(recent), p, *values)

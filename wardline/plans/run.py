@@ -48,7 +48,7 @@ def score_network(inputs: MetricInputs, p: RiskParams, profile: DataFrame | None
     if fused and specs is METRICS:
         try:
             activity = None if profile is None else host_activity_from_profile(
-                profile, inputs.flows, p, with_reputation=True)
+                profile, inputs.flows, p, "v", "r", with_reputation=True)
             scores = cut_lineage(fused_host_scores(inputs, p, activity))
         except Exception:  # noqa: BLE001 - the isolated run below reports what failed
             scores = None

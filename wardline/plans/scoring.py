@@ -52,7 +52,7 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
     """
     p = p.pinned()
     if activity is None:
-        activity = host_activity(inputs.flows, p, with_reputation=True)
+        activity = host_activity(inputs.flows, p, "v", "r", with_reputation=True)
     alerts = inputs.flow_alerts
     families = [
         (activity, [verdicts.reputation(p), verdicts.volume(p), verdicts.failure_rate(p)]),
