@@ -333,6 +333,7 @@ def oracle_sql() -> dict[str, str]:
               metrica, penalita, posizione, campo, valore
             FROM hosts h JOIN details d ON h.host_ip = d.host_ip WHERE fascia <> 'VERDE'""",
         "metric_status": night + counts,
+        "flagged_hosts": night + f"SELECT metric, n_hosts FROM ({counts})",
         "service_novelty": _with() + f"""
             , ours AS (SELECT src_ip AS host_ip, srv_port, first_seen FROM flows
                        WHERE src <> 0 AND {LAN.format('src')}

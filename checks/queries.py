@@ -112,6 +112,10 @@ def metric_status(spark: SparkSession, folder: str) -> DataFrame:
     return status.select("metric", "ok", "n_hosts")
 
 
+def flagged_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.flagged_hosts(_scores(spark, folder))
+
+
 def m_vol_diagnostic(spark: SparkSession, folder: str) -> DataFrame:
     return flat(flow_metrics.m_vol(tables(spark, folder), NIGHT, only_fired=False))
 
@@ -300,6 +304,7 @@ def queries() -> dict[str, Query]:
         "suspect_ranking": suspect_ranking,
         "suspect_details": suspect_details,
         "metric_status": metric_status,
+        "flagged_hosts": flagged_hosts,
         "service_novelty": novelty,
         "flows_scan": flows_scan,
         "flow_alerts_view": flow_alerts_view,

@@ -124,6 +124,23 @@ def test_parameters_are_checked():
         timewin.alert_window(PARAMS, 0)
 
 
+def test_reference_instant_forms():
+    epoch = 1568966400
+    for ref in (epoch, "2019-09-20T08:00:00", "2019-09-20 10:00:00+02:00", datetime(2019, 9, 20, 8)):
+        assert RiskParams(flows_ref=ref).flows_epoch == epoch
+
+
+def test_other_session_zones_are_refused(spark):
+    from wardline import MetricInputs
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Rome")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            MetricInputs(spark.range(1), spark.range(1))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_now_is_read_once():
     pinned = RiskParams().pinned()
     assert pinned.flows_epoch == pinned.alerts_epoch == pinned.pinned().flows_epoch

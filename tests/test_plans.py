@@ -58,6 +58,7 @@ def test_volume_reads_its_columns_and_days_in_one_scan(inputs):
     pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
     assert "GreaterThanOrEqual(FIRST_SEEN,2024-03-02 12:00:00.0)" in pushed
     assert "GreaterThanOrEqual(IPV4_SRC_ADDR,167772160)" in pushed
+    assert "LessThan(IPV4_DST_ADDR,167772160)" in pushed
     days = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
     assert "dt" in days and "2024-03-02" in days and "2024-03-09" in days
 

@@ -90,7 +90,7 @@ def test_run_with_a_profile(flows, spark):
         flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS),
         alerted_flows=spark.createDataFrame([], schemas.FLOW_ALERTS))
     run = score_network(inputs, p, profile=hourly_profile(flows, p))
-    assert run.metric_status is None and run.host_scores.count() > 0
+    assert run.metric_status.filter("ok").count() == 8 and run.host_scores.count() > 0
     assert rows_of(run.host_scores) == rows_of(scoring.fused_host_scores(inputs, p))
 
 

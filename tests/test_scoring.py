@@ -170,7 +170,9 @@ def test_one_failing_metric_leaves_the_others(tables):
 def test_whole_run_and_its_tables(tables, tmp_path, spark):
     inputs, p = suspicious(tables)
     fused, isolated = score_network(inputs, p), score_network(inputs, p, fused=False)
-    assert fused.metric_status is None and isolated.metric_status.filter("ok").count() == 8
+    assert fused.metric_status.schema.names == isolated.metric_status.schema.names
+    statuses = [run.metric_status.select("metric", "ok", "n_hosts").collect() for run in (fused, isolated)]
+    assert statuses[0] == statuses[1] and len(statuses[0]) == 8
     assert by_host(fused.host_scores) == by_host(isolated.host_scores)
     isolated.write(str(tmp_path / "run"))
     assert spark.read.parquet(str(tmp_path / "run" / "network_index")).first()["host_rosso"] == 1
@@ -184,7 +186,8 @@ def test_run_falls_back_to_isolated_metrics(tables, spark):
     inputs, p = suspicious(tables)
     damaged = replace(inputs, alerted_flows=inputs.alerted_flows.withColumn(
         "srv_port", F.expr("CAST(raise_error('unreadable') AS INT)")))
-    run = score_network(damaged, p)
+    with pytest.warns(UserWarning, match="one by one"):
+        run = score_network(damaged, p)
     status = {r["metric"]: r["ok"] for r in run.metric_status.collect()}
     assert [k for k, ok in status.items() if not ok] == ["M_proto"]
     assert run.network_index.first()["host_rosso"] == 1

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from wardline.sources.tables import flow_alerts_view
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 @dataclass(frozen=True)
 class MetricInputs:
@@ -15,6 +17,13 @@ class MetricInputs:
     host_alerts: DataFrame
     alerted_flows: DataFrame | None = None  # a ready alerted-flow table, if there is one
 
+    def __post_init__(self) -> None:
+        # Hours, weekdays and the days of a daily layout are read in the session
+        # zone; another local zone is a parameter, not a session setting.
+        zone = self.flows.sparkSession.conf.get("spark.sql.session.timeZone")
+        if zone not in UTC_NAMES:
+            raise ValueError(f"spark.sql.session.timeZone must be UTC, it is {zone}")
+
     @property
     def flow_alerts(self) -> DataFrame:
         if self.alerted_flows is not None:

@@ -112,9 +112,13 @@ def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool,
     past = between(ts, history_window(p)) & same_category(ts, p)
     if past_filter is not None:
         past = past & past_filter
-    recent = between(ts, alert_window(p)) if with_reputation else F.lit(False)
+    subjects = flows.filter(is_subject(p))
+    if with_reputation:
+        recent = between(ts, alert_window(p))
+    else:
+        subjects, recent = subjects.filter(goes_outside(p)), F.lit(False)
     kept = (
-        flows.filter(is_subject(p))
+        subjects
         .withColumns({"outside": goes_outside(p), "recent": recent})
         .withColumns({
             "now": F.col("outside") & between(ts, current_window(p)),

@@ -15,9 +15,10 @@ MIB = 1024 * 1024
 
 @dataclass(frozen=True)
 class RiskParams:
-    # Reference instants (epoch seconds or datetime). None or 0 is "now".
-    flows_ref: int | datetime | None = None
-    alerts_ref: int | datetime | None = None  # None follows flows_ref
+    # Reference instants: epoch seconds, datetime or ISO text, UTC unless they say
+    # otherwise. None or 0 is "now".
+    flows_ref: int | datetime | str | None = None
+    alerts_ref: int | datetime | str | None = None  # None follows flows_ref
     open_alerts: bool | None = None  # host alerts without upper bound; None: only when "now"
     local_tz: str = "UTC"  # zone in which hours and weekdays are read
 
@@ -118,9 +119,11 @@ class RiskParams:
         return tuple(b for b in bits if b is not None)
 
 
-def _epoch(ref: int | datetime | None) -> int:
+def _epoch(ref: int | datetime | str | None) -> int:
     if not ref:
         return int(time.time())
+    if isinstance(ref, str):
+        ref = datetime.fromisoformat(ref)
     if isinstance(ref, datetime):
         aware = ref if ref.tzinfo else ref.replace(tzinfo=timezone.utc)
         return int(aware.timestamp())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from wardline.plans.lineage import cut_lineage
 from wardline.plans.profile import host_activity_from_profile
 from wardline.plans.registry import METRICS, run_metrics
 from wardline.plans.scoring import (
-    fused_host_scores, host_scores, network_index, network_state, suspect_details, suspect_ranking,
+    flagged_hosts, fused_host_scores, host_scores, network_index, network_state, suspect_details, suspect_ranking,
 )
 from wardline.sources.tables import write_result
 
@@ -24,10 +25,10 @@ class ScoringRun:
     network_state: DataFrame
     suspects: DataFrame
     suspect_details: DataFrame
-    metric_status: DataFrame | None
+    metric_status: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: frame for name, frame in vars(self).items() if frame is not None}
+        return dict(vars(self))
 
     def write(self, path: str, fmt: str = "parquet") -> None:
         for name, frame in self.tables().items():
@@ -39,8 +40,8 @@ def score_network(inputs: MetricInputs, p: RiskParams, profile: DataFrame | None
     """Score the network once.
 
     The fused plan is tried first. If it fails, or with fused=False, every
-    metric runs on its own and a failing one is left out; metric_status then
-    tells which. The scores are computed once and all reports read that result.
+    metric runs on its own and a failing one is left out; metric_status tells
+    which. The scores are computed once and all reports read that result.
     """
     p = p.pinned()
     status = None
@@ -50,8 +51,10 @@ def score_network(inputs: MetricInputs, p: RiskParams, profile: DataFrame | None
             activity = None if profile is None else host_activity_from_profile(
                 profile, inputs.flows, p, "v", "r", with_reputation=True)
             scores = cut_lineage(fused_host_scores(inputs, p, activity))
-        except Exception:  # noqa: BLE001 - the isolated run below reports what failed
-            scores = None
+            status = flagged_hosts(scores).selectExpr(
+                "metric", "true AS ok", "n_hosts", "CAST(NULL AS BIGINT) AS ms", "CAST(NULL AS STRING) AS error")
+        except Exception as error:  # noqa: BLE001 - the isolated run below shows which metric failed
+            warnings.warn(f"the fused plan failed, running the metrics one by one: {error}", stacklevel=2)
     if scores is None:
         frames, status = run_metrics(inputs, p, specs)
         scores = cut_lineage(host_scores(frames, p))

@@ -90,6 +90,14 @@ def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> Da
     )
 
 
+def flagged_hosts(scores: DataFrame) -> DataFrame:
+    """Hosts flagged by each metric, metrics without any included."""
+    keys = scores.schema["dettagli"].dataType.names
+    counts = scores.agg(*[F.expr(f"count(dettagli.{k}) AS {k}") for k in keys])
+    pairs = ", ".join(f"'{k}', {k}" for k in keys)
+    return counts.selectExpr(f"stack({len(keys)}, {pairs}) AS (metric, n_hosts)")
+
+
 def network_index(scores: DataFrame, p: RiskParams) -> DataFrame:
     """One row: worst score and its band, hosts per band, hosts seen."""
     worst = "coalesce(max(score), 0)"
