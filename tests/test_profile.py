@@ -112,7 +112,7 @@ def test_streamed_partials_add_up(flows, spark, tmp_path):
     expected = sorted(map(tuple, hourly_profile(flows, p).collect()))
     assert partials.count() > len(expected)
     assert sorted(map(tuple, merged.collect())) == expected
-    assert activity(profile.host_activity_from_profile(partials, flows, p, "v")) == activity(host_activity(flows, p, "v"))
+    assert activity(profile.host_activity_from_profile(merged, flows, p, "v")) == activity(host_activity(flows, p, "v"))
     profile.write_profile_rows(merged, str(tmp_path / "merged"))
     assert profile.read_profile(spark, str(tmp_path / "merged")).count() == len(expected)
 

@@ -14,8 +14,6 @@ from wardline.functions.timewin import (
 )
 from wardline.params import RiskParams
 
-MEASURES = ("bytes_out", "flows", "failed")
-
 
 def robust_z(value: str, median: str, mad: str) -> str:
     """Signed distance from the median in units of MAD; NULL when the MAD is zero."""
@@ -162,10 +160,13 @@ def summarise(slices: DataFrame, p: RiskParams, *values: str) -> DataFrame:
     """One row per host: current sums next to the baseline, without a join.
 
     `values` names the baselines wanted: v for the volume, r for the failure rate.
+    A host has one slice per hour of history, and collecting them makes nothing
+    smaller before the shuffle: so the slices themselves are sent to their host,
+    once, and the aggregation needs no further exchange.
     """
     current = {"v_out": "bytes_out", "n_totali": "flows", "n_falliti": "failed"}
     always = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
-    grouped = slices.groupBy("host").agg(
+    grouped = slices.repartition("host").groupBy("host").agg(
         *[F.expr(f"coalesce(sum(CASE WHEN bucket IS NULL THEN {c} END), 0) AS {name}")
           for name, c in current.items()],
         *[F.expr(f"sum({c}) AS {c}") for c in always],

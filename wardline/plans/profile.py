@@ -66,7 +66,12 @@ def whole_hours(p: RiskParams) -> tuple[int, int]:
 
 def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskParams, *values: str,
                                with_reputation: bool = False) -> DataFrame:
-    """The same rows as the direct scan, from stored hours plus the raw flows they miss."""
+    """The same rows as the direct scan, from stored hours plus the raw flows they miss.
+
+    `profile` holds one row per host and hour, as write_profile stores it, and
+    so needs no shuffle of its own here. Partial sums of a stream go through
+    merged_profile first.
+    """
     past_start, past_end = history_window(p)
     first, last = whole_hours(p)
     now_start, now_end = current_window(p)
@@ -82,8 +87,6 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
     stored = (
         in_windows(profile, "bucket", (first, last))
         .filter(same_category("bucket", p))
-        .groupBy("host", "bucket")
-        .agg(*[F.sum(c).alias(c) for c in ("bytes_out", "flows", "failed")])
         .selectExpr("host", "bucket", "bytes_out", "flows", "failed", *[f"0L AS {c}" for c in extra])
     )
     return summarise(stored.unionByName(recent), p, *values)

@@ -1,7 +1,7 @@
 """The hourly profile from a stream of flows, without state.
 
 Bytes, flows and failed flows add up, so every micro-batch appends its own
-partial sums and the readers of the profile add them. No watermark is needed:
+partial sums and merged_profile adds them on reading. No watermark is needed:
 late flows join their hour whenever they come, and nothing is dropped.
 """
 
