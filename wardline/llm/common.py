@@ -46,3 +46,31 @@ class Shelf:
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, seed: int = 0,
+) -> DataFrame:
+    """(doc_id, text, label, lot): at most `per_class` training documents of each label 0 and 1.
+
+    The rows with the smallest hashes are taken, so the sample does not depend on the
+    layout; `lot` is that hash, for further splits. Labels that repeat a doc_id count as
+    their largest; null labels and ids are left out. Only ids move before the choice is made.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
+        F.max(label).cast("int").alias("label"))
+    ids = docs.select("doc_id").filter(train).join(known, "doc_id").distinct().withColumn(
+        "lot", F.xxhash64(F.lit(seed), "doc_id"))
+    chosen = None
+    for value in (0, 1):
+        part = ids.filter(F.col("label") == value).orderBy("lot", "doc_id").limit(per_class)
+        chosen = part if chosen is None else chosen.union(part)
+    return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
+            .dropDuplicates(["doc_id"]))
+
+
+def logistic(z):
+    """1 / (1 + exp(-z)) without overflow."""
+    import numpy as np
+
+    return 0.5 * (1.0 + np.tanh(0.5 * np.asarray(z, dtype=float)))

@@ -26,8 +26,8 @@ def prefix(key: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", top, (F.lit(PREFIX_BITS) - bits).cast("int"))
 
 
-def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> DataFrame:
-    """(slot_prefix, depth, bucket): one row per PREFIX_BITS-bit prefix that holds keys.
+def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(entry, depth, bucket) and the global depth: one row per prefix of that depth that holds keys.
 
     Buckets start as one of depth 0. While a bucket holds more than `capacity` keys, the
     directory doubles and the overfull buckets split on their next bit; the others keep
@@ -40,6 +40,7 @@ def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> DataFrame:
         .withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")})
     )
     counts = shelf.keep(counts.coalesce(1), "directory-0")  # bounded by 2**PREFIX_BITS rows
+    global_depth = 0
     for depth in range(1, PREFIX_BITS + 1):
         held = F.sum("keys").over(Window.partitionBy("depth", "bucket"))
         overfull = counts.withColumn("held", held).filter((F.col("held") > capacity) & (F.col("depth") == depth - 1))
@@ -55,7 +56,9 @@ def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> DataFrame:
             ),
             f"directory-{depth}",
         )
-    return counts.select("slot_prefix", "depth", "bucket")
+        global_depth = depth
+    entry = F.call_function("shiftright", "slot_prefix", F.lit(PREFIX_BITS - global_depth))
+    return counts.select(entry.alias("entry"), "depth", "bucket").distinct(), global_depth
 
 
 def exact_dedup(
@@ -83,11 +86,12 @@ def exact_dedup(
         .drop("body"),
         "slots",
     )
-    places = F.broadcast(directory(shelf, slots, capacity))  # at most 2**PREFIX_BITS rows
+    places, global_depth = directory(shelf, slots, capacity)
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
     index = shelf.keep(
-        slots.withColumn("slot_prefix", prefix(F.col("key"), PREFIX_BITS)).join(places, "slot_prefix")
-        .drop("slot_prefix").repartition("bucket").withColumn("chain", chain),
+        slots.withColumn("entry", prefix(F.col("key"), global_depth))
+        .join(F.broadcast(places), "entry")  # at most 2**PREFIX_BITS rows
+        .drop("entry").repartition("bucket").withColumn("chain", chain),
         "index",
     )
     return keyed.select("doc_id", "key", "text_sha256").join(index, ["key", "text_sha256"]).select(

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.llm import exact_dedup, mixing
-from wardline.llm.common import table
+import public_tokenizers
+
+from wardline.llm import bpe, exact_dedup, mixing, quality, simhash_dedup, toxicity
+from wardline.llm.common import fold_of, table
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,8 +23,36 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).drop("bucket", "chain")
 
 
+def _judged(scores: DataFrame, folds: int, held: int) -> DataFrame:
+    return scores.select(
+        "doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    machine = toxicity.fit(docs, table(spark, folder, "labels"), fold_of("doc_id", 5) != 0)
+    return _judged(toxicity.score(docs, machine), 5, 0)
+
+
+def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(table(spark, folder, "documents"))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), fold_of("doc_id", 3) != 1)
+    return _judged(quality.score(docs, model), 3, 1)
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, RANKS, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_exact_dedup": op2_exact_dedup}
+    found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op10_bpe)
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
