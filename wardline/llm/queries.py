@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from wardline.llm import bpe, exact_dedup, mixing, quality, simhash_dedup, toxicity
+from wardline.llm import (
+    bpe, exact_dedup, language, mixing, quality, simhash_dedup, toxicity, vector_search, warc,
+)
 from wardline.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,13 +47,30 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.score(docs, model), 3, 1)
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = vector_search.integer_vectors(table(spark, folder, "embeddings"))
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    predicted = language.predict(docs, language.fit(docs, fold_of("doc_id", 4) != 2))
+    return predicted.withColumn("held_out", fold_of("doc_id", 4) == 2)
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(encoded, RANKS, public_tokenizers.PATTERN))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op10_bpe)
+    found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op7_warc,
+             op8_vector_search, op9_language, op10_bpe)
     return {query.__name__: query for query in found}
 
 
@@ -61,4 +80,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op7_warc": """
+            WITH p AS (
+              SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                sha1(coalesce(html, '')) AS payload_digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder
+              FROM pages)
+            SELECT page_id, payload_bytes, payload_digest,
+              CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+            FROM p""",
+        "op8_vector_search": """
+            WITH v AS (
+              SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+              SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+              FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+            r AS (
+              SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+              FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     }
