@@ -181,9 +181,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, body binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Sizes and digests of ids and decoded bytes."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Sizes and digests of ids and decoded bytes; `more` columns are kept."""
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("body", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wardline.llm import (
-    bpe, exact_dedup, language, mixing, quality, simhash_dedup, toxicity, vector_search, warc,
+    bpe, exact_dedup, language, mixing, quality, simhash_dedup, suffix_dedup, toxicity, vector_search, warc,
 )
 from wardline.llm.common import fold_of, table
 
@@ -47,6 +47,13 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.score(docs, model), 3, 1)
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -69,7 +76,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op7_warc,
+    found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op6_suffix_dedup, op7_warc,
              op8_vector_search, op9_language, op10_bpe)
     return {query.__name__: query for query in found}
 
