@@ -1,0 +1,50 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from wardline.llm import exact_dedup as op
+
+SCHEMA = "doc_id long, text string, key string, bucket int, keep_id string"
+ROWS = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "A"), (6, "long " * 30_000), (7, "long " * 30_000),
+        (8, "ü\n"), (8, "ü\n"), (None, "a"), (None, "alone"), (9, "a ")] + [(100 + i, f"t{i % 40}") for i in range(200)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
+
+
+def expected(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return sorted(((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""],
+                    hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"capacity": 3, "hash_bits": 4}, {"hash_bits": 1}, {"capacity": 5}])
+def test_equals_brute_force(spark, options):
+    got = op.exact_dedup(frame(spark, ROWS), **options)
+    result = sorted((tuple(r)[:5] for r in got.collect()), key=repr)
+    assert result == expected(ROWS)
+
+
+def test_overfull_buckets_split_and_collisions_chain(spark):
+    got = op.exact_dedup(frame(spark, ROWS), capacity=3, hash_bits=4)
+    assert got.select("bucket").distinct().count() > 4
+    assert got.agg({"chain": "max"}).first()[0] > 1
+
+
+def test_empty_table(spark):
+    assert op.exact_dedup(frame(spark, [])).collect() == []
+    assert op.distinct_documents(frame(spark, [])).collect() == []
+
+
+def test_one_row_of_each_text_stays_with_all_columns(spark):
+    docs = frame(spark, ROWS)
+    got = op.distinct_documents(docs)
+    assert got.columns == docs.columns
+    want = sorted(((keep, text) for (keep, text) in {(e[1], e[4]) for e in expected(ROWS)}), key=repr)
+    assert sorted(((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in got.collect()),
+                  key=repr) == want
