@@ -4,7 +4,8 @@ Two zstandard dictionaries are built, of good and of bad labelled texts. A text
 into pieces, each compressed with either dictionary, so what helps is the dictionary and
 not the text itself, however long it is. The difference of the two summed sizes, divided by
 the length, becomes a score by logistic regression on labelled texts that are in neither
-dictionary.
+dictionary. A few words compress alike with either, so the shorter a text, the more the
+regression falls back on how common good texts are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from wardline.llm.common import Shelf, labelled_sample, logistic
 #: Bounds of the fit: labelled rows of each class, pieces of each class for the dictionaries.
 ROWS_PER_CLASS, PIECES_PER_CLASS = 6_000, 6_000
 PIECE, DICTIONARY, LEVEL = 1024, 112_640, 3
+#: Units of the difference and of the length in the calibration.
+SCALE, SHORT = 0.02, 50
 SEED = 23
 
 
@@ -35,12 +38,11 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 
 @dataclass
 class Compressor:
-    """Dictionaries and the calibration score = logistic(slope * difference + offset)."""
+    """Dictionaries and the calibration, the coefficients of `_design`."""
 
     good: bytes
     bad: bytes
-    slope: float = 0.0
-    offset: float = 0.0
+    coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def sizes(self):
         """A function from a text to its sizes with the good and the bad dictionary."""
@@ -60,27 +62,34 @@ class Compressor:
         return of
 
     def differences(self, bodies: list[bytes]) -> np.ndarray:
+        """(bad size - good size) / length, and the length, of each text; 0 for empty ones."""
         of = self.sizes()
-        found = np.zeros(len(bodies))
+        found = np.zeros((len(bodies), 2))
         for i, body in enumerate(bodies):
             if body:
                 good, bad = of(body)
-                found[i] = (bad - good) / len(body)
+                found[i] = (bad - good) / len(body), len(body)
         return found
 
+    def scores(self, bodies: list[bytes]) -> np.ndarray:
+        return logistic(_design(self.differences(bodies)) @ np.array(self.coefficients))
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of one variable by Newton steps, classes weighted alike, with a little shrinkage."""
-    scale = float(np.abs(x).mean()) or 1.0
-    design = np.stack([x / scale, np.ones(len(x))], axis=1)
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
-    beta, shrink = np.zeros(2), np.diag([0.1, 1e-6])
-    for _ in range(50):
+
+def _design(found: np.ndarray) -> np.ndarray:
+    return np.stack([found[:, 0] / SCALE, np.ones(len(found)), 1 / (1 + found[:, 1] / SHORT)], axis=1)
+
+
+def _calibrate(found: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a little shrinkage; the classes weigh as in the true rate."""
+    design, shrink = _design(found), np.diag([1e-2, 1e-6, 1e-1])
+    share = np.where(y == 1, rate / (y == 1).sum(), (1 - rate) / (y == 0).sum()) * len(y)
+    beta = np.zeros(3)
+    for _ in range(60):
         p = logistic(design @ beta)
         slope = design.T @ (share * (p - y)) + shrink @ beta
         step = np.linalg.solve((design * (share * p * (1 - p))[:, None]).T @ design + shrink, slope)
         beta = beta - step / max(1.0, np.abs(step).max())
-    return float(beta[0] / scale), float(beta[1])
+    return tuple(map(float, beta))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows_per_class: int = ROWS_PER_CLASS) -> Compressor:
@@ -94,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows_per_class:
                         .repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
     n, n_good = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n_good in (0, n):
-        return Compressor(b"", b"", 0.0, 0.0 if n == 0 else 20.0 if n_good else -20.0)
+        return Compressor(b"", b"", (0.0, 0.0 if n == 0 else 20.0 if n_good else -20.0, 0.0))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(train_rows)
+    rate = known.agg(F.avg("quality")).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +129,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows_per_class:
         for batch in batches:
             found = model.differences([x or b"" for x in batch.column("body").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lot"), batch.column("label"), pa.array(found)], ["lot", "label", "difference"])
+                [batch.column("lot"), batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])],
+                ["lot", "label", "difference", "bytes"])
 
-    held = rows.filter("pmod(lot, 2) = 1").mapInArrow(measure, "lot long, label int, difference double").orderBy(
-        "lot").collect()  # two numbers per sampled row
-    x, y = np.array([r["difference"] for r in held]), np.array([r["label"] for r in held], float)
+    held = rows.filter("pmod(lot, 2) = 1").mapInArrow(measure, "lot long, label int, difference double, bytes double").orderBy(
+        "lot").collect()  # three numbers per sampled row
+    x = np.array([(r["difference"], r["bytes"]) for r in held]).reshape(-1, 2)
+    y = np.array([r["label"] for r in held], float)
     if len(set(y)) == 2:
-        model.slope, model.offset = _calibrate(x, y)
+        model.coefficients = _calibrate(x, y, min(max(rate, 0.01), 0.99))
     else:  # too few rows to spare any for the calibration
-        model.slope, model.offset = 50.0, 0.0
+        model.coefficients = (1.0, 0.0, 0.0)
     return model
 
 
@@ -136,9 +149,8 @@ def score(docs: DataFrame, model: Compressor) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.differences([x or b"" for x in batch.column("body").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(logistic(model.slope * found + model.offset))], ["doc_id", "score"])
+            found = model.scores([x or b"" for x in batch.column("body").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(
         run, f"doc_id {kind}, score double")

@@ -27,7 +27,7 @@ ROWS_PER_CLASS, TERMS = 6_000, 4_096
 #: Terms must be in so many sampled texts and deviate by so many standard errors.
 LEAST_TEXTS, LEAST_Z = 4, 4.5
 PREFIXES = (4, 5, 6)
-FACTORS, ROUNDS, RATE, PENALTY = 6, 300, 0.05, 1e-3
+FACTORS, ROUNDS, RATE, PENALTY = 6, 300, 0.05, 3e-5
 REMEMBERED = 200_000
 SEED = 17
 
@@ -100,7 +100,11 @@ def _pairs(weights, vectors, at, row, n):
 
 
 def train(rows: list[list[int]], labels: np.ndarray, terms: dict[int, int], rate: float) -> Machine:
-    """Adam on the logistic loss, classes weighted alike; the bias is then set for the true rate of label 1."""
+    """Adam on the logistic loss, classes weighted alike.
+
+    The bias is then moved half-way to the log-odds of the true rate of label 1: weights are
+    shrunk, which holds scores of rare terms down already.
+    """
     n, k = len(rows), len(terms)
     lengths = np.array([len(r) for r in rows], dtype=int)
     at, row = np.fromiter(chain.from_iterable(rows), int, lengths.sum()), np.repeat(np.arange(n), lengths)
@@ -116,15 +120,15 @@ def train(rows: list[list[int]], labels: np.ndarray, terms: dict[int, int], rate
         each = error[row]
         of_vectors = np.stack([
             np.bincount(at, each * (sums[row, f] - vectors[at, f]), k) for f in range(FACTORS)], axis=1)
-        slopes = [np.array([error.sum()]), np.bincount(at, each, k) + PENALTY * weights / max(k, 1),
-                  of_vectors + PENALTY * vectors / max(k, 1)]
+        slopes = [np.array([error.sum()]), np.bincount(at, each, k) + PENALTY * weights,
+                  of_vectors + PENALTY * vectors]
         for i, slope in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * slope
             second[i] = 0.999 * second[i] + 0.001 * slope ** 2
             step = first[i] / (1 - 0.9 ** turn) / (np.sqrt(second[i] / (1 - 0.999 ** turn)) + 1e-9)
             theta[i] = theta[i] - RATE * step
     odds = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
-    return Machine(terms, float(theta[0][0] + odds), theta[1], theta[2])
+    return Machine(terms, float(theta[0][0] + odds / 2), theta[1], theta[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows_per_class: int = ROWS_PER_CLASS) -> Machine:
