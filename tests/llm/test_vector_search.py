@@ -1,0 +1,55 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from wardline.llm import vector_search as op
+
+SCHEMA = "vec_id long, embedding array<float>, vector string, point int, query int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA).repartition(3)
+
+
+def corpus():
+    draw = random.Random(6)
+    vector = lambda n=5: [draw.choice([draw.uniform(-1, 1), draw.uniform(-9, 9), 0.25]) for _ in range(n)]
+    hot = vector()
+    rows = [(i, vector()) for i in range(300)] + [(1_000 + i, hot) for i in range(90)]
+    rows += [(2_000, None), (2_050, [0.1, None, 0.2, 0.3, 0.4]), (2_100, [math.nan] * 5), (2_150, [math.inf] * 5),
+             (None, vector()), (2_200, [0.0] * 5), (2_250, vector(3)), (2_300, vector(3)), (2_350, []), (50, hot), (-100, hot)]
+    return rows + [(100, [9.0] * 5), (100, [8.0] * 5)]
+
+
+def plain(rows, k):
+    kept = {}
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        x = [math.floor(256 * float(c)) for c in v]
+        kept[i] = max(kept.get(i, x), x)
+    result = []
+    for q, x in kept.items():
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in kept.items() if i != q and len(y) == len(x))
+            result += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(result)
+
+
+@pytest.mark.parametrize("options", [{}, {"vector_block": 40, "query_block": 3, "first_read": 1}])
+def test_equals_brute_force(spark, options):
+    import numpy as np
+
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in corpus()]
+    got = op.top_k(op.integer_vectors(frame(spark, rows)), F.col("vec_id") % 50 == 0, 5, **options)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, 5)
+
+
+def test_fewer_vectors_than_asked_and_none(spark):
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5])]
+    got = op.top_k(op.integer_vectors(frame(spark, rows)), F.col("vec_id") % 50 == 0)
+    assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 98304)]
+    for none in ([], [(50, [1.0])]):
+        assert op.top_k(op.integer_vectors(frame(spark, none)), F.col("vec_id") % 50 == 0).collect() == []
