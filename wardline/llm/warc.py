@@ -1,7 +1,7 @@
 """WARC archives and their capture index.
 
-Pages are written as WARC/1.1 records, one after the other; a payload of some size that
-another record holds is written once, and the other records revisit it. Reading an
+Pages are written as WARC/1.1 records, each a gzip member of its own; a payload of some size
+that another record holds is written once, and the other records revisit it. Reading an
 archive gives a run of captures, sorted where it was read. The runs are merged outside
 memory: each owner task takes a range of (URL key, timestamp) and merges its slices
 of all runs with a loser tree, so its output continues that of the task before, and the
@@ -11,6 +11,7 @@ captures of a URL stand together in time order.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -22,8 +23,9 @@ from wardline.llm.common import Shelf
 #: Payloads from this size on are revisited.
 LEAST_REVISIT = 1000
 #: Bounds of an archive file and of an owner task's range.
-RECORDS_PER_FILE, CAPTURES_PER_RANGE = 2_000, 50_000
+RECORDS_PER_FILE, CAPTURES_PER_RANGE = 4_000, 50_000
 CRLF = "\r\n"
+GZIP, READ_AT_ONCE = 31, 1 << 16
 CAPTURE = ("urlkey string, timestamp string, page_id {id}, record_type string, payload_digest string, "
            "payload_bytes long, refers_to {id}, file string, offset long, length long")
 
@@ -79,9 +81,26 @@ def records(pages: DataFrame) -> DataFrame:
         F.concat(head, F.lit(CRLF * 2), "block").alias("record"))
 
 
+def member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+    return packer.compress(data) + packer.flush()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [member(x + b"\r\n\r\n") for x in batch.column("record").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+
+
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
-    """Write pages as archive files under `path`, through Spark's writer, so any file system that Spark writes serves."""
-    (records(with_revisits(pages, least)).write.option("lineSep", CRLF * 2)
+    """Write pages as archive files under `path`, through Spark's writer, so any file system that Spark writes serves.
+
+    Its text format writes the bytes of a string as they are. It wants something between two rows, which is
+    an empty gzip member: readers of gzip pass over it.
+    """
+    (records(with_revisits(pages, least)).select(F.col("record").cast("binary").alias("record"))
+     .mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write
+     .option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("ISO-8859-1"))
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
@@ -97,24 +116,38 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.removeprefix('www.').split('.')))}{port}){parts.path or '/'}{query}"
 
 
-def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], dict[str, str], bytes]]:
-    """Records of an archive: offset, length, WARC headers, HTTP headers, payload. Lengths, not separators, rule."""
+def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and data of the gzip members that hold something."""
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        unpacker, end, data = zlib.decompressobj(GZIP), at, []
+        while not unpacker.eof:
+            if end >= len(content):
+                raise ValueError(f"the record at byte {at} is cut off")
+            part = view[end:end + READ_AT_ONCE]
+            data.append(unpacker.decompress(part))
+            end += len(part)
+        end -= len(unpacker.unused_data)
+        if any(data):
+            yield at, end - at, b"".join(data)
+        at = end
+
+
+def parse(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """WARC headers, HTTP headers and payload of a record. Lengths, not separators, rule."""
     def fields(head: bytes) -> dict[str, str]:
         lines = head.decode("utf-8", "replace").split(CRLF)[1:]
         return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
 
-    at = 0
-    while at < len(content):
-        if not content.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at byte {at}")
-        body = content.index(b"\r\n\r\n", at) + 4
-        warc = fields(content[at:body - 4])
-        end = body + int(warc["content-length"])
-        if content[end:end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has not the length that it tells")
-        payload = content.index(b"\r\n\r\n", body, end) + 4
-        yield at, end + 4 - at, warc, fields(content[body:payload - 4]), content[payload:end]
-        at = end + 4
+    if not record.startswith(b"WARC/1."):
+        raise ValueError("no WARC record")
+    body = record.index(b"\r\n\r\n") + 4
+    warc = fields(record[:body - 4])
+    end = body + int(warc["content-length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError("the record has not the length that it tells")
+    payload = record.index(b"\r\n\r\n", body, end) + 4
+    return warc, fields(record[body:payload - 4]), record[payload:end]
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
@@ -126,7 +159,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
                 rows = []
-                for offset, length, warc, http, payload in parse(content.as_py()):
+                for offset, length, record in members(content.as_py()):
+                    warc, http, payload = parse(record)
                     digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"the payload at byte {offset} of {path} has another digest")
