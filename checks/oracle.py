@@ -26,7 +26,7 @@ flows AS (
     CAST(floor(value * 1048576) AS BIGINT) AS bytes,
     CASE WHEN event_type = 'error' THEN 0 ELSE 5 END AS answers,
     risk, k % 37 = 0 AS srv_bl, k % 41 = 0 AS cli_bl, risk <> 0 AS alerted,
-    concat(src >> 24, '.', (src >> 16) & 255, '.', (src >> 8) & 255, '.', src & 255) AS src_ip,
+    concat(src >> 24, '.', (src >> 16) & 255, '.', (src >> 8) & 255, '.', src & 255) AS src_ip, k,
     CASE WHEN k = 13 THEN 'fd00::' || user_id
          ELSE concat(src >> 24, '.', (src >> 16) & 255, '.', (src >> 8) & 255, '.', src & 255) END AS cli_ip,
     1000 + k AS srv_port,
@@ -70,8 +70,8 @@ LABEL = ("CASE {0} WHEN 0 THEN 'Incomplete Flows' WHEN 1 THEN 'RX-only (vittima)
          "WHEN 3 THEN 'FIN Scan' WHEN 4 THEN 'RST Scan' ELSE concat('Codice sconosciuto (', {0}, ')') END")
 
 
-def deterministic(ref: str) -> str:
-    """M_rep .. M_scan over the day before ref."""
+def deterministic(ref: str, limit: int = 10, servers: int = 3, clients: int = 11) -> str:
+    """M_rep .. M_scan over the day before ref; `limit` items in a list, tiers from `servers` and `clients` hits."""
     in_day = "{0} >= r.ref - INTERVAL 1440 MINUTE AND {0} < r.ref"
     return f"""
 r AS (SELECT TIMESTAMP '{ref}' AS ref),
@@ -81,11 +81,11 @@ rep_counts AS (
 ),
 m_rep AS (
   SELECT host_ip, hits_srv, hits_cli, hits_srv + hits_cli AS hits_totali,
-    CASE WHEN hits_srv >= 3 THEN 'COMPROMISSIONE PERSISTENTE (C2 attivo - hits ripetuti)'
+    CASE WHEN hits_srv >= {servers} THEN 'COMPROMISSIONE PERSISTENTE (C2 attivo - hits ripetuti)'
          WHEN hits_srv >= 1 THEN 'CONTATTO ISOLATO a server BL (possibile beacon iniziale)'
-         WHEN hits_cli >= 11 THEN 'SCANSIONE MIRATA (target persistente)'
+         WHEN hits_cli >= {clients} THEN 'SCANSIONE MIRATA (target persistente)'
          ELSE 'SCANSIONE RARA (rumore di fondo Internet)' END AS scenario,
-    CASE WHEN hits_srv >= 3 THEN 50 WHEN hits_srv >= 1 THEN 30 WHEN hits_cli >= 11 THEN 15 ELSE 5 END AS penalita
+    CASE WHEN hits_srv >= {servers} THEN 50 WHEN hits_srv >= 1 THEN 30 WHEN hits_cli >= {clients} THEN 15 ELSE 5 END AS penalita
   FROM rep_counts WHERE hits_srv + hits_cli > 0
 ),
 day_alerts AS (
@@ -114,7 +114,7 @@ srv_pairs AS (
 srv_top AS (SELECT *, row_number() OVER (PARTITION BY host_ip ORDER BY hits DESC, port) AS rn FROM srv_pairs),
 m_srv AS (
   SELECT host_ip, CAST(sum(hits) AS BIGINT) AS hits_totali, count(*) AS porte_distinte,
-    list_sort(list(port) FILTER (WHERE rn <= 10)) AS lista_porte, 20 AS penalita
+    list_sort(list(port) FILTER (WHERE rn <= {limit})) AS lista_porte, 20 AS penalita
   FROM srv_top GROUP BY host_ip
 ),
 proto_pairs AS (
@@ -127,7 +127,7 @@ proto_top AS (
 ),
 m_proto AS (
   SELECT host_ip, CAST(sum(hits) AS BIGINT) AS hits_totali, count(*) AS combinazioni_distinte,
-    list(concat(proto, ' su porta ', srv_port) ORDER BY proto, srv_port) FILTER (WHERE rn <= 10) AS lista_mismatch,
+    list(concat(proto, ' su porta ', srv_port) ORDER BY proto, srv_port) FILTER (WHERE rn <= {limit}) AS lista_mismatch,
     25 AS penalita
   FROM proto_top GROUP BY host_ip
 ),
@@ -145,10 +145,17 @@ scan_rated AS (
          WHEN list_contains(codes, 2) THEN 'SYN SCAN CLASSICO' ELSE 'INCOMPLETE FLOWS (scan base)' END AS cat
   FROM scan_rows
 ),
+scan_codes AS (
+  SELECT host_ip, code, count(*) AS hits
+  FROM (SELECT host_ip, unnest(list_distinct(codes)) AS code FROM scan_rated WHERE pen > 0) GROUP BY ALL
+),
+scan_top AS (SELECT *, row_number() OVER (PARTITION BY host_ip ORDER BY hits DESC, code) AS rn FROM scan_codes),
 scan_hosts AS (
-  SELECT host_ip, count(*) AS hits_totali, list_sort(list_distinct(flatten(list(codes)))) AS codici_rilevati,
+  SELECT r.host_ip, count(*) AS hits_totali,
+    coalesce((SELECT list_sort(list(code)) FROM scan_top t WHERE t.host_ip = r.host_ip AND rn <= {limit}),
+             CAST([] AS INTEGER[])) AS codici_rilevati,
     arg_max(cat, pen) AS categoria_dominante, max(pen) AS penalita
-  FROM scan_rated WHERE pen > 0 GROUP BY host_ip
+  FROM scan_rated r WHERE pen > 0 GROUP BY r.host_ip
 ),
 m_scan AS (
   SELECT host_ip, hits_totali, codici_rilevati,
@@ -216,6 +223,9 @@ fail_judged AS (
 m_fail AS (SELECT *, 30 AS penalita FROM fail_judged WHERE M_fail = 1)"""
 
 
+LABELS = {"M_rep": "Destination reputation", "M_cert": "TLS certificate anomalies", "M_sni": "SNI evasion",
+          "M_srv": "Server port detected", "M_proto": "Non-standard port/protocol", "M_scan": "Network discovery",
+          "M_vol": "Asimmetria volumetrica", "M_fail": "Connection failure rate"}
 KEYS = ("M_rep", "M_cert", "M_sni", "M_srv", "M_proto", "M_scan", "M_vol", "M_fail")
 
 
@@ -252,6 +262,10 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join((FLOWS, *parts)) + "\n"
 
 
+BEST = "greatest(" + ", ".join(f"n_{c}" for c in CAUSES) + ")"
+CAUSE = "CASE " + " ".join(f"WHEN n_{c} = {BEST} THEN '{t}'" for c, t in CAUSE_TEXT.items()) + " END"
+
+
 def _details() -> str:
     """Long-form details: one SELECT per (metric, field), in report order."""
     text = "list_transform({0}, lambda x: concat('''', x, ''''))"
@@ -269,14 +283,15 @@ def _details() -> str:
                   "categoria_temporale", "bucket_baseline"],
         "M_fail": ["n_totali", "n_falliti", *[(f, f"printf('%.4f', {f})") for f in
                    ("r_corrente", "r_mediana", "mad", "mad_eff", "z_modified")], "bucket_count",
-                   "categoria_temporale", *[(f"breakdown.{c}", f"n_{c}") for c in CAUSES]],
+                   "categoria_temporale", *[(f"breakdown.{c}", f"n_{c}") for c in CAUSES],
+                   ("causa_dominante", CAUSE)],
     }
     selects = []
-    for key, columns in fields.items():
+    for order, (key, columns) in enumerate(fields.items()):
         for pos, column in enumerate(columns):
             name, expression = column if isinstance(column, tuple) else (column, column)
             selects.append(
-                f"SELECT host_ip, '{key}' AS metrica, penalita, {pos} AS posizione, '{name}' AS campo, "
+                f"SELECT host_ip, '{key}' AS metrica, {order} AS ordine_metrica, penalita, {pos} AS posizione, '{name}' AS campo, "
                 f"CAST({expression} AS VARCHAR) AS valore FROM {key.lower()}")
     return "details AS (" + " UNION ALL ".join(selects) + ")"
 
@@ -286,11 +301,10 @@ def oracle_sql() -> dict[str, str]:
     scored = _with(deterministic(NIGHT), statistical(NIGHT), scores())
     host_scores = "SELECT host_ip, score, fascia, metriche AS metriche_attive, penalita_totale FROM hosts"
     fail_columns = ("host_ip, M_fail, n_totali, n_falliti, r_corrente, r_mediana, mad, mad_eff, z_modified, "
-                    "bucket_count, categoria_temporale, " + ", ".join(f"n_{c} AS breakdown_{c}" for c in CAUSES))
-    best = "greatest(" + ", ".join(f"n_{c}" for c in CAUSES) + ")"
-    cause = "CASE " + " ".join(f"WHEN n_{c} = {best} THEN '{t}'" for c, t in CAUSE_TEXT.items()) + " END"
+                    "bucket_count, categoria_temporale, " + ", ".join(f"n_{c} AS breakdown_{c}" for c in CAUSES) + f", {CAUSE} AS causa_dominante")
     counts = " UNION ALL ".join(
-        f"SELECT '{k}' AS metric, true AS ok, count(*) AS n_hosts FROM {k.lower()}" for k in KEYS)
+        f"SELECT '{k}' AS metric, '{LABELS[k]}' AS label, true AS ok, count(*) AS n_hosts FROM {k.lower()}" for k in KEYS)
+    short = _with(deterministic(NIGHT, limit=1, servers=2, clients=1), statistical(NIGHT))
     stamp = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
     return {
         "m_rep": night + "SELECT host_ip, 1 AS M_rep, hits_srv, hits_cli, hits_totali, scenario, penalita FROM m_rep",
@@ -310,7 +324,7 @@ def oracle_sql() -> dict[str, str]:
         "m_fail_working_hours": _with(statistical(WORKDAY)) + f"SELECT {fail_columns}, penalita FROM m_fail",
         "m_fail_weekend": _with(statistical(SATURDAY)) + f"SELECT {fail_columns}, penalita FROM m_fail",
         "m_fail_diagnostic": night + f"SELECT {fail_columns}, 30 * M_fail AS penalita FROM fail_judged",
-        "dominant_cause": night + f"SELECT host_ip, {cause} AS causa, {best} AS conteggio FROM fail_judged",
+        "dominant_cause": night + f"SELECT host_ip, {CAUSE} AS causa, {BEST} AS conteggio FROM fail_judged",
         "scan_code_labels": _with() + f"""
             SELECT code, {LABEL.format('code')} AS label, count(*) AS alerts
             FROM (SELECT unnest(CAST(json_extract(json, '$.alerts') AS INTEGER[])) AS code
@@ -325,14 +339,40 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN host_rosso = 0 THEN 'rete sicura' WHEN host_rosso >= 2 THEN 'diffusione sistemica'
                  ELSE 'anomalia localizzata' END AS stato FROM net""",
         "suspect_ranking": scored + """SELECT host_ip, score, fascia,
-            CASE WHEN length(metriche) > 40 THEN metriche[1:37] || '...' ELSE metriche END AS metriche
+            CASE WHEN length(metriche) > 40 THEN metriche[1:37] || '...' ELSE metriche END AS metriche,
+              replace(metriche, ', ', '|') AS metriche_attive
             FROM hosts WHERE fascia <> 'VERDE' ORDER BY score DESC, host_ip""",
         "suspect_details": _with(deterministic(NIGHT), statistical(NIGHT), scores(), _details()) + """
             SELECT h.host_ip, score, fascia,
               CASE WHEN penalita_totale > 100 THEN penalita_totale END AS penalita_grezza,
-              metrica, penalita, posizione, campo, valore
+              metrica, ordine_metrica, penalita, posizione, campo, valore
             FROM hosts h JOIN details d ON h.host_ip = d.host_ip WHERE fascia <> 'VERDE'""",
         "metric_status": night + counts,
+        "metric_status_one_failing": night + counts.replace(
+            "true AS ok, count(*) AS n_hosts FROM m_scan", "false AS ok, CAST(0 AS BIGINT) AS n_hosts"),
+        "host_items": night + """
+            SELECT host_ip, 'M_srv' AS metric, CAST(port AS VARCHAR) AS item, hits FROM srv_pairs
+            UNION ALL SELECT host_ip, 'M_proto', concat(proto, ' su porta ', srv_port), hits FROM proto_pairs
+            UNION ALL SELECT host_ip, 'M_scan', CAST(code AS VARCHAR), hits FROM scan_codes""",
+        "m_rep_low_tiers": short + "SELECT host_ip, 1 AS M_rep, hits_srv, hits_cli, hits_totali, scenario, penalita FROM m_rep",
+        "m_srv_short": short + "SELECT host_ip, 1 AS M_srv, hits_totali, porte_distinte, "
+                               "array_to_string(lista_porte, '|') AS lista_porte, penalita FROM m_srv",
+        "m_proto_short": short + "SELECT host_ip, 1 AS M_proto, hits_totali, combinazioni_distinte, "
+                                 "array_to_string(lista_mismatch, '|') AS lista_mismatch, penalita FROM m_proto",
+        "m_scan_short": short + "SELECT host_ip, 1 AS M_scan, hits_totali, array_to_string(codici_rilevati, '|') AS codici_rilevati, "
+                                "array_to_string(codici_descritti, '|') AS codici_descritti, categoria_dominante, penalita FROM m_scan",
+        "scores_isolated_from_profile":
+            _with(deterministic(ODD_MINUTE), statistical(ODD_MINUTE), scores()) + host_scores,
+        "scores_of_foreign_tables": scored + host_scores,
+        "score_run_stored": scored + host_scores,
+        "score_run_stored_from_profile": scored + host_scores,
+        "profile_rewritten": _with() + f"""SELECT src AS host, {stamp.format("date_trunc('hour', first_seen)")} AS bucket,
+            CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
+            FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} AND k % 3 = 0
+              AND first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 3 DAY AND first_seen < TIMESTAMP '{NIGHT}' GROUP BY ALL""",
+        "stream_restarted": _with() + f"""SELECT src AS host, {stamp.format("date_trunc('hour', first_seen)")} AS bucket,
+            CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
+            FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} GROUP BY ALL""",
         "flagged_hosts": night + f"SELECT metric, n_hosts FROM ({counts})",
         "service_novelty": _with() + f"""
             , ours AS (SELECT src_ip AS host_ip, srv_port, first_seen FROM flows

@@ -16,9 +16,10 @@ from wardline.inputs import MetricInputs
 from wardline.operators import baseline, flow_metrics, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
-from wardline.plans import profile, registry, scoring
+from wardline.plans import profile, registry, run, scoring
 from wardline.plans.lineage import ensure_checkpoint_dir
 from wardline.sources import events as source
+from wardline.sources import tables as stored_tables
 from wardline.streaming import profile_stream
 
 # The benchmark events are thin (about one per active user and hour), so the
@@ -28,6 +29,7 @@ NIGHT = RiskParams(
     history_days=28, min_baseline_buckets=3, fail_min_flows=3)
 WORKDAY = replace(NIGHT, flows_ref=datetime(2024, 1, 29, 15))
 SATURDAY = replace(NIGHT, flows_ref=datetime(2024, 1, 27, 15))
+LOW = replace(NIGHT, list_limit=1, rep_srv_persistent_from=2, rep_cli_targeted_from=1)
 ODD_MINUTE = replace(NIGHT, flows_ref=datetime(2024, 1, 29, 15, 20))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +102,7 @@ def network_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def suspect_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.suspect_ranking(_scores(spark, folder))
+    return flat(scoring.suspect_ranking(_scores(spark, folder), NIGHT))
 
 
 def suspect_details(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +111,82 @@ def suspect_details(spark: SparkSession, folder: str) -> DataFrame:
 
 def metric_status(spark: SparkSession, folder: str) -> DataFrame:
     _, status = registry.run_metrics(tables(spark, folder), NIGHT)
-    return status.select("metric", "ok", "n_hosts")
+    return status.select("metric", "label", "ok", "n_hosts")
+
+
+def metric_status_one_failing(spark: SparkSession, folder: str) -> DataFrame:
+    """M_scan fails when it is computed; the others stay and it counts as without hosts."""
+    def failing(inputs: MetricInputs, p: RiskParams) -> DataFrame:
+        return inputs.host_alerts.select(
+            F.raise_error(F.lit("no alerts")).cast("string").alias("host_ip"), F.lit(1).alias("penalita"))
+
+    specs = [replace(s, fn=failing) if s.key == "M_scan" else s for s in registry.METRICS]
+    return run.score_network(tables(spark, folder), NIGHT, specs=specs).metric_status.select(
+        "metric", "label", "ok", "n_hosts")
+
+
+def host_items(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.host_items(tables(spark, folder), NIGHT)
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scores_isolated_from_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Each metric on its own, history from the stored profile; raw flows are kept for its edges only."""
+    inputs, place = tables(spark, folder), _place(spark, "profile")
+    hours = profile.whole_hours(ODD_MINUTE)
+    profile.write_profile(inputs.flows, place, ODD_MINUTE, hours)
+    raw = inputs.flows.filter(~timewin.between("FIRST_SEEN", hours))
+    lean = replace(inputs, flows=raw, alerted_flows=inputs.flow_alerts, profile=profile.read_profile(spark, place))
+    return _score_columns(run.score_network(lean, ODD_MINUTE, fused=False).host_scores)
+
+
+def scores_of_foreign_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables as a database gives them: decimal bitmaps and addresses, boolean flags, other case."""
+    inputs = tables(spark, folder)
+    foreign = inputs.flows.select(*[
+        (F.col(c) == 1 if c.startswith("IS_") else F.col(c).cast("decimal(20,0)") if kind == "bigint" else F.col(c))
+        .alias(c.lower()) for c, kind in inputs.flows.dtypes])
+    alerts = inputs.host_alerts.select(
+        F.col("ip").alias("IP"), "tstamp", F.col("alert_id").cast("decimal(10,0)").alias("ALERT_ID"), "json")
+    return _score_columns(scoring.fused_host_scores(
+        MetricInputs(stored_tables.flows_of(foreign), stored_tables.host_alerts_of(alerts)), NIGHT))
+
+
+def _stored_inputs(spark: SparkSession, folder: str, place: str) -> MetricInputs:
+    inputs = tables(spark, folder)
+    for _ in range(2):  # a job that runs again doubles nothing
+        stored_tables.write_by_day(inputs.host_alerts, f"{place}/host_alerts", "tstamp")
+    stored_tables.write_by_day(inputs.flows, f"{place}/flows", "FIRST_SEEN")
+    return MetricInputs(stored_tables.read_flows(spark, f"{place}/flows", day_column="dt"),
+                        stored_tables.read_host_alerts(spark, f"{place}/host_alerts", day_column="dt"))
+
+
+def score_run_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables written by day, read back, scored, the results written and read again."""
+    place = _place(spark, "stored")
+    run.score_network(_stored_inputs(spark, folder, place), NIGHT).write(f"{place}/results")
+    return _score_columns(spark.read.parquet(f"{place}/results/host_scores"))
+
+
+def score_run_stored_from_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a stored profile."""
+    place = _place(spark, "stored")
+    inputs = _stored_inputs(spark, folder, place)
+    profile.write_profile(inputs.flows, f"{place}/profile", NIGHT, timewin.history_window(NIGHT))
+    run.score_network(inputs, NIGHT, profile=profile.read_profile(spark, f"{place}/profile")).write(f"{place}/results")
+    return _score_columns(spark.read.parquet(f"{place}/results/host_scores"))
+
+
+def profile_rewritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A window written again from fewer flows keeps none of the old hours."""
+    flows, place = tables(spark, folder).flows, _place(spark, "profile")
+    window = (NIGHT.flows_epoch - 3 * timewin.DAY, NIGHT.flows_epoch)
+    profile.write_profile(flows, place, NIGHT, window)
+    profile.write_profile(flows.filter("(SRV_PORT - 1000) % 3 = 0"), place, NIGHT, window)
+    return flat(profile.read_profile(spark, place).drop("dt", "hh"))
 
 
 def flagged_hosts(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,15 +330,31 @@ def hourly_profile(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The hourly profile again, taken in as a stream and merged on reading."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    arriving = (
-        spark.readStream.schema(source.EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder))
-    place = f"{ensure_checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}"
+    place = _place(spark, "profile")
     query = profile_stream.stream_profile(
-        source.flows_from_events(arriving), f"{place}/table", f"{place}/progress", NIGHT)
+        source.flows_from_events(_arriving(spark, folder)), f"{place}/table", f"{place}/progress", NIGHT)
     query.awaitTermination()
     return flat(profile_stream.merged_profile(profile_stream.read_partials(spark, f"{place}/table")))
 
 
+def _arriving(spark: SparkSession, folder: str) -> DataFrame:
+    """The table as a stream of files; a pattern names it, be it one file or a folder of files."""
+    return spark.readStream.schema(source.EVENTS).parquet(f"{folder}/events.parque[t]")
+
+
+def stream_restarted(spark: SparkSession, folder: str) -> DataFrame:
+    """Two streams into one table, each from its own batch 0: neither loses what the other has written."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    place = _place(spark, "profile")
+    flows = source.flows_from_events(_arriving(spark, folder))
+    for part in range(2):
+        profile_stream.stream_profile(
+            flows.filter(f"FLOW_ID % 2 = {part}"), f"{place}/table", f"{place}/progress-{part}", NIGHT,
+            stream=f"part-{part}").awaitTermination()
+    profile_stream.compact(spark, f"{place}/table", f"{place}/profile")
+    return flat(profile.read_profile(spark, f"{place}/profile").drop("dt", "hh"))
+
+
 def contextual_baseline(spark: SparkSession, folder: str) -> DataFrame:
     samples = baseline.host_hour(tables(spark, folder).flows, NIGHT)
     return baseline.contextual_baseline(
@@ -304,6 +397,18 @@ def queries() -> dict[str, Query]:
         "suspect_ranking": suspect_ranking,
         "suspect_details": suspect_details,
         "metric_status": metric_status,
+        "metric_status_one_failing": metric_status_one_failing,
+        "host_items": host_items,
+        "m_rep_low_tiers": _metric("M_rep", LOW),
+        "m_srv_short": _metric("M_srv", LOW),
+        "m_proto_short": _metric("M_proto", LOW),
+        "m_scan_short": _metric("M_scan", LOW),
+        "scores_isolated_from_profile": scores_isolated_from_profile,
+        "scores_of_foreign_tables": scores_of_foreign_tables,
+        "score_run_stored": score_run_stored,
+        "score_run_stored_from_profile": score_run_stored_from_profile,
+        "profile_rewritten": profile_rewritten,
+        "stream_restarted": stream_restarted,
         "flagged_hosts": flagged_hosts,
         "service_novelty": novelty,
         "flows_scan": flows_scan,

@@ -153,7 +153,7 @@ def test_windows_prune_days(spark, tmp_path):
 
     rows = [("10.0.0.1", datetime(2024, 3, d, 12), 15, "{}") for d in range(1, 11)]
     write_by_day(spark.createDataFrame(rows, schemas.HOST_ALERTS), str(tmp_path / "t"), "tstamp")
-    table = read_host_alerts(spark, str(tmp_path / "t"))
+    table = read_host_alerts(spark, str(tmp_path / "t"), day_column="dt")
     assert dict(table.dtypes)["dt"] == "date"
     start = int(datetime(2024, 3, 4).timestamp())
     recent = timewin.in_windows(table, "tstamp", (start, start + 2 * timewin.DAY))

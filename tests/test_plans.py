@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline import METRICS, MetricInputs, RiskParams, schemas
-from wardline.operators import flow_metrics, host_alerts
+from wardline.functions import timewin
+from wardline.operators import baseline, flow_metrics, host_alerts
 from wardline.plans import scoring
 from wardline.sources.tables import read_flow_alerts, read_flows, read_host_alerts, write_by_day
 
@@ -37,7 +38,8 @@ def stored(spark, tmp_path_factory):
 
 @pytest.fixture
 def inputs(spark, stored):
-    return MetricInputs(read_flows(spark, f"{stored}/flows"), read_host_alerts(spark, f"{stored}/host_alerts"))
+    return MetricInputs(read_flows(spark, f"{stored}/flows", day_column="dt"),
+                        read_host_alerts(spark, f"{stored}/host_alerts", day_column="dt"))
 
 
 def plan_of(frame, run=False):
@@ -56,11 +58,36 @@ def test_volume_reads_its_columns_and_days_in_one_scan(inputs):
     assert schema == ("ReadSchema: struct<FIRST_SEEN:timestamp,IPV4_SRC_ADDR:bigint,IPV4_DST_ADDR:bigint,"
                       "SRC2DST_BYTES:bigint>")
     pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
-    assert "GreaterThanOrEqual(FIRST_SEEN,2024-03-02 12:00:00.0)" in pushed
+    # A Saturday at noon: of the week before, the weekend days only.
+    for edge in ("2024-03-02 12:00:00.0", "2024-03-04 00:00:00.0", "2024-03-09 00:00:00.0", "2024-03-09 12:00:00.0"):
+        assert f"(FIRST_SEEN,{edge})" in pushed
     assert "GreaterThanOrEqual(IPV4_SRC_ADDR,167772160)" in pushed
     assert "LessThan(IPV4_DST_ADDR,167772160)" in pushed
     days = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
-    assert "dt" in days and "2024-03-02" in days and "2024-03-09" in days
+    assert [d for d in range(1, 10) if f"2024-03-0{d}" in days] == [2, 3, 9]
+
+
+def test_category_windows_follow_the_local_zone_and_odd_minutes(inputs):
+    p = replace(P, flows_ref=datetime(2024, 3, 7, 6, 50), local_tz="Asia/Kathmandu")  # Thursday, 12:35 there
+    windows = timewin.category_windows(p)
+    every = range(*timewin.history_window(p), 60)
+    inside = {t for a, b in windows for t in range(a, b, 60)}
+    assert inside == {t for t in every if timewin.category_of(t, p) == timewin.WORKING}
+    assert len(windows) <= 8 and all(b > a for a, b in windows)
+    rows = sorted(tuple(r) for r in baseline.host_hour(inputs.flows, p).collect())
+    history = timewin.in_windows(inputs.flows, "FIRST_SEEN", timewin.history_window(p))
+    direct = baseline.hourly_profile(history.filter(baseline.same_category("FIRST_SEEN", p)), p)
+    assert rows and rows == sorted(tuple(r) for r in direct.collect())
+
+
+def test_a_column_that_is_called_dt_filters_nothing(inputs):
+    """The date of ingestion, say: only a declared day column may skip days."""
+    late = inputs.flows.drop("dt").withColumn("dt", F.to_date(F.lit("2030-01-01")))
+    own = MetricInputs(late, inputs.host_alerts)
+    a, b = (flow_metrics.m_vol(i, P, only_fired=False).drop("timestamp").collect() for i in (inputs, own))
+    assert a and sorted(a) == sorted(b)
+    declared = MetricInputs(late, inputs.host_alerts, day_column="dt")
+    assert flow_metrics.m_vol(declared, P, only_fired=False).count() == 0
 
 
 def test_reputation_skips_clean_flows_in_the_reader(inputs):
@@ -124,7 +151,7 @@ def test_day_with_most_rows_is_split(spark, tmp_path):
 def test_alert_table_on_its_own(spark, stored, tmp_path, inputs):
     """A stored alerted-flow table gives what the view over the flows gives."""
     write_by_day(inputs.flow_alerts.drop("dt"), str(tmp_path / "alerts"), "tstamp")
-    own = replace(inputs, alerted_flows=read_flow_alerts(spark, str(tmp_path / "alerts")))
+    own = replace(inputs, alerted_flows=read_flow_alerts(spark, str(tmp_path / "alerts"), day_column="dt"))
     assert own.flow_alerts.columns == [*schemas.FLOW_ALERTS.names, "dt"]
     for key in ("M_cert", "M_proto"):
         spec = next(s for s in METRICS if s.key == key)

@@ -1,6 +1,7 @@
 """The stored and the streamed profile give the same results as the raw flows."""
 
 import random
+import warnings
 from dataclasses import replace
 from datetime import timedelta
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import REF, address
-from wardline import RiskParams, schemas, score_network
+from wardline import METRICS, RiskParams, schemas, score_network
 from wardline.functions.timewin import HOUR, in_windows
 from wardline.inputs import MetricInputs
 from wardline.operators.baseline import host_activity, hourly_profile
@@ -113,15 +114,68 @@ def test_streamed_partials_add_up(flows, spark, tmp_path):
     assert partials.count() > len(expected)
     assert sorted(map(tuple, merged.collect())) == expected
     assert activity(profile.host_activity_from_profile(merged, flows, p, "v")) == activity(host_activity(flows, p, "v"))
-    profile.write_profile_rows(merged, str(tmp_path / "merged"))
+    profile_stream.compact(spark, table, str(tmp_path / "merged"))
     assert profile.read_profile(spark, str(tmp_path / "merged")).count() == len(expected)
 
 
-def test_replayed_batch_counts_once(flows, spark, tmp_path):
+def test_a_checkpoint_that_does_not_know_the_table_is_refused(flows, spark, tmp_path):
+    """Batch numbers start anew with it: it would replace batches, or count their flows twice."""
     p, source, table = params(), str(tmp_path / "flows"), str(tmp_path / "table")
     flows.write.parquet(source)
-    for attempt in ("first", "second"):  # lost progress: the same batch number comes again
-        arriving = spark.readStream.schema(schemas.FLOWS).parquet(source)
-        profile_stream.stream_profile(arriving, table, str(tmp_path / attempt), p).awaitTermination()
+    arriving = spark.readStream.schema(schemas.FLOWS).parquet(source)
+    profile_stream.stream_profile(arriving, table, str(tmp_path / "first"), p).awaitTermination()
+    with pytest.raises(ValueError, match="does not know"):
+        profile_stream.stream_profile(arriving, table, str(tmp_path / "second"), p)
+    other = profile_stream.stream_profile(arriving, table, str(tmp_path / "second"), p, stream="again")
+    other.awaitTermination()
     merged = profile_stream.merged_profile(profile_stream.read_partials(spark, table))
-    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, hourly_profile(flows, p).collect()))
+    assert merged.agg(F.sum("flows")).first()[0] == 2 * hourly_profile(flows, p).agg(F.sum("flows")).first()[0]
+
+
+def test_nothing_has_arrived_yet(spark, tmp_path):
+    assert profile_stream.merged_profile(profile_stream.read_partials(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_rewritten_window_keeps_no_stale_hour(flows, spark, tmp_path):
+    p, path = params(), str(tmp_path / "profile")
+    end = profile.whole_hour(p.flows_epoch, p)
+    window = (end - 12 * HOUR, end)
+    profile.write_profile(flows, path, p, window)
+    fewer = flows.filter("hour(FIRST_SEEN) % 2 = 0")
+    profile.write_profile(fewer, path, p, window)
+    stored = profile.read_profile(spark, path).drop("dt", "hh")
+    direct = hourly_profile(in_windows(fewer, "FIRST_SEEN", window), p)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
+
+
+@pytest.mark.parametrize("options", [{"fused": True}, {"fused": False}, {"specs": list(METRICS)},
+                                     {"specs": METRICS[:-1]}, {"broken": True}])
+def test_profile_serves_every_way_of_running(flows, spark, options):
+    """Raw history is not kept: single metrics, own lists of metrics and the fallback read the profile too."""
+    p = params()
+    seen = REF - timedelta(minutes=10)
+    loud = spark.createDataFrame([(9999, 4, seen, seen, address("10.0.0.2"), address("8.8.8.8"), 90 << 30, 1, 5, 0, 0, 0, 0)],
+                                 schemas.FLOWS)
+    flows = flows.union(loud)
+    first, last = profile.whole_hours(p)
+    no_alerts = spark.createDataFrame([], schemas.HOST_ALERTS)
+    if options.pop("broken", False):
+        no_alerts = no_alerts.drop("json")
+    direct = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS),
+                          alerted_flows=spark.createDataFrame([], schemas.FLOW_ALERTS))
+    lean = replace(direct, host_alerts=no_alerts, flows=in_windows(
+        flows, "FIRST_SEEN", (last, p.flows_epoch), (first - HOUR, first)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        run = score_network(lean, p, profile=hourly_profile(flows, p), **options)
+    wanted = scoring.fused_host_scores(direct, p).filter(
+        "true" if len(options.get("specs", METRICS)) == len(METRICS) else "NOT metriche_attive = array('M_fail')")
+    assert {r["host_ip"] for r in run.host_scores.collect()} == {r["host_ip"] for r in wanted.collect()}
+    assert run.host_scores.filter("array_contains(metriche_attive, 'M_vol')").count() > 0
+
+
+def test_profile_without_history_is_refused(flows, spark):
+    p = params()
+    inputs = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS))
+    with pytest.raises(ValueError, match="no row in the history"):
+        score_network(inputs, p, profile=hourly_profile(flows, p).filter("false"))

@@ -9,7 +9,7 @@ from wardline.functions.ip import ipv4_to_string, is_external, is_local
 from wardline.functions.risk import failure_causes, is_failed
 from wardline.functions.text import CAUSE_LABELS
 from wardline.functions.timewin import (
-    alert_window, between, current_window, history_window, hour_bucket, in_windows,
+    alert_window, between_any, category_windows, current_window, hour_bucket, in_windows,
     reference_category, time_category,
 )
 from wardline.params import RiskParams
@@ -93,33 +93,29 @@ def hourly_profile(flows: DataFrame, p: RiskParams) -> DataFrame:
 
 def host_hour(flows: DataFrame, p: RiskParams) -> DataFrame:
     """The hourly samples of the baseline: history window, category of the reference."""
-    past = in_windows(flows, "FIRST_SEEN", history_window(p))
-    return hourly_profile(past.filter(same_category("FIRST_SEEN", p)), p)
+    return hourly_profile(in_windows(flows, "FIRST_SEEN", *category_windows(p)), p)
 
 
-def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool,
-              past_filter: Column | None = None) -> DataFrame:
+def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool, past: list | None = None) -> DataFrame:
     """One row per (host, history hour), plus one per host with a NULL bucket for the rest.
 
     The NULL bucket carries the sums of the current window and, if wanted, the
     blacklist hits of the alert window. Only partial sums leave the map side, so
     a host that owns most flows still shuffles just a few rows per task.
-    `past_filter` narrows the history rows further.
+    `past` are the windows of the history, by default its parts in the category of the reference.
     """
     ts = "FIRST_SEEN"
-    past = between(ts, history_window(p)) & same_category(ts, p)
-    if past_filter is not None:
-        past = past & past_filter
+    past = between_any(ts, category_windows(p) if past is None else past)
     subjects = flows.filter(is_subject(p))
     if with_reputation:
-        recent = between(ts, alert_window(p))
+        recent = between_any(ts, [alert_window(p)])
     else:
         subjects, recent = subjects.filter(goes_outside(p)), F.lit(False)
     kept = (
         subjects
         .withColumns({"outside": goes_outside(p), "recent": recent})
         .withColumns({
-            "now": F.col("outside") & between(ts, current_window(p)),
+            "now": F.col("outside") & between_any(ts, [current_window(p)]),
             "past": F.col("outside") & past,
             "srv": F.expr("recent AND IS_SRV_BLACKLISTED = 1"),
             "cli": F.expr("recent AND IS_CLI_BLACKLISTED = 1"),
@@ -143,11 +139,10 @@ def slices_of(flows: DataFrame, p: RiskParams, with_reputation: bool,
 
 def host_slices(flows: DataFrame, p: RiskParams, with_reputation: bool = False) -> DataFrame:
     """History samples and current sums of every host from a single scan of the flows."""
-    start, _ = history_window(p)
-    _, end = current_window(p)
+    windows = [*category_windows(p), current_window(p)]
     if with_reputation:
-        start = min(start, alert_window(p)[0])
-    return slices_of(in_windows(flows, "FIRST_SEEN", (start, end)), p, with_reputation)
+        windows.append(alert_window(p))
+    return slices_of(in_windows(flows, "FIRST_SEEN", *windows), p, with_reputation)
 
 
 SAMPLES = {

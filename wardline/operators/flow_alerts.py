@@ -15,6 +15,9 @@ from wardline.operators.lists import frequent_items
 from wardline.params import RiskParams
 
 
+COMBINATION = "concat({0}.proto, ' su porta ', {0}.port)"  # fixed text of a combination
+
+
 def alerted_subjects(alerts: DataFrame, p: RiskParams, minutes: int | None, *bits: int) -> DataFrame:
     """Alerted flows of local clients in the window with any of the risk bits."""
     return in_windows(alerts, "tstamp", alert_window(p, minutes)).filter(
@@ -32,11 +35,13 @@ def certificate_hits(p: RiskParams) -> list[Column]:
 
 
 def m_cert(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     alerts = alerted_subjects(inputs.flow_alerts, p, minutes, *p.cert_bits)
     return verdicts.certificate(p).flagged(alerts.groupBy("host_ip").agg(*certificate_hits(p)))
 
 
 def m_sni(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     alerts = alerted_subjects(inputs.flow_alerts, p, minutes, p.bit_missing_sni)
     counts = alerts.groupBy("host_ip").agg(hits("hits_missing", p.bit_missing_sni))
     return verdicts.missing_sni(p).flagged(counts)
@@ -49,21 +54,27 @@ def tls_hits(alerts: DataFrame, p: RiskParams) -> DataFrame:
         *certificate_hits(p), hits("hits_missing", p.bit_missing_sni))
 
 
-def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
-    """Per host: flows on an unusual port, distinct (protocol, port), the frequent ones as text."""
+def combination_hits(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Flows on an unusual port per host and (protocol, port)."""
     combination = F.struct(
         detected_protocol("json").alias("proto"), F.col("srv_port").alias("port"))
-    pairs = (
+    return (
         alerted_subjects(alerts, p, minutes, p.bit_nonstandard_port)
         .groupBy("host_ip", combination.alias("combination"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )
+
+
+def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Per host: flows on an unusual port, distinct (protocol, port), the frequent ones as text."""
+    pairs = combination_hits(alerts, p, minutes)
     totals = pairs.groupBy("host_ip").agg(
         F.sum("hits").alias("hits_totali"), F.count(F.lit(1)).alias("combinazioni_distinte"))
     listed = frequent_items(pairs, "combination", p.list_limit, "combinations")
-    labels = F.expr("transform(combinations, c -> concat(c.proto, ' su porta ', c.port))")
+    labels = F.expr(f"transform(combinations, c -> {COMBINATION.format('c')})")
     return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
 
 
 def m_proto(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     return verdicts.protocol_mismatch(p).flagged(mismatches(inputs.flow_alerts, p, minutes))

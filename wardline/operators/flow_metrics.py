@@ -9,8 +9,9 @@ from wardline.functions.ip import ipv4_to_string
 from wardline.functions.timewin import alert_window, in_windows
 from wardline.inputs import MetricInputs
 from wardline.operators import verdicts
-from wardline.operators.baseline import host_activity, is_subject
+from wardline.operators.baseline import is_subject
 from wardline.params import RiskParams
+from wardline.plans.profile import activity_of
 
 
 def blacklist_hits(flows: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
@@ -26,6 +27,7 @@ def blacklist_hits(flows: DataFrame, p: RiskParams, minutes: int | None = None)
 
 
 def m_rep(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     return verdicts.reputation(p).flagged(blacklist_hits(inputs.flows, p, minutes))
 
 
@@ -34,11 +36,13 @@ def m_vol(inputs: MetricInputs, p: RiskParams, only_fired: bool = True) -> DataF
 
     With only_fired=False every comparable host is kept, M_vol being 0 or 1.
     """
-    hosts, verdict = host_activity(inputs.flows, p, "v"), verdicts.volume(p)
+    p = p.pinned()
+    hosts, verdict = activity_of(inputs, p, "v"), verdicts.volume(p)
     return verdict.flagged(hosts) if only_fired else verdict.compared(hosts)
 
 
 def m_fail(inputs: MetricInputs, p: RiskParams, only_fired: bool = True) -> DataFrame:
     """Hosts whose share of failed flows is far above their own baseline."""
-    hosts, verdict = host_activity(inputs.flows, p, "r"), verdicts.failure_rate(p)
+    p = p.pinned()
+    hosts, verdict = activity_of(inputs, p, "r"), verdicts.failure_rate(p)
     return verdict.flagged(hosts) if only_fired else verdict.compared(hosts)

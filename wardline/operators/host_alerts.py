@@ -22,39 +22,54 @@ def alerted_hosts(alerts: DataFrame, p: RiskParams, minutes: int | None, alert_i
     ).withColumnRenamed("ip", "host_ip")
 
 
-def ports(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
-    """Per host: alerts on new server ports, distinct ports, the frequent ones."""
-    pairs = (
+def port_hits(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Alerts on new server ports per host and port."""
+    return (
         alerted_hosts(alerts, p, minutes, p.srv_alert_id)
         .groupBy("host_ip", contacted_port("json").alias("port"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )
+
+
+def ports(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Per host: alerts on new server ports, distinct ports, the frequent ones."""
+    pairs = port_hits(alerts, p, minutes)
     totals = pairs.groupBy("host_ip").agg(
         F.sum("hits").alias("hits_totali"), F.count(F.lit(1)).alias("porte_distinte"))
     return totals.join(frequent_items(pairs, "port", p.list_limit, "lista_porte"), "host_ip")
 
 
 def m_srv(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     return verdicts.server_ports(p).flagged(ports(inputs.host_alerts, p, minutes))
 
 
-def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
-    """Per attacking host: scan alerts, codes seen, worst penalty and its category."""
+def attacks(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Scan alerts per attacking host and set of codes, with their rank of severity."""
     groups = (
         alerted_hosts(alerts, p, minutes, p.scan_alert_id)
         .groupBy("host_ip", scan_codes("json").alias("codes"))
         .agg(F.count(F.lit(1)).alias("alerts"))
     )
-    attacks = groups.withColumns(verdicts.scan_severity("codes", p)).filter("penalty > 0")
-    totals = attacks.groupBy("host_ip").agg(
-        F.sum("alerts").alias("hits_totali"),
-        F.max("penalty").alias("penalita_massima"),
-        F.max_by("category", "penalty").alias("categoria_dominante"),
-    )
-    seen = (
-        attacks.select("host_ip", F.explode(F.array_distinct("codes")).alias("code"), "alerts")
+    return groups.withColumn("severity", verdicts.scan_rank("codes")).filter("severity > 0")
+
+
+def code_hits(found: DataFrame) -> DataFrame:
+    """Scan alerts per host and code."""
+    return (
+        found.select("host_ip", F.explode(F.array_distinct("codes")).alias("code"), "alerts")
         .groupBy("host_ip", "code").agg(F.sum("alerts").alias("hits"))
     )
+
+
+def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    """Per attacking host: scan alerts, codes seen, worst penalty and its category."""
+    found = attacks(alerts, p, minutes)
+    # The largest rank is a number, so the aggregation stays a hash aggregation; texts follow from it.
+    totals = found.groupBy("host_ip").agg(
+        F.sum("alerts").alias("hits_totali"), F.max("severity").alias("severity"),
+    ).select("host_ip", "hits_totali", *[c.alias(n) for n, c in verdicts.scan_worst("severity", p).items()])
+    seen = code_hits(found)
     listed = frequent_items(seen, "code", p.list_limit, "codici_rilevati")
     found = totals.join(listed, "host_ip", "left").withColumn(
         "codici_rilevati", F.expr("coalesce(codici_rilevati, CAST(array() AS array<int>))"))
@@ -62,4 +77,5 @@ def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
 
 
 def m_scan(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
+    p = p.pinned()
     return verdicts.scan(p).flagged(scans(inputs.host_alerts, p, minutes))

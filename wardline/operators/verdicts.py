@@ -125,6 +125,24 @@ def scan_severity(codes: str, p: RiskParams) -> dict[str, Column]:
     return {"penalty": F.expr(_cases(penalties, *kinds)), "category": F.expr(_cases(categories, *kinds))}
 
 
+def scan_rank(codes: str) -> Column:
+    """0 for a victim, then the kinds of attack from the mildest to the worst."""
+    def has(code: int) -> str:
+        return f"array_contains({codes}, {code})"
+
+    return F.expr(_cases((0, 3, 2, 1), has(1), f"{has(3)} OR {has(4)}", has(2)))
+
+
+def scan_worst(rank: str, p: RiskParams) -> dict[str, Column]:
+    """Penalty and category of a host's largest rank."""
+    kinds = (f"{rank} = 3", f"{rank} = 2")
+    return {
+        "penalita_massima": F.expr(_cases(
+            (p.penalty_scan_evasion, p.penalty_scan_syn, p.penalty_scan_incomplete), *kinds)),
+        "categoria_dominante": F.expr(_cases((SCAN_EVASION, SCAN_SYN, SCAN_INCOMPLETE), *kinds)),
+    }
+
+
 def scan(p: RiskParams) -> Verdict:
     return Verdict("M_scan", fired="penalita_massima > 0", penalty="penalita_massima",
                    details=_same("hits_totali", "codici_rilevati", "codici_descritti", "categoria_dominante"))
@@ -170,14 +188,19 @@ def failure_rate(p: RiskParams) -> Verdict:
             "bucket_count": "bucket_baseline",
             "categoria_temporale": "categoria_temporale",
             "breakdown": f"named_struct({causes})",
+            "causa_dominante": f"({_dominant(f'named_struct({causes})')}).causa",
         },
         penalty=str(p.penalty_fail),
     )
 
 
-def dominant_cause(breakdown: str) -> Column:
-    """Most frequent failure cause, as struct(causa, conteggio); ties go to the first cause."""
+def _dominant(breakdown: str) -> str:
     ranked = ", ".join(
         f"named_struct('conteggio', {breakdown}.{cause}, 'precedence', {-position}, 'causa', '{label}')"
         for position, (cause, label) in enumerate(CAUSE_LABELS.items()))
-    return F.expr(f"array_max(array({ranked}))")
+    return f"array_max(array({ranked}))"
+
+
+def dominant_cause(breakdown: str) -> Column:
+    """Most frequent failure cause, as struct(causa, conteggio); ties go to the first cause."""
+    return F.expr(_dominant(breakdown))

@@ -78,14 +78,15 @@ class RiskParams:
     penalty_rep_cli: int = 5
     penalty_rep_cli_targeted: int = 15
 
-    list_limit: int = 10  # entries shown in the port / protocol / code lists
+    list_limit: int | None = 10  # entries in the short lists of ports, protocols and codes; None: all
+    list_width: int = 40  # longest metric list shown whole as text in the suspect table
     novelty_learning_hours: int = 24  # history a host needs before novelty counts
 
     def __post_init__(self) -> None:
         if not self.local_networks:
             raise ValueError("local_networks must name at least one network")
         for name in ("alert_window_minutes", "current_window_hours", "history_days", "list_limit"):
-            if getattr(self, name) <= 0:
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
 
     @property

@@ -7,18 +7,16 @@ history window cut in two.
 
 from __future__ import annotations
 
-from datetime import datetime
-from zoneinfo import ZoneInfo
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import schemas
 from wardline.functions.text import CAUSE_LABELS
 from wardline.functions.timewin import (
-    HOUR, alert_window, between, current_window, history_window, in_windows,
+    HOUR, alert_window, category_windows, current_window, history_window, in_windows, laid_out_by_day, whole_hour,
 )
-from wardline.operators.baseline import hourly_profile, same_category, slices_of, summarise
+from wardline.inputs import MetricInputs
+from wardline.operators.baseline import host_activity, hourly_profile, slices_of, summarise
 from wardline.params import RiskParams
 
 DAY_AND_HOUR = ("dt", "hh")
@@ -29,16 +27,23 @@ def with_partitions(profile: DataFrame) -> DataFrame:
 
 
 def write_profile(flows: DataFrame, path: str, p: RiskParams, window: tuple[int, int]) -> None:
-    """Roll up the flows of whole hours into the stored profile."""
+    """Roll up the flows of whole hours into the stored profile.
+
+    Every hour of the window is replaced, also one that has no flows any more: each gets a row
+    without a host, which readers leave out, and which shows that the hour is covered.
+    """
     if any(edge != whole_hour(edge, p) for edge in window):
         raise ValueError("the profile is written in whole hours")
-    write_profile_rows(hourly_profile(in_windows(flows, "FIRST_SEEN", window), p), path)
+    start, end = window
+    hours = flows.sparkSession.range(start, end, HOUR).selectExpr(
+        "CAST(NULL AS BIGINT) AS host", "timestamp_seconds(id) AS bucket", "0L AS bytes_out", "0L AS flows", "0L AS failed")
+    write_profile_rows(hourly_profile(in_windows(flows, "FIRST_SEEN", window), p).unionByName(hours), path)
 
 
 def write_profile_rows(profile: DataFrame, path: str) -> None:
-    """Replace just the hours present in `profile`.
+    """Replace just the hours present in `profile`, so a retried run is safe.
 
-    Writing an hour again replaces it, so a retried or late run is safe.
+    An hour of which `profile` has no row is left as it is; write_profile replaces a whole window.
     """
     (
         with_partitions(profile)
@@ -49,13 +54,21 @@ def write_profile_rows(profile: DataFrame, path: str) -> None:
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PROFILE).parquet(path)
+    stored = spark.read.schema(schemas.PROFILE).parquet(path).filter("host IS NOT NULL")
+    return laid_out_by_day(stored, "bucket", "dt")
+
+
+def require_history(profile: DataFrame, p: RiskParams) -> None:
+    """Refuse a profile without a single row in the history window: all baselines would be silently empty."""
+    if in_windows(profile, "bucket", whole_hours(p)).isEmpty():
+        raise ValueError("the profile has no row in the history window; leave it out to read raw flows")
 
 
-def whole_hour(epoch: int, p: RiskParams) -> int:
-    """The start of the local hour that holds an instant."""
-    offset = datetime.fromtimestamp(epoch, ZoneInfo(p.local_tz)).utcoffset()
-    return epoch - (epoch + int(offset.total_seconds())) % HOUR
+def activity_of(inputs: MetricInputs, p: RiskParams, *values: str, with_reputation: bool = False) -> DataFrame:
+    """Current sums and baselines of every host, from the stored profile if the inputs have one."""
+    if inputs.profile is None:
+        return host_activity(inputs.flows, p, *values, with_reputation=with_reputation)
+    return host_activity_from_profile(inputs.profile, inputs.flows, p, *values, with_reputation=with_reputation)
 
 
 def whole_hours(p: RiskParams) -> tuple[int, int]:
@@ -74,19 +87,15 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
     """
     past_start, past_end = history_window(p)
     first, last = whole_hours(p)
-    now_start, now_end = current_window(p)
-    raw_windows = [(min(last, now_start), now_end)]
-    if past_start < first:
-        raw_windows.append((past_start, first))
+    edges = [*category_windows(p, (past_start, min(first, past_end))), *category_windows(p, (max(last, past_start), past_end))]
+    raw_windows = [*edges, current_window(p)]
     if with_reputation:
         raw_windows.append(alert_window(p))
     raw = in_windows(flows, "FIRST_SEEN", *raw_windows)
-    not_stored = ~between("FIRST_SEEN", (first, last))
-    recent = slices_of(raw, p, with_reputation, past_filter=not_stored)
+    recent = slices_of(raw, p, with_reputation, past=edges)
     extra = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
     stored = (
-        in_windows(profile, "bucket", (first, last))
-        .filter(same_category("bucket", p))
+        in_windows(profile, "bucket", *category_windows(p, (first, last)))
         .selectExpr("host", "bucket", "bytes_out", "flows", "failed", *[f"0L AS {c}" for c in extra])
     )
     return summarise(stored.unionByName(recent), p, *values)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import traceback
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from wardline.operators import flow_alerts, flow_metrics, host_alerts
 from wardline.params import RiskParams
 from wardline.plans.lineage import cut_lineage
 
-STATUS_SCHEMA = "metric string, ok boolean, n_hosts long, ms long, error string"
+STATUS_SCHEMA = "metric string, label string, ok boolean, n_hosts long, ms long, error string, trace string"
 EMPTY_SCHEMA = "host_ip string, penalita int"
 
 
@@ -48,7 +49,7 @@ METRICS: tuple[MetricSpec, ...] = (
 
 def metric_report(spec: MetricSpec, inputs: MetricInputs, p: RiskParams) -> DataFrame:
     """The flagged hosts of one metric, most severe first."""
-    return spec.fn(inputs, p).orderBy(*spec.report_order())
+    return spec.fn(inputs, p.pinned()).orderBy(*spec.report_order())
 
 
 def run_metrics(inputs: MetricInputs, p: RiskParams, specs: Sequence[MetricSpec] = METRICS
@@ -72,14 +73,15 @@ def run_metrics(inputs: MetricInputs, p: RiskParams, specs: Sequence[MetricSpec]
 def _run_metric(spark: SparkSession, spec: MetricSpec, inputs: MetricInputs, p: RiskParams):
     started = time.perf_counter()
 
-    def row(ok: bool, hosts: int, error: str | None):
-        return spec.key, ok, hosts, round((time.perf_counter() - started) * 1000), error
+    def row(ok: bool, hosts: int, error: str | None = None, trace: str | None = None):
+        return spec.key, spec.label, ok, hosts, round((time.perf_counter() - started) * 1000), error, trace
 
     schema = EMPTY_SCHEMA
     try:
         frame = spec.fn(inputs, p)
         schema = frame.schema
         frame = cut_lineage(frame)
-        return frame, row(True, frame.count(), None)
+        return frame, row(True, frame.count())
     except Exception as error:  # noqa: BLE001 - any metric failure must leave the others running
-        return spark.createDataFrame([], schema), row(False, 0, f"{type(error).__name__}: {error}")
+        return spark.createDataFrame([], schema), row(
+            False, 0, f"{type(error).__name__}: {error}", traceback.format_exc())

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.text import decimals
 from wardline.inputs import MetricInputs
 from wardline.operators import flow_alerts, host_alerts, verdicts
-from wardline.operators.baseline import host_activity
 from wardline.operators.verdicts import NOT_DETAILS
 from wardline.params import RiskParams
+from wardline.plans.profile import activity_of
 
 # Names of the risk bands.
 GREEN, YELLOW, RED = "VERDE", "GIALLO", "ROSSO"
@@ -22,8 +22,6 @@ GREEN, YELLOW, RED = "VERDE", "GIALLO", "ROSSO"
 # Names of the network states by number of critical hosts.
 STATE_SAFE, STATE_LOCAL, STATE_SYSTEMIC = "rete sicura", "anomalia localizzata", "diffusione sistemica"
 
-LIST_WIDTH = 40  # longest metric list shown whole in the suspect table
-
 
 def risk_band(score: str, p: RiskParams) -> Column:
     return F.expr(f"CASE WHEN {score} >= {p.red_from} THEN '{RED}'"
@@ -39,7 +37,14 @@ def _as_details(key: str, frame: DataFrame) -> DataFrame:
 
 
 def host_scores(frames: Mapping[str, DataFrame], p: RiskParams) -> DataFrame:
-    """One scored row per host flagged by at least one metric, from the metric frames."""
+    """One scored row per host flagged by at least one metric, from the metric frames.
+
+    A metric with two rows for a host fails the query: neither of them may win by chance. Without
+    any frame the network is empty; that takes a session, so there must be one.
+    """
+    if not frames:
+        spark = SparkSession.getActiveSession()
+        return _score([spark.createDataFrame([], "host_ip string")], [], p)
     return _score([_as_details(key, frame) for key, frame in frames.items()], list(frames), p)
 
 
@@ -52,7 +57,7 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
     """
     p = p.pinned()
     if activity is None:
-        activity = host_activity(inputs.flows, p, "v", "r", with_reputation=True)
+        activity = activity_of(inputs, p, "v", "r", with_reputation=True)
     alerts = inputs.flow_alerts
     families = [
         (activity, [verdicts.reputation(p), verdicts.volume(p), verdicts.failure_rate(p)]),
@@ -71,11 +76,18 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
 
 
 def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> DataFrame:
-    """Union of the parts, one row per host. A host has each metric in one part only."""
+    """Union of the parts, one row per host.
+
+    The details of a metric are collected, at most one by contract, and a second one
+    raises an error.
+    """
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    hosts = union.groupBy("host_ip").agg(*[F.expr(f"first({k}, true) AS {k}") for k in keys])
-    total = " + ".join(f"coalesce({k}.penalita, 0)" for k in keys)
-    active = ", ".join(f"CASE WHEN {k} IS NOT NULL THEN '{k}' END" for k in keys)
+    one = ("CASE WHEN size({0}) > 1 THEN raise_error(concat('{0} has more than one row for host ', host_ip))"
+           " ELSE get({0}, 0) END AS {0}")
+    hosts = union.groupBy("host_ip").agg(*[F.collect_list(k).alias(k) for k in keys]).selectExpr(
+        "host_ip", *[one.format(k) for k in keys])
+    total = " + ".join(["0", *[f"coalesce({k}.penalita, 0)" for k in keys]])
+    active = ", ".join([*[f"CASE WHEN {k} IS NOT NULL THEN '{k}' END" for k in keys], "CAST(NULL AS STRING)"])
     return (
         hosts.withColumn("penalita_totale", F.expr(total))
         .withColumn("score", F.expr(f"least({p.score_max}, penalita_totale)"))
@@ -90,6 +102,26 @@ def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> Da
     )
 
 
+def host_items(inputs: MetricInputs, p: RiskParams,
+               keys: Sequence[str] = ("M_srv", "M_proto", "M_scan")) -> DataFrame:
+    """(host_ip, metric, item, hits): every port, protocol and scan code of every flagged host, without a limit.
+
+    `keys` names the metrics to list; those without items are passed over.
+    """
+    p = p.pinned()
+    families = {
+        "M_srv": lambda: (host_alerts.port_hits(inputs.host_alerts, p), "CAST(port AS STRING)"),
+        "M_proto": lambda: (flow_alerts.combination_hits(inputs.flow_alerts, p),
+                            flow_alerts.COMBINATION.format("combination")),
+        "M_scan": lambda: (host_alerts.code_hits(host_alerts.attacks(inputs.host_alerts, p)), "CAST(code AS STRING)"),
+    }
+    parts = [hits.selectExpr("host_ip", f"'{key}' AS metric", f"{item} AS item", "hits")
+             for key, family in families.items() if key in keys for hits, item in [family()]]
+    if not parts:
+        return inputs.flows.sparkSession.createDataFrame([], "host_ip string, metric string, item string, hits long")
+    return reduce(DataFrame.union, parts)
+
+
 def flagged_hosts(scores: DataFrame) -> DataFrame:
     """Hosts flagged by each metric, metrics without any included."""
     keys = scores.schema["dettagli"].dataType.names
@@ -123,14 +155,15 @@ def _suspects(scores: DataFrame) -> DataFrame:
     return scores.filter(F.col("fascia").isin(YELLOW, RED))
 
 
-def suspect_ranking(scores: DataFrame) -> DataFrame:
-    """Hosts in the yellow and red bands, worst first, with the active metrics as text."""
-    cut = f"concat(left(metriche, {LIST_WIDTH - 3}), '...')"
+def suspect_ranking(scores: DataFrame, p: RiskParams = RiskParams()) -> DataFrame:
+    """Hosts in the yellow and red bands, worst first, with the active metrics as a list and as short text."""
+    cut = f"concat(left(metriche, {p.list_width - 3}), '...')"
     return (
         _suspects(scores)
-        .selectExpr("host_ip", "score", "fascia", "concat_ws(', ', metriche_attive) AS metriche")
+        .selectExpr("host_ip", "score", "fascia", "concat_ws(', ', metriche_attive) AS metriche",
+                    "metriche_attive")
         .withColumn("metriche", F.expr(
-            f"CASE WHEN length(metriche) > {LIST_WIDTH} THEN {cut} ELSE metriche END"))
+            f"CASE WHEN length(metriche) > {p.list_width} THEN {cut} ELSE metriche END"))
         .orderBy(F.desc("score"), "host_ip")
     )
 
@@ -160,20 +193,23 @@ def _fields(value: str, struct: T.StructType, prefix: str = "") -> list[str]:
 def suspect_details(scores: DataFrame, p: RiskParams) -> DataFrame:
     """Why a host is suspect: one row per detail of every metric that fired on it.
 
-    `posizione` numbers the details in report order; `penalita_grezza` is the
-    sum before the cap, given only where the cap was exceeded.
+    Rows come in report order: hosts by score, their metrics in scoring order, and
+    `ordine_metrica` and `posizione` number metrics and details, so a written table can be put
+    in order again. `penalita_grezza` is the sum before the cap, given only where the cap was exceeded.
     """
     metrics = [(f"dettagli.{f.name}", f.name, f.dataType) for f in scores.schema["dettagli"].dataType.fields]
     entries = ", ".join(
-        f"CASE WHEN {value} IS NOT NULL THEN named_struct('metrica', '{name}',"
+        f"CASE WHEN {value} IS NOT NULL THEN named_struct('metrica', '{name}', 'ordine_metrica', {order},"
         f" 'penalita', {value}.penalita, 'campi', array({', '.join(_fields(value, struct))})) END"
-        for value, name, struct in metrics)
+        for order, (value, name, struct) in enumerate(metrics))
     host = ["host_ip", "score", "fascia"]
     return (
         _suspects(scores)
         .selectExpr(*host, f"CASE WHEN penalita_totale > {p.score_max} THEN penalita_totale END AS penalita_grezza",
                     f"explode(array_compact(array({entries}))) AS m")
-        .selectExpr(*host, "penalita_grezza", "m.metrica", "m.penalita",
+        .selectExpr(*host, "penalita_grezza", "m.metrica", "m.ordine_metrica", "m.penalita",
                     "posexplode(m.campi) AS (posizione, f)")
-        .selectExpr(*host, "penalita_grezza", "metrica", "penalita", "posizione", "f.campo", "f.valore")
+        .selectExpr(*host, "penalita_grezza", "metrica", "ordine_metrica", "penalita", "posizione",
+                    "f.campo", "f.valore")
+        .orderBy(F.desc("score"), "host_ip", "ordine_metrica", "posizione")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
-from wardline.functions.timewin import HOUR, PARTITION_COLUMN
+from wardline.functions.timewin import HOUR, PARTITION_COLUMN, day_column, laid_out_by_day
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -21,17 +21,44 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
-def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", day_column: str | None = None,
+               **options: str) -> DataFrame:
+    """Flows; `day_column` names the partition column of a layout by day, as write_by_day makes it."""
     schema = T.StructType([*schemas.FLOWS.fields, *schemas.FLOW_ALERT_EXTRAS.fields])
-    return read_table(spark, path, schema, fmt, **options)
+    return laid_out_by_day(read_table(spark, path, schema, fmt, **options), "FIRST_SEEN", day_column)
+
+
+def read_flow_alerts(spark: SparkSession, path: str, fmt: str = "parquet", day_column: str | None = None,
+                     **options: str) -> DataFrame:
+    return laid_out_by_day(read_table(spark, path, schemas.FLOW_ALERTS, fmt, **options), "tstamp", day_column)
+
+
+def read_host_alerts(spark: SparkSession, path: str, fmt: str = "parquet", day_column: str | None = None,
+                     **options: str) -> DataFrame:
+    return laid_out_by_day(read_table(spark, path, schemas.HOST_ALERTS, fmt, **options), "tstamp", day_column)
+
+
+def with_types(df: DataFrame, *declared: T.StructType) -> DataFrame:
+    """A foreign table under the declared names and types.
+
+    Names are matched without regard to case. Flags may come as booleans, and addresses and
+    bitmaps as decimals, as databases give unsigned numbers. Values that don't fit
+    fail the query, they never become others. Columns that the table lacks are left out; others are kept.
+    """
+    known = {c.lower(): c for c in df.columns}
+    fields = [f for schema in declared for f in schema.fields if f.name.lower() in known]
+    taken = {known[f.name.lower()] for f in fields}
+    return df.select(
+        *[F.col(f"`{known[f.name.lower()]}`").cast(f.dataType).alias(f.name) for f in fields],
+        *[F.col(f"`{c}`") for c in df.columns if c not in taken])
 
 
-def read_flow_alerts(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    return read_table(spark, path, schemas.FLOW_ALERTS, fmt, **options)
+def flows_of(df: DataFrame) -> DataFrame:
+    return with_types(df, schemas.FLOWS, schemas.FLOW_ALERT_EXTRAS)
 
 
-def read_host_alerts(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    return read_table(spark, path, schemas.HOST_ALERTS, fmt, **options)
+def host_alerts_of(df: DataFrame) -> DataFrame:
+    return with_types(df, schemas.HOST_ALERTS)
 
 
 def hour_predicates(ts: str, start: int, end: int) -> list[str]:
@@ -47,12 +74,14 @@ def hour_predicates(ts: str, start: int, end: int) -> list[str]:
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, ts: str, window: tuple[int, int],
-              properties: dict[str, str]) -> DataFrame:
+              properties: dict[str, str], schema: T.StructType | None = None) -> DataFrame:
     """An external table over the network, read as one Spark partition per hour.
 
-    Credentials come in with `properties`; none are kept here.
+    Credentials come in with `properties`; none are kept here. With `schema` the
+    columns get its names and types.
     """
-    return spark.read.jdbc(url, table, predicates=hour_predicates(ts, *window), properties=properties)
+    found = spark.read.jdbc(url, table, predicates=hour_predicates(ts, *window), properties=properties)
+    return found if schema is None else with_types(found, schema)
 
 
 def flow_alerts_view(flows: DataFrame) -> DataFrame:
@@ -64,23 +93,28 @@ def flow_alerts_view(flows: DataFrame) -> DataFrame:
         F.col("SRV_PORT").alias("srv_port"),
         F.col("JSON").alias("json"),
     ]
-    if PARTITION_COLUMN in flows.columns:
-        columns.append(F.col(PARTITION_COLUMN))
-    return flows.filter(F.col("STATUS") != 0).select(*columns)
+    day = day_column(flows, "FIRST_SEEN")
+    alerted = flows.filter(F.col("STATUS") != 0).select(*columns, *([F.col(day)] if day else []))
+    return laid_out_by_day(alerted, "tstamp", day)
 
 
-def write_by_day(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
+def write_by_day(df: DataFrame, path: str, ts: str, mode: str = "replace_days") -> None:
     """Store a table by day.
 
-    The rebalance hint lets AQE split a day that holds most of the rows into
+    By default the days present in df replace those stored, so a job that runs again doubles
+    nothing; "append" adds to them. The rebalance hint lets AQE split a day that holds most of the rows into
     many files, where a plain repartition by day would put it into one task.
     """
-    (
+    writer = (
         df.withColumn(PARTITION_COLUMN, F.to_date(ts))
         .hint("rebalance", PARTITION_COLUMN)
         .sortWithinPartitions(PARTITION_COLUMN, ts)
-        .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+        .write.partitionBy(PARTITION_COLUMN)
     )
+    if mode == "replace_days":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -11,29 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardline import schemas
 from wardline.operators.baseline import hourly_profile
 from wardline.params import RiskParams
+from wardline.plans.profile import write_profile_rows
+
+SUMS = ("bytes_out", "flows", "failed")
+PARTIALS = ("host long, bucket timestamp, part_bytes_out long, part_flows long, part_failed long, "
+            "dt date, stream string, batch long")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _known_stream(spark: SparkSession, path: str, stream: str) -> bool:
+    if not _exists(spark, path):
+        return False
+    return not spark.read.schema(PARTIALS).parquet(path).filter(F.col("stream") == stream).isEmpty()
 
 
 def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
-                   available_now: bool = True) -> StreamingQuery:
+                   available_now: bool = True, stream: str = "flows") -> StreamingQuery:
     """Append the partial sums of every micro-batch to the table at `path`.
 
-    A batch replaces its own partitions, so one that is replayed after a failure
-    is not counted twice. `available_now` takes in what has arrived and stops,
+    A batch replaces its own partitions, those of its stream and number, so one that is
+    replayed after a failure is not counted twice. Numbers start anew with a new checkpoint: batches of the
+    table that it doesn't know would be replaced, or their flows counted again, so the start is refused. Flows from
+    elsewhere add to the same table under another `stream` name. `available_now` takes in what has arrived and stops,
     which suits an hourly job; otherwise the query keeps running.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
         (
-            hourly_profile(batch, p)
-            .withColumn("batch", F.lit(batch_id))
+            hourly_profile(batch, p).withColumnsRenamed({c: f"part_{c}" for c in SUMS})
+            .withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id)})
             .withColumn("dt", F.to_date("bucket"))
             .hint("rebalance", "dt")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch").parquet(path)
+            .partitionBy("dt", "stream", "batch").parquet(path)
         )
 
+    spark = flows.sparkSession
+    if not _exists(spark, f"{checkpoint}/metadata") and _known_stream(spark, path, stream):
+        raise ValueError(f"{path} has batches of stream '{stream}' that the checkpoint {checkpoint} does not know")
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (
         flows.writeStream.foreachBatch(append)
@@ -42,11 +63,25 @@ def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """The stored partial sums; several rows per host and hour are expected."""
-    return spark.read.schema(schemas.PROFILE).parquet(path)
+    """The stored partial sums; several rows per host and hour are expected, and all count.
+
+    Their columns are not those of a profile, so they can't be taken for one unmerged. A table that
+    nothing has been written to yet has no rows.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], PARTIALS)
+    return spark.read.schema(PARTIALS).parquet(path)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Merge all partial sums at `path` into a profile at `target`, a few files an hour.
+
+    The hours present are replaced, so it may run again at any time; the partial sums stay.
+    """
+    write_profile_rows(merged_profile(read_partials(spark, path)), target)
 
 
 def merged_profile(partials: DataFrame) -> DataFrame:
     """One row per host and hour."""
     return partials.groupBy("host", "bucket").agg(
-        *[F.sum(c).alias(c) for c in ("bytes_out", "flows", "failed")])
+        *[F.sum(f"part_{c}").alias(c) for c in SUMS])
