@@ -127,8 +127,20 @@ def test_no_plan_leaves_the_jvm_or_crosses(inputs):
 
 def test_fused_scores_scan_the_flows_once_for_three_metrics(inputs):
     tree = plan_of(scoring.fused_host_scores(inputs, P)).split("\n\n\n")[0]
-    # flows; alerted flows for TLS; then each list twice in the plan, shared when it runs
-    assert tree.count("Scan parquet") == 2 + 2 * 3
+    # flows; alerted flows and host alerts for their totals and lists, shared when it runs
+    assert tree.count("Scan parquet") == 1 + 2 * 2
+    assert "SortAggregate" not in tree
+
+
+def test_fused_scores_run_on_three_scans(spark, inputs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        wide = replace(P, alert_window_minutes=7 * 1440)
+        tree = plan_of(scoring.fused_host_scores(inputs, wide), run=True).split("\n\n\n")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tree.count("Scan parquet") == 3
 
 
 def test_day_with_most_rows_is_split(spark, tmp_path):

@@ -47,13 +47,6 @@ def m_sni(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> Da
     return verdicts.missing_sni(p).flagged(counts)
 
 
-def tls_hits(alerts: DataFrame, p: RiskParams) -> DataFrame:
-    """The counts of m_cert and m_sni from one scan."""
-    bits = (*p.cert_bits, p.bit_missing_sni)
-    return alerted_subjects(alerts, p, None, *bits).groupBy("host_ip").agg(
-        *certificate_hits(p), hits("hits_missing", p.bit_missing_sni))
-
-
 def combination_hits(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
     """Flows on an unusual port per host and (protocol, port)."""
     combination = F.struct(
@@ -75,6 +68,28 @@ def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) ->
     return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
 
 
+def alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
+    """The measures of m_cert, m_sni and m_proto from one scan and one first shuffle.
+
+    Flows are grouped by host and combination, NULL for flows on their usual port.
+    """
+    mismatch = has_any_bit("flow_risk_bitmap", p.bit_nonstandard_port)
+    combination = F.when(mismatch, F.struct(detected_protocol("json").alias("proto"), F.col("srv_port").alias("port")))
+    tls = [*certificate_hits(p), hits("hits_missing", p.bit_missing_sni)]
+    groups = (
+        alerted_subjects(alerts, p, None, *p.cert_bits, p.bit_missing_sni, p.bit_nonstandard_port)
+        .groupBy("host_ip", combination.alias("combination"))
+        .agg(F.count_if(mismatch).alias("hits"), *tls)
+    )
+    names = [c for c in groups.columns if c.startswith("hits_")]
+    totals = groups.groupBy("host_ip").agg(
+        F.sum("hits").alias("hits_totali"), F.count("combination").alias("combinazioni_distinte"),
+        *[F.sum(c).alias(c) for c in names])
+    listed = frequent_items(groups, "combination", p.list_limit, "combinations", *names)
+    labels = F.expr(f"transform(combinations, c -> {COMBINATION.format('c')})")
+    return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
+
+
 def m_proto(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
     p = p.pinned()
     return verdicts.protocol_mismatch(p).flagged(mismatches(inputs.flow_alerts, p, minutes))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.ip import is_local_text
@@ -76,6 +76,41 @@ def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
     return found.withColumn("codici_descritti", scan_labels("codici_rilevati"))
 
 
+def host_alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
+    """The measures of m_srv and m_scan from one scan and one first shuffle."""
+    is_port, is_scan = f"alert_id = {p.srv_alert_id}", f"alert_id = {p.scan_alert_id}"
+    local = in_windows(alerts, "tstamp", host_alert_window(p)).filter(
+        F.expr(f"({is_port}) OR ({is_scan})") & is_local_text("ip", p)).withColumnRenamed("ip", "host_ip")
+    groups = (
+        local.groupBy("host_ip", "alert_id", F.when(F.expr(is_port), contacted_port("json")).alias("port"),
+                      F.when(F.expr(is_scan), scan_codes("json")).alias("codes"))
+        .agg(F.count(F.lit(1)).alias("alerts"))
+        .withColumn("severity", F.when(F.expr(is_scan), verdicts.scan_rank("codes")).otherwise(0))
+    )
+    totals = groups.groupBy("host_ip").agg(
+        F.expr(f"coalesce(sum(CASE WHEN {is_port} THEN alerts END), 0) AS srv_hits"),
+        F.expr(f"count_if({is_port}) AS porte_distinte"),
+        F.expr("coalesce(sum(CASE WHEN severity > 0 THEN alerts END), 0) AS scan_hits"),
+        F.max("severity").alias("severity"),
+    )
+    # Outer, as an inner one would put a filter on the groups and so part their shuffle from that of the totals.
+    item = F.expr(f"CASE WHEN {is_port} THEN array(port) WHEN severity > 0 THEN array_distinct(codes) END")
+    seen = (
+        groups.select("host_ip", "alert_id", "alerts", F.explode_outer(item).alias("item"))
+        .groupBy("host_ip", "alert_id", "item").agg(F.sum("alerts").alias("hits")).filter("item IS NOT NULL")
+    )
+    if p.list_limit is not None:
+        order = Window.partitionBy("host_ip", "alert_id").orderBy(F.desc("hits"), "item")
+        seen = seen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= p.list_limit)
+    listed = seen.groupBy("host_ip").agg(*[
+        F.array_sort(F.collect_list(F.expr(f"CASE WHEN {kind} THEN item END"))).alias(name)
+        for kind, name in ((is_port, "lista_porte"), (is_scan, "codici_rilevati"))])
+    found = totals.join(listed, "host_ip", "left").withColumn(
+        "codici_rilevati", F.expr("coalesce(codici_rilevati, CAST(array() AS array<int>))"))
+    return found.select("*", scan_labels("codici_rilevati").alias("codici_descritti"),
+                        *[c.alias(n) for n, c in verdicts.scan_worst("severity", p).items()])
+
+
 def m_scan(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
     p = p.pinned()
     return verdicts.scan(p).flagged(scans(inputs.host_alerts, p, minutes))

@@ -104,9 +104,9 @@ def missing_sni(p: RiskParams) -> Verdict:
                    penalty=str(p.penalty_sni))
 
 
-def server_ports(p: RiskParams) -> Verdict:
-    return Verdict("M_srv", fired="hits_totali > 0", penalty=str(p.penalty_srv),
-                   details=_same("hits_totali", "porte_distinte", "lista_porte"))
+def server_ports(p: RiskParams, hits: str = "hits_totali") -> Verdict:
+    return Verdict("M_srv", fired=f"{hits} > 0", penalty=str(p.penalty_srv),
+                   details={"hits_totali": hits, **_same("porte_distinte", "lista_porte")})
 
 
 def protocol_mismatch(p: RiskParams) -> Verdict:
@@ -143,9 +143,9 @@ def scan_worst(rank: str, p: RiskParams) -> dict[str, Column]:
     }
 
 
-def scan(p: RiskParams) -> Verdict:
-    return Verdict("M_scan", fired="penalita_massima > 0", penalty="penalita_massima",
-                   details=_same("hits_totali", "codici_rilevati", "codici_descritti", "categoria_dominante"))
+def scan(p: RiskParams, hits: str = "hits_totali") -> Verdict:
+    return Verdict("M_scan", fired=f"{hits} > 0", penalty="penalita_massima", details={
+        "hits_totali": hits, **_same("codici_rilevati", "codici_descritti", "categoria_dominante")})
 
 
 def volume(p: RiskParams) -> Verdict:

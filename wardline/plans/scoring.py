@@ -51,9 +51,9 @@ def host_scores(frames: Mapping[str, DataFrame], p: RiskParams) -> DataFrame:
 def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame | None = None) -> DataFrame:
     """The scores of all eight metrics from few scans.
 
-    Reputation, volume and failure rate share one pass over the flows;
-    certificates and missing SNI share one over the alerted flows. `activity`
-    replaces the pass over the flows, e.g. by one that reads the hourly profile.
+    Reputation, volume and failure rate share one pass over the flows; certificates,
+    missing SNI and protocols one over the alerted flows; ports and scans one over
+    the host alerts. `activity` replaces the pass over the flows, e.g. by one that reads the hourly profile.
     """
     p = p.pinned()
     if activity is None:
@@ -61,10 +61,10 @@ def fused_host_scores(inputs: MetricInputs, p: RiskParams, activity: DataFrame |
     alerts = inputs.flow_alerts
     families = [
         (activity, [verdicts.reputation(p), verdicts.volume(p), verdicts.failure_rate(p)]),
-        (flow_alerts.tls_hits(alerts, p), [verdicts.certificate(p), verdicts.missing_sni(p)]),
-        (flow_alerts.mismatches(alerts, p), [verdicts.protocol_mismatch(p)]),
-        (host_alerts.ports(inputs.host_alerts, p), [verdicts.server_ports(p)]),
-        (host_alerts.scans(inputs.host_alerts, p), [verdicts.scan(p)]),
+        (flow_alerts.alert_activity(alerts, p),
+         [verdicts.certificate(p), verdicts.missing_sni(p), verdicts.protocol_mismatch(p)]),
+        (host_alerts.host_alert_activity(inputs.host_alerts, p),
+         [verdicts.server_ports(p, "srv_hits"), verdicts.scan(p, "scan_hits")]),
     ]
     keys = ["M_rep", "M_cert", "M_sni", "M_srv", "M_proto", "M_scan", "M_vol", "M_fail"]
     wide = [
