@@ -84,7 +84,8 @@ def _score(parts: Sequence[DataFrame], keys: Sequence[str], p: RiskParams) -> Da
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     one = ("CASE WHEN size({0}) > 1 THEN raise_error(concat('{0} has more than one row for host ', host_ip))"
            " ELSE get({0}, 0) END AS {0}")
-    hosts = union.groupBy("host_ip").agg(*[F.collect_list(k).alias(k) for k in keys]).selectExpr(
+    hosts = union.groupBy("host_ip").agg(
+        F.count(F.lit(1)).alias("n"), *[F.collect_list(k).alias(k) for k in keys]).selectExpr(
         "host_ip", *[one.format(k) for k in keys])
     total = " + ".join(["0", *[f"coalesce({k}.penalita, 0)" for k in keys]])
     active = ", ".join([*[f"CASE WHEN {k} IS NOT NULL THEN '{k}' END" for k in keys], "CAST(NULL AS STRING)"])
