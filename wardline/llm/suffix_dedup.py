@@ -104,7 +104,6 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     following = change[np.searchsorted(change, np.arange(n))]
     after = np.append(data[1:].astype(np.int64), -1)
     rising = data[following] < after[following]
-    rising[n - 1] = True  # the last suffix starts the induction
     direct = np.flatnonzero(rising)
     words = np.concatenate([_words(data, ">"), np.zeros(8, np.uint64)])
     order = direct[np.lexsort((words[direct + 8], words[direct]))]
@@ -125,6 +124,8 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         tail[text[i]] -= 1
         result[tail[text[i]]] = i
     falling = (~rising).tolist()
+    result[head[text[-1]]] = n - 1  # the last suffix is greater than the empty one, which would induce it first
+    head[text[-1]] += 1
     for i in result:
         if i > 0 and falling[i - 1]:
             c = text[i - 1]
