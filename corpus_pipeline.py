@@ -33,8 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their digests; one row for each time that the mix takes a document."""
-    decoded = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
-    return bpe.digests(decoded, "ids")
+    return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True), "ids")
 
 
 STAGES = [

@@ -58,7 +58,11 @@ def test_whole_table(spark, plain):
     encoded = op.encode(docs, RANKS, public_tokenizers.PATTERN)
     assert sorted(((r["doc_id"], r["ids"]) for r in encoded.collect()), key=repr) == sorted(
         ((i, plain.encode_ordinary(t or "")) for i, t in rows), key=repr)
-    got = op.digests(op.decode(encoded, RANKS, public_tokenizers.PATTERN)).collect()
+    decoded = op.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    got = op.digests(decoded).collect()
+    at_once = op.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert at_once.columns == decoded.columns
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, decoded.collect()))
     want = []
     for i, t in rows:
         ids = plain.encode_ordinary(t or "")

@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 #: A tree leaf, in bytes; the most pieces a task remembers; tokens after which a batch is passed on.
-LEAF, REMEMBERED, BATCH_TOKENS = 32, 200_000, 1_000_000
+LEAF, REMEMBERED, BATCH_TOKENS = 32, 150_000, 250_000
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -137,32 +137,39 @@ def _ship(df: DataFrame, ranks_path: str) -> str:
     return ranks_path.rsplit("/", 1)[-1]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): token ids of each row's whole text; null texts count as empty and give no ids.
 
     One row per input row, repeated rows included; other columns are not read. Special
-    tokens are ordinary text.
+    tokens are ordinary text. With `decoded` the ids are decoded again at once, as `decode` does it,
+    which saves sending them to another Python process; the result then has its columns.
     """
     name = _ship(docs, ranks_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = _codec(name, pattern).encode
+        codec = _codec(name, pattern)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
-            at, start, rows, total = 0, 0, [], 0
+            at, start, rows, bodies, total = 0, 0, [], [], 0
             while at < len(texts):
-                rows.append(np.array(encode_text(texts[at].as_py() or ""), np.int32))
+                ids = codec.encode(texts[at].as_py() or "")
+                if decoded:
+                    bodies.append(codec.decode(ids))
+                rows.append(np.array(ids, np.int32))
                 total, at = total + len(rows[-1]), at + 1
                 if total >= BATCH_TOKENS or at == len(texts):
                     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                     values = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_ids[start:at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                        ["doc_id", "ids"])
-                    start, rows, total = at, [], 0
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+                    columns = {"doc_id": doc_ids[start:at],
+                               "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+                    if decoded:
+                        columns["body"] = pa.array(bodies, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
+                    start, rows, bodies, total = at, [], [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, ids array<int>" + ", body binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

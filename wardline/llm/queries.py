@@ -71,8 +71,8 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, RANKS, public_tokenizers.PATTERN))
+    docs = table(spark, folder, "documents")
+    return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
