@@ -119,12 +119,12 @@ def test_language_without_training_rows(spark, tables):
 def test_blocked_chains_equal_plain_forward_backward():
     random_ = np.random.default_rng(5)
     labels = ["a", "b", "c"]
-    model = language.Field(labels, random_.normal(size=(3, 3)) * 2, random_.normal(size=(language.FEATURES, 3)), set())
+    model = language.Field(labels, random_.normal(size=(3, 3)) * 2, random_.normal(size=(language.FEATURES, 3)), {})
     draw = random.Random(5)
     texts = [" ".join("".join(draw.choice("xyzq") for _ in range(3)) for _ in range(n)) for n in (1, 2, 63, 64, 65, 129, 700)]
     got = model.posteriors([*texts, None, "123"])
     for text, row in zip(texts, got):
-        emit = np.exp(np.array([model.weights[language.features(t, set())].sum(axis=0) for t in text.split()]))
+        emit = np.exp(language.word_weights(text.split(), model.weights, {}))
         move = np.exp(model.transitions)
         backward = [np.ones(3)]
         for e in emit[:0:-1]:
@@ -138,3 +138,21 @@ def test_blocked_chains_equal_plain_forward_backward():
         p = np.array([f / f.sum() for f in forward]) * np.array(backward[::-1])
         assert np.allclose(row, (p / p.sum(axis=1, keepdims=True)).mean(axis=0), atol=1e-9)
     assert got[-1].tolist() == got[-2].tolist() == [0, 0, 0]
+
+
+def test_features_are_the_marked_ngrams_and_affixes():
+    owner, number = language.features(["ab", "abcdef"], {"ab": 3})
+    count = lambda w: int((owner == w).sum())
+    # ^ab$: 3 pairs, 2 triples, the whole once (both edges are one place), and the lexicon's number
+    assert count(0) == 3 + 2 + 1 + 1 and language.FEATURES + 3 in number[owner == 0].tolist()
+    assert count(1) == 7 + 6 + 2 + 1
+    again = language.features(["zz", "abcdef"], {})
+    assert sorted(again[1][again[0] == 1]) == sorted(number[owner == 1])
+
+
+def test_words_are_worked_out_again_after_the_table_is_cleared(monkeypatch):
+    model = language.train(["aa bb " * 30, "xx yy " * 30], ["p", "q"])
+    want = model.posteriors(["aa bb", "xx 12 yy", "bb"])
+    monkeypatch.setattr(language, "REMEMBERED", 1)
+    assert np.allclose(model.posteriors(["aa bb", "xx 12 yy", "bb"]), want)
+    assert np.allclose(model.posteriors(["xx"]), model.posteriors(["xx"]))

@@ -18,20 +18,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.llm.common import Shelf
 
 UNKNOWN = "und"
 #: Bounds of the fit: labelled rows of each language, and of all languages together.
-ROWS_PER_LANGUAGE, ROWS = 300, 6_000
+ROWS_PER_LANGUAGE, ROWS = 200, 6_000
 #: Hashed features; words of the sample in so many texts are in the lexicon.
 FEATURES, LEXICON_TEXTS = 1 << 16, 3
 #: Training chains: lengths of the stretches that are strung together, and of a chain.
 STRETCH, CHAIN = 40, 240
-ROUNDS, RATE, PENALTY = 60, 0.15, 1e-6
-BLOCK, WORDS_AT_ONCE, REMEMBERED = 64, 400_000, 300_000
+ROUNDS, RATE, PENALTY = 50, 0.15, 1e-6
+BLOCK, WORDS_AT_ONCE, REMEMBERED = 64, 400_000, 400_000
 SEED = 29
 
 
@@ -40,31 +39,55 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def has_letter(token: str) -> bool:
-    return any(map(str.isalpha, token))
+def letters(token: str) -> str:
+    return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
-def features(token: str, lexicon: set[int] | None = None) -> list[int]:
-    """Numbers of a token's features: affixes, n-grams with its edges marked, and the word if the lexicon has it."""
-    word = "".join(filter(str.isalpha, token))[:64]
-    edged = f"^{word}$"
-    found = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3, 4)}
-    found |= {edged[i:i + n] for n in (2, 3) for i in range(len(edged) - n + 1)}
-    numbers = [h % (FEATURES - 1) for h in map(xxhash.xxh32_intdigest, map(str.encode, found))]
-    known = xxhash.xxh32_intdigest(f"w{word}".encode())
-    if lexicon is None or known in lexicon:
-        numbers.append(known % (FEATURES - 1))
-    return numbers
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) numbers, words in order: n-grams with the edges marked, affixes, and the word in the lexicon.
+
+    Two and three letters are taken anywhere, which includes the shorter affixes; four at either
+    edge and five at the end, the edge counted. They are hashed for all words at once.
+    """
+    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    word = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(len(codes))
+    left = ends[word] - at  # letters from here to the end of the word
+    begins = left == lengths[word]
+    owners, numbers = [], []
+    with np.errstate(over="ignore"):
+        for n, places in ((2, left >= 2), (3, left >= 3), (4, (left == 4) | begins & (left > 4)), (5, left == 5)):
+            where = at[places]
+            h = np.full(len(where), n, np.uint64)
+            for i in range(n):
+                h = (h ^ codes[where + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            owners.append(word[where])
+            numbers.append((h % np.uint64(FEATURES)).astype(np.int64))
+    known = [(i, FEATURES + lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    owners.append(np.array([i for i, _ in known], dtype=np.int64))
+    numbers.append(np.array([f for _, f in known], dtype=np.int64))
+    owner, number = np.concatenate(owners), np.concatenate(numbers)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], number[order]
+
+
+def word_weights(words: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
+    """(word, label): summed weights of each word's features."""
+    owner, number = features(words, lexicon)
+    return np.stack([np.bincount(owner, weights[number, j], len(words)) for j in range(weights.shape[1])], axis=1)
 
 
 @dataclass
 class Field:
-    """labels, transition weights (from, to), feature weights (feature, label), hashes of the lexicon."""
+    """labels, transition weights (from, to), feature weights (feature, label), numbers of the words in the lexicon."""
 
     labels: list[str]
     transitions: np.ndarray
     weights: np.ndarray
-    lexicon: set[int]
+    lexicon: dict[str, int]
     _at: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
     _used: int = 0
@@ -72,26 +95,30 @@ class Field:
     def __getstate__(self):
         return self.__dict__ | {"_at": {}, "_table": None}
 
-    def _number(self, token: str) -> int:
-        """Row of a token among those worked out so far; row 0 is for tokens without a letter."""
-        at = self._at.get(token)
-        if at is None:
-            at = 0
-            if has_letter(token):
-                at = self._used = self._used + 1
-                if at == len(self._table):
-                    self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-                row = self.weights[features(token, self.lexicon)].sum(axis=0)
-                self._table[at] = np.exp(row - row.max())
-            self._at[token] = at
-        return at
+    def _learn(self, tokens: set[str]) -> None:
+        """Work out the weights of new tokens; row 0 of the table is for those without a letter."""
+        if self._table is None or len(self._at) > REMEMBERED:
+            self._at.clear()
+            self._table, self._used = np.ones((1 << 14, len(self.labels))), 0
+        new = [t for t in tokens if t not in self._at]
+        words = [letters(t) for t in new]
+        self._at.update((t, 0) for t, w in zip(new, words) if not w)
+        new, words = [t for t, w in zip(new, words) if w], [w for w in words if w]
+        if not new:
+            return
+        rows = word_weights(words, self.weights, self.lexicon)
+        first = self._used + 1
+        self._used += len(new)
+        while self._used >= len(self._table):
+            self._table = np.concatenate([self._table, np.ones_like(self._table)])
+        self._table[first:self._used + 1] = np.exp(rows - rows.max(axis=1, keepdims=True))
+        self._at.update(zip(new, range(first, self._used + 1)))
 
     def posteriors(self, texts: list[str | None]) -> np.ndarray:
         """(text, label): mean probability of each label over the words of each text; 0 without words."""
-        if self._table is None or len(self._at) > REMEMBERED:
-            self._at.clear()
-            self._table, self._used = np.zeros((1 << 14, len(self.labels))), 0
-        chains = [np.fromiter(map(self._number, words_of(t)), np.int64) for t in texts]
+        tokens = [words_of(t) for t in texts]
+        self._learn(set().union(*tokens))
+        chains = [np.fromiter(map(self._at.__getitem__, t), np.int64, len(t)) for t in tokens]
         chains = [c[c > 0] for c in chains]
         result = np.zeros((len(texts), len(self.labels)))
         at = 0
@@ -169,20 +196,18 @@ def train(texts: list[str], langs: list[str]) -> Field:
     seen: dict[str, int] = {}
     tokens, number, label = [], [], []
     for text, lang in zip(texts, langs):
-        own = [seen.setdefault(t, len(seen)) for t in words_of(text) if has_letter(t)]
+        own = [seen.setdefault(w, len(seen)) for w in map(letters, words_of(text)) if w]
         for i in range(0, len(own), STRETCH):
             number.append(own[i:i + STRETCH])
             label.append(labels.index(lang))
         tokens.extend({*own})
     if not number:
-        return Field(labels, np.zeros((len(labels),) * 2), np.zeros((FEATURES, len(labels))), set())
+        return Field(labels, np.zeros((len(labels),) * 2), np.zeros((FEATURES, len(labels))), {})
     spread = np.bincount(np.array(tokens), minlength=len(seen))
-    lexicon = {xxhash.xxh32_intdigest(("w" + "".join(filter(str.isalpha, t))[:64]).encode())
-               for t, i in seen.items() if spread[i] >= LEXICON_TEXTS}
-    listed = [features(t, lexicon) for t in seen]
-    of_token = np.repeat(np.arange(len(seen)), [len(x) for x in listed])
-    of_feature = np.fromiter(chain.from_iterable(listed), np.int64, len(of_token))
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in listed])])[:-1]
+    lexicon = {w: n for n, w in enumerate(w for w, i in seen.items() if spread[i] >= LEXICON_TEXTS)}
+    of_token, of_feature = features(list(seen), lexicon)
+    bounds = np.searchsorted(of_token, np.arange(len(seen)))
+    size = FEATURES + len(lexicon)
 
     # The same number of words of each language, strung together in random order.
     random, k = np.random.default_rng(SEED), len(labels)
@@ -194,7 +219,7 @@ def train(texts: list[str], langs: list[str]) -> Field:
     n = len(words) // length
     words, truth = words[:n * length].reshape(n, length), truth[:n * length].reshape(n, length)
     weigh = (share.sum() / np.maximum(share, 1) / k)[truth]
-    theta = [np.zeros((k, k)), np.zeros((FEATURES, k))]
+    theta = [np.zeros((k, k)), np.zeros((size, k))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for turn in range(1, ROUNDS + 1):
         transitions, weights = theta
@@ -225,7 +250,7 @@ def train(texts: list[str], langs: list[str]) -> Field:
         flat = words.ravel()
         by_token = np.stack([np.bincount(flat, error[:, :, j].ravel(), len(seen)) for j in range(k)], axis=1)
         by_feature = np.stack(
-            [np.bincount(of_feature, by_token[of_token, j], FEATURES) for j in range(k)], axis=1) / words.size
+            [np.bincount(of_feature, by_token[of_token, j], size) for j in range(k)], axis=1) / words.size
         slopes = [slope / words.size, by_feature + PENALTY * weights]
         for i, g in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * g
