@@ -53,3 +53,49 @@ def test_fewer_vectors_than_asked_and_none(spark):
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 98304)]
     for none in ([], [(50, [1.0])]):
         assert op.top_k(op.integer_vectors(frame(spark, none)), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def every_row(rows, k=5):
+    """As the SQL of the query has it: all rows of all ids but the query's, exact."""
+    kept = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    result = []
+    for q in {i for i, _ in kept if i % 50 == 0}:
+        pairs = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in kept if i == q for j, y in kept if j != q)
+        result += [(q, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:k])]
+    return sorted(result)
+
+
+@pytest.mark.parametrize("large", [[4e4, 1e6], [4e4, 1e6, -4e6]])
+def test_large_components_stay(spark, large):
+    import numpy as np
+
+    draw = random.Random(7)
+    vector = lambda: [float(np.float32(draw.choice([draw.uniform(-9, 9), *large]))) for _ in range(5)]
+    rows = [(i, vector()) for i in range(200)]
+    got = op.top_k(op.integer_vectors(frame(spark, rows)), F.col("vec_id") % 50 == 0, 5, first_read=2)
+    assert sorted(tuple(r) for r in got.collect()) == every_row(rows)
+
+
+def test_scores_that_cancel_are_exact_beyond_doubles(spark):
+    """Products of 2**70 that cancel: the small rest decides, which no sum of doubles holds."""
+    draw = random.Random(9)
+    big = 2.0 ** 27
+    rows = [(50, [big, big, 3.5])] + [
+        (i, [big, -big, draw.randrange(-2000, 2000) / 4]) for i in range(1, 200) if i % 50]
+    got = op.top_k(op.integer_vectors(frame(spark, rows)), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == every_row(rows)
+
+
+def test_order_of_scores_of_any_length():
+    scores = [s * (1 << n) + d for n in range(0, 300, 7) for s in (1, -1) for d in (-1, 0, 1)]
+    assert sorted(scores) == sorted(scores, key=op._score_key)
+
+
+def test_every_row_of_a_repeated_id_counts(spark):
+    draw = random.Random(8)
+    vector = lambda: [draw.randrange(-40, 40) / 8 for _ in range(4)]
+    rows = [(i, vector()) for i in range(120)] + [(draw.choice([0, 50, 7, 8]), vector()) for _ in range(60)]
+    rows += [(50, [9.0] * 4)] * 3 + [(9, [8.0] * 4)] * 4
+    options = {"vector_block": 40, "query_block": 3, "first_read": 1}
+    got = op.top_k(op.integer_vectors(frame(spark, rows), largest=False), F.col("vec_id") % 50 == 0, 5, **options)
+    assert sorted(tuple(r) for r in got.collect()) == every_row(rows)

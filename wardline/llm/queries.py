@@ -60,7 +60,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = vector_search.integer_vectors(table(spark, folder, "embeddings"))
+    vectors = vector_search.integer_vectors(table(spark, folder, "embeddings"), largest=False)
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
