@@ -13,6 +13,7 @@ from wardline import METRICS, RiskParams, schemas, score_network
 from wardline.functions.timewin import HOUR, in_windows
 from wardline.inputs import MetricInputs
 from wardline.operators.baseline import host_activity, hourly_profile
+from wardline.operators.flow_metrics import m_fail, m_vol
 from wardline.plans import profile, scoring
 from wardline.streaming import profile_stream
 
@@ -179,3 +180,23 @@ def test_profile_without_history_is_refused(flows, spark):
     inputs = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS))
     with pytest.raises(ValueError, match="no row in the history"):
         score_network(inputs, p, profile=hourly_profile(flows, p).filter("false"))
+
+
+def test_hours_that_the_profile_misses_are_read_raw_or_refused(flows, spark, tmp_path):
+    p, path = params(), str(tmp_path / "profile")
+    first, last = profile.whole_hours(p)
+    gap = (first + 24 * HOUR, first + 3 * 24 * HOUR)
+    for window in ((first, gap[0]), (gap[1], last)):
+        profile.write_profile(flows, path, p, window)
+    stored = profile.read_profile(spark, path)
+    inputs = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS),
+                          alerted_flows=spark.createDataFrame([], schemas.FLOW_ALERTS), profile=stored)
+    assert activity(profile.activity_of(inputs, p, "v", "r")) == activity(host_activity(flows, p, "v", "r"))
+    lean = replace(inputs, flows=in_windows(flows, "FIRST_SEEN", (first - HOUR, gap[0]), (gap[1], p.flows_epoch)))
+    for run in (lambda: score_network(lean, p), lambda: m_vol(lean, p), lambda: m_fail(lean, p)):
+        with pytest.raises(ValueError, match="neither the profile nor the raw flows"):
+            run()
+    profile.write_profile(flows.filter("false"), path, p, gap)  # known to be empty
+    assert profile.uncovered_hours(profile.read_profile(spark, path), p) == []
+    quiet = replace(lean, profile=profile.read_profile(spark, path))
+    assert activity(profile.activity_of(quiet, p, "v")) == activity(host_activity(lean.flows, p, "v"))

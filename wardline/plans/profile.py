@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from wardline import schemas
 from wardline.functions.text import CAUSE_LABELS
 from wardline.functions.timewin import (
-    HOUR, alert_window, category_windows, current_window, history_window, in_windows, laid_out_by_day, whole_hour,
+    HOUR, Window, alert_window, category_windows, current_window, history_window, hour_bucket, in_windows, laid_out_by_day,
+    merged, whole_hour,
 )
 from wardline.inputs import MetricInputs
 from wardline.operators.baseline import host_activity, hourly_profile, slices_of, summarise
 from wardline.params import RiskParams
 
 DAY_AND_HOUR = ("dt", "hh")
+STORED_AT = "wardline.stored_at"  # column metadata: the table that also shows hours without flows
 
 
 def with_partitions(profile: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def write_profile(flows: DataFrame, path: str, p: RiskParams, window: tuple[int,
     """Roll up the flows of whole hours into the stored profile.
 
     Every hour of the window is replaced, also one that has no flows any more: each gets a row
-    without a host, which readers leave out, and which shows that the hour is covered.
+    without a host, which read_profile leaves out, and which shows uncovered_hours that the hour is covered.
     """
     if any(edge != whole_hour(edge, p) for edge in window):
         raise ValueError("the profile is written in whole hours")
@@ -55,20 +57,63 @@ def write_profile_rows(profile: DataFrame, path: str) -> None:
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(schemas.PROFILE).parquet(path).filter("host IS NOT NULL")
+    stored = stored.withMetadata("bucket", {**stored.schema["bucket"].metadata, STORED_AT: path})
     return laid_out_by_day(stored, "bucket", "dt")
 
 
-def require_history(profile: DataFrame, p: RiskParams) -> None:
-    """Refuse a profile without a single row in the history window: all baselines would be silently empty."""
-    if in_windows(profile, "bucket", whole_hours(p)).isEmpty():
+def _hours(rows: DataFrame) -> set[int]:
+    """The hours that occur in a column `bucket`: at most those of the history."""
+    return {row[0] for row in rows.selectExpr("unix_seconds(bucket)").distinct().collect()}
+
+
+def _missing(windows: list[Window], p: RiskParams, covered: set[int]) -> list[Window]:
+    missing = []
+    for at, end in windows:
+        while at < end:
+            following = min(whole_hour(at, p) + HOUR, end)
+            if at not in covered:
+                missing.append((at, following))
+            at = following
+    return merged(missing)
+
+
+def uncovered_hours(profile: DataFrame, p: RiskParams) -> list[Window]:
+    """The whole hours that the baselines compare and of which the profile has no row.
+
+    A stored table also has a row for each hour that was written without flows.
+    """
+    windows = category_windows(p, whole_hours(p))
+    if path := profile.schema["bucket"].metadata.get(STORED_AT):
+        stored = profile.sparkSession.read.schema(schemas.PROFILE).parquet(path)
+        profile = laid_out_by_day(stored, "bucket", "dt")
+    return _missing(windows, p, _hours(in_windows(profile, "bucket", *windows)))
+
+
+def require_history(profile: DataFrame, flows: DataFrame, p: RiskParams) -> list[Window]:
+    """The hours to read from raw flows; hours that neither has are refused, as baselines would silently miss them.
+
+    So is a profile without a single row in the history window.
+    """
+    first, last = whole_hours(p)
+    if first < last and in_windows(profile, "bucket", (first, last)).isEmpty():
         raise ValueError("the profile has no row in the history window; leave it out to read raw flows")
+    gaps = uncovered_hours(profile, p)
+    if gaps:
+        raw = in_windows(flows, "FIRST_SEEN", *gaps).select(hour_bucket("FIRST_SEEN", p).alias("bucket"))
+        if lost := _missing(gaps, p, _hours(raw)):
+            raise ValueError(
+                f"neither the profile nor the raw flows cover {sum(b - a for a, b in lost) // HOUR} hours of the history, the "
+                f"first at epoch {lost[0][0]}; write_profile also stores hours in which there were no flows")
+    return gaps
 
 
 def activity_of(inputs: MetricInputs, p: RiskParams, *values: str, with_reputation: bool = False) -> DataFrame:
     """Current sums and baselines of every host, from the stored profile if the inputs have one."""
     if inputs.profile is None:
         return host_activity(inputs.flows, p, *values, with_reputation=with_reputation)
-    return host_activity_from_profile(inputs.profile, inputs.flows, p, *values, with_reputation=with_reputation)
+    gaps = require_history(inputs.profile, inputs.flows, p)
+    return host_activity_from_profile(
+        inputs.profile, inputs.flows, p, *values, with_reputation=with_reputation, gaps=gaps)
 
 
 def whole_hours(p: RiskParams) -> tuple[int, int]:
@@ -78,9 +123,11 @@ def whole_hours(p: RiskParams) -> tuple[int, int]:
 
 
 def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskParams, *values: str,
-                               with_reputation: bool = False) -> DataFrame:
+                               with_reputation: bool = False, gaps: list[Window] | None = None) -> DataFrame:
     """The same rows as the direct scan, from stored hours plus the raw flows they miss.
 
+    `gaps` are the hours that the profile doesn't cover, looked up if not given.
+
     `profile` holds one row per host and hour, as write_profile stores it, and
     so needs no shuffle of its own here. Partial sums of a stream go through
     merged_profile first.
@@ -88,6 +135,7 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
     past_start, past_end = history_window(p)
     first, last = whole_hours(p)
     edges = [*category_windows(p, (past_start, min(first, past_end))), *category_windows(p, (max(last, past_start), past_end))]
+    edges += uncovered_hours(profile, p) if gaps is None else gaps
     raw_windows = [*edges, current_window(p)]
     if with_reputation:
         raw_windows.append(alert_window(p))
