@@ -156,3 +156,35 @@ def test_words_are_worked_out_again_after_the_table_is_cleared(monkeypatch):
     monkeypatch.setattr(language, "REMEMBERED", 1)
     assert np.allclose(model.posteriors(["aa bb", "xx 12 yy", "bb"]), want)
     assert np.allclose(model.posteriors(["xx"]), model.posteriors(["xx"]))
+
+
+def test_fit_finds_pairs_of_balanced_terms(spark):
+    """Toxic only where a group meets its own insult: each word alone is as frequent in both classes."""
+    draw = random.Random(4)
+    filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ne", "so", "pi", "da", "gu")]
+    docs, labels = [], []
+    for i in range(600):
+        group, insult = (i // 2) % 2, (i // 2 + i) % 2
+        words = draw.sample(filler, 8) + [("gnomes", "elves")[group], ("rotten", "vermin")[insult]]
+        draw.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(group == insult)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels, F.col("doc_id") < 450)
+    assert set(toxicity.term_hashes("vermin")) <= set(machine.terms)
+    assert accuracy(toxicity.score(docs.filter("doc_id >= 450"), machine), labels, "toxic") > 0.95
+
+
+def test_column_pairs_equal_plain_counts(monkeypatch):
+    monkeypatch.setattr(toxicity, "COLUMNS", 24)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    random_ = np.random.default_rng(2)
+    labels = np.arange(400) % 2
+    met = [[set(), {3, 17}], [{3}, {17}]]  # both or none with label 1, one of them with label 0
+    rows = [set(np.flatnonzero(random_.random(24) < 0.2)) - {3, 17} | met[1 - y][random_.integers(2)] for y in labels]
+    count = lambda y, *c: sum(set(c) <= r for r, label in zip(rows, labels) if label == y)
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if abs(toxicity.pair_z(*[
+        np.float64(count(y, *c)) for c in ((a, b), (a,), (b,)) for y in (1, 0)], 200, 200)) >= toxicity.COLUMN_Z}
+    assert (3, 17) in want
+    assert set(toxicity.column_pairs([np.array(sorted(r), "<u2") for r in rows], labels)) == want
