@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="benchmark tables ar
 def test_all_are_registered():
     names = driver.queries()
     assert [n for n in names if n.startswith("op")] == [f for f in queries.queries()]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -29,6 +29,7 @@ COLUMNS = {
     "op6_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_language": "doc_id bigint, lang_pred string, score double, held_out boolean",
     "op10_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 
 

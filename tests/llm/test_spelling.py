@@ -1,0 +1,105 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from wardline.llm import spelling as op
+from wardline.llm.common import Shelf
+
+
+
+LETTERS = "abcé"
+
+
+def near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def brute(counts, factor=5):
+    words, forms, found = sorted(counts), {}, {}
+    for w in words:
+        close = [v for v in words if near(w, v)]
+        best = min(close, key=lambda v: (-counts[v], v), default=None)
+        form = best if best is not None and counts[best] >= factor * counts[w] else None
+        forms[w], found[w] = form, (form, len(close))
+    rows = []
+    for w in words:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        rows.append((w, counts[w], forms[w], counts[forms[w]] if forms[w] else None, found[w][1], root))
+    return rows
+
+
+def random_words(draw, n, least=1, most=9):
+    return sorted({"".join(draw.choice(LETTERS) for _ in range(draw.randint(least, most))) for _ in range(n)})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_index_against_brute_force(seed):
+    draw = random.Random(seed)
+    words, queries = random_words(draw, 300), random_words(draw, 700) + ["a", "", "é" * 30, "zzz"]
+    q, w = op.BitIndex(words).near(queries)
+    got = sorted((queries[a], words[b]) for a, b in zip(q, w))
+    assert got == sorted((a, b) for a in queries for b in words if near(a, b))
+
+
+def test_index_without_queries_or_with_one_word():
+    assert len(op.BitIndex(["word"]).near([])[0]) == 0
+    q, w = op.BitIndex(["word"]).near(["word", "words", "wor", "ward", "wordss"])
+    assert sorted(q) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [8, 64, op.BLOCK])
+def test_variants_against_brute_force(spark, block):
+    draw = random.Random(3)
+    words = random_words(draw, 400, 6, 8) + ["x" * 3_000, "x" * 2_999, "prefix" + "a", "prefix" + "b"]
+    # One file holds many words: all of them begin with the same letters.
+    words += sorted({"samesame" + "".join(draw.choice("ab") for _ in range(draw.randint(0, 8))) for _ in range(200)})
+    counts = {w: int(5 * 1.9 ** draw.randint(0, 12)) for w in dict.fromkeys(words)}
+    frame = spark.createDataFrame([(w, n, "clash") for w, n in counts.items()], "word string, n long, form string")
+    got = op.group_variants(frame, block=block).select("word", "n", "form", "form_n", "n_near", "root")
+    assert sorted(map(tuple, got.collect())) == brute(counts)
+
+
+def test_long_chains_of_forms(spark):
+    rows = [(f"w{i}", f"w{i + 1}") for i in range(40)] + [("w40", None), ("alone", None)]
+    got = op.follow(Shelf(spark, "test"), spark.createDataFrame(rows, "word string, form string"))
+    assert dict(map(tuple, got.collect())) == {f"w{i}": "w40" for i in range(41)} | {"alone": "alone"}
+    with pytest.raises(ValueError, match="circles"):
+        op.group_variants(spark.createDataFrame([("a", 1)], "word string, n long"), factor=1)
+
+
+def counted(docs, every, length, n):
+    counts = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % every == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return {w: c for w, c in counts.items() if len(w) >= length and c >= n}
+
+
+@pytest.mark.parametrize("every", [1, 3, 199])
+def test_words_of_any_text(spark, every):
+    docs = [(1, None), (2, ""), (3, "Straße STRASSE Éclair éclair ÉCLAIR ×÷ naïveānaïve"), (3, "again Again AGAIN"),
+            (None, "again a b c_d e1f"), (4, "word Words " * 30_000), (5, "ÿĀÀ x😀y")]
+    frame = spark.createDataFrame([(*d, "w", 1) for d in docs], "doc_id long, text string, word string, n int")
+    got = dict(map(tuple, op.count_words(frame, every, 1, 1).collect()))
+    want = counted(docs, every, 1, 1)
+    assert got == want
+    assert op.group_variants(op.count_words(frame.filter("false"), every)).collect() == []
+
+
+def test_every_run_without_a_letter_less(spark):
+    frame = spark.createDataFrame([(1, "Letter letter")], "doc_id long, text string")
+    assert list(map(tuple, op.count_words(frame, None, 1, 1).collect())) == [("letter", 2)]

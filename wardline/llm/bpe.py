@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -24,13 +24,38 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 #: A tree leaf, in bytes; the most pieces a task remembers; tokens after which a batch is passed on.
-LEAF, REMEMBERED, BATCH_TOKENS = 32, 150_000, 250_000
+LEAF, REMEMBERED, BATCH_TOKENS = 32, 300_000, 250_000
+#: A leaf of the decoding tree, in tokens.
+DECODED_AT_ONCE = 4_096
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Known(dict):
+    """Piece to ids, encoded when first asked for.
+
+    Half of it is young. When that is full it becomes the old half, and the former old half
+    is forgotten except for what has been asked for since; so frequent pieces stay.
+    """
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]], remembered: int = REMEMBERED):
+        super().__init__()
+        self.encode, self.old, self.limit = encode, {}, max(1, remembered // 2)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder over token ranks; `leaf` is the length from which pieces are halved."""
 
@@ -40,7 +65,7 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known = Known(self.piece)
 
     def merge(self, text: bytes) -> list[bytes]:
         """Tokens of a byte string: the pair of lowest rank merges first, the leftmost of equals."""
@@ -48,17 +73,16 @@ class Codec:
 
     def _merge_short(self, text: bytes) -> list[bytes]:
         rank_of, none = self.ranks.get, len(self.bytes_of)
-        tokens = [text[i:i + 1] for i in range(len(text))]
         pairs = [rank_of(text[i:i + 2], none) for i in range(len(text) - 1)]
+        cuts = list(range(len(text) + 1))
         while pairs and (least := min(pairs)) < none:
             i = pairs.index(least)
-            tokens[i:i + 2] = [tokens[i] + tokens[i + 1]]
-            del pairs[i]
+            del pairs[i], cuts[i + 1]
             if i:
-                pairs[i - 1] = rank_of(tokens[i - 1] + tokens[i], none)
+                pairs[i - 1] = rank_of(text[cuts[i - 1]:cuts[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = rank_of(tokens[i] + tokens[i + 1], none)
-        return tokens
+                pairs[i] = rank_of(text[cuts[i]:cuts[i + 2]], none)
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _merge_long(self, text: bytes) -> list[bytes]:
         """The same with a queue of pairs, for windows that have grown."""
@@ -106,22 +130,19 @@ class Codec:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern; a match that is a token is that token."""
-        ids = self._known.get(piece)
-        if ids is None:
-            raw = piece.encode()
-            rank = self.ranks.get(raw)
-            ids = (rank,) if rank is not None else tuple(map(self.ranks.__getitem__, self.reduce(raw)))
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            if len(piece) <= 64:
-                self._known[piece] = ids
-        return ids
+        raw = piece.encode()
+        rank = self.ranks.get(raw)
+        return (rank,) if rank is not None else tuple(map(self.ranks.__getitem__, self.reduce(raw)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.split(text))))
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return list(chain.from_iterable(map(self._known.__getitem__, self.split(text))))
+
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The halves' bytes one after the other, up the tree."""
+        if len(ids) <= DECODED_AT_ONCE:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(maxsize=2)

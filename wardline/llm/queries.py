@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wardline.llm import (
-    bpe, exact_dedup, language, mixing, quality, simhash_dedup, suffix_dedup, toxicity, vector_search, warc,
+    bpe, exact_dedup, language, mixing, quality, simhash_dedup, spelling, suffix_dedup, token_counts, toxicity,
+    vector_search, warc,
 )
 from wardline.llm.common import fold_of, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,9 +77,19 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), TOKENIZER)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(table(spark, folder, "documents"), every=199, least_length=6, least_n=5)
+    return spelling.group_variants(words, factor=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op6_suffix_dedup, op7_warc,
-             op8_vector_search, op9_language, op10_bpe)
+             op8_vector_search, op9_language, op10_bpe, op11_token_counts, op12_spelling)
     return {query.__name__: query for query in found}
 
 
