@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wardline.llm import (
-    bpe, exact_dedup, language, mixing, quality, simhash_dedup, spelling, suffix_dedup, token_counts, toxicity,
-    vector_search, warc,
+    bpe, collocations, exact_dedup, language, mixing, quality, simhash_dedup, spelling, suffix_dedup, token_counts,
+    toxicity, vector_search, warc,
 )
 from wardline.llm.common import fold_of, table
 
@@ -87,9 +87,14 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.group_variants(words, factor=5)
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(
+        table(spark, folder, "documents"), least=10, covered_percent=50, top=2_000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_simhash_dedup, op5_quality, op6_suffix_dedup, op7_warc,
-             op8_vector_search, op9_language, op10_bpe, op11_token_counts, op12_spelling)
+             op8_vector_search, op9_language, op10_bpe, op11_token_counts, op12_spelling, op13_collocations)
     return {query.__name__: query for query in found}
 
 
@@ -119,4 +124,37 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
               FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op13_collocations": r"""
+            WITH d AS (
+              SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+            p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+            starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+            f AS (
+              SELECT lang, array_to_string(words[i:i + z.size - 1], ' ') AS phrase, z.size AS words, count(*) AS f
+              FROM starts, (VALUES (1), (2), (3)) AS z(size) WHERE i + z.size - 1 <= len(words)
+              GROUP BY ALL),
+            total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+            c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS v FROM f WHERE words > 1 AND f >= 10),
+            cut AS (
+              SELECT lang, phrase, words, a, v, k, array_to_string(v[1:k], ' ') AS first, array_to_string(v[k + 1:], ' ') AS rest
+              FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+            scored AS (
+              SELECT cut.*, x.f AS l, y.f AS r,
+                CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+              FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.first
+              JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.rest),
+            worst AS (
+              SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            covers AS (
+              SELECT lang, phrase, max(a) AS longer FROM (
+                SELECT lang, array_to_string(v[1:2], ' ') AS phrase, a FROM c WHERE words = 3
+                UNION ALL SELECT lang, array_to_string(v[2:3], ' '), a FROM c WHERE words = 3) GROUP BY ALL),
+            ranked AS (
+              SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+                phrase, a, l, r, n, score
+              FROM worst LEFT JOIN covers USING (lang, phrase) JOIN total USING (lang)
+              WHERE longer IS NULL OR 100 * longer < 50 * a)
+            SELECT * FROM ranked WHERE rank <= 2000""",
     }
