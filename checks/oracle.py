@@ -252,6 +252,66 @@ net AS (
 )"""
 
 
+def hourly_metrics() -> str:
+    """M_rep .. M_scan of every hour; an hour is closed once a row that counts is two hours later than its end."""
+    hour = "date_trunc('hour', {0}) + INTERVAL 1 HOUR AS ref"
+    closed = "ref <= (SELECT max({1}) - INTERVAL 2 HOUR FROM {0})"
+    wanted = "((risk >> 6) & 1 = 1 OR (risk >> 29) & 1 = 1 OR (risk >> 24) & 1 = 1 OR (risk >> 5) & 1 = 1)"
+    return f"""
+listed AS (SELECT *, {hour.format('first_seen')} FROM flows WHERE src <> 0 AND {LAN.format('src')} AND (srv_bl OR cli_bl)),
+rep AS (
+  SELECT ref, src_ip AS host_ip, count(*) FILTER (WHERE srv_bl) AS srv, count(*) FILTER (WHERE cli_bl) AS cli
+  FROM listed WHERE {closed.format('listed', 'first_seen')} GROUP BY ALL),
+risky_flows AS (
+  SELECT *, {hour.format('first_seen')} FROM flows WHERE alerted AND {wanted} AND {LAN_TEXT.format('cli_ip')}),
+shown AS (SELECT * FROM risky_flows WHERE {closed.format('risky_flows', 'first_seen')}),
+pairs AS (
+  SELECT ref, cli_ip AS host_ip, coalesce(json_extract_string(json, '$.alerts."30"."proto.ndpi"'), '') AS proto, srv_port,
+    count(*) AS hits FROM shown WHERE (risk >> 5) & 1 = 1 GROUP BY ALL),
+top_pairs AS (
+  SELECT *, row_number() OVER (PARTITION BY ref, host_ip ORDER BY hits DESC, proto, srv_port) AS rn FROM pairs),
+raised AS (
+  SELECT *, {hour.format('tstamp')} FROM host_alerts WHERE alert_id IN (15, 29) AND {LAN_TEXT.format('ip')}),
+heard AS (SELECT * FROM raised WHERE {closed.format('raised', 'tstamp')}),
+ports AS (
+  SELECT ref, ip AS host_ip, coalesce(TRY_CAST(json_extract_string(json, '$.port') AS INTEGER), 0) AS port, count(*) AS hits
+  FROM heard WHERE alert_id = 29 GROUP BY ALL),
+top_ports AS (SELECT *, row_number() OVER (PARTITION BY ref, host_ip ORDER BY hits DESC, port) AS rn FROM ports),
+scan_alerts AS (
+  SELECT ref, ip AS host_ip, coalesce(CAST(json_extract(json, '$.alerts') AS INTEGER[]), CAST([] AS INTEGER[])) AS codes
+  FROM heard WHERE alert_id = 15),
+rated AS (
+  SELECT *, CASE WHEN list_contains(codes, 1) THEN 0 WHEN list_contains(codes, 3) OR list_contains(codes, 4) THEN 50
+                 WHEN list_contains(codes, 2) THEN 40 ELSE 30 END AS pen FROM scan_alerts),
+code_counts AS (
+  SELECT ref, host_ip, code, count(*) AS hits
+  FROM (SELECT ref, host_ip, unnest(list_distinct(codes)) AS code FROM rated WHERE pen > 0) GROUP BY ALL),
+top_codes AS (SELECT *, row_number() OVER (PARTITION BY ref, host_ip ORDER BY hits DESC, code) AS rn FROM code_counts),
+code_lists AS (
+  SELECT ref, host_ip, array_to_string(list_sort(list(code)), '|') AS codes FROM top_codes WHERE rn <= 10 GROUP BY ALL),
+worst AS (SELECT ref, host_ip, count(*) AS hits, max(pen) AS pen FROM rated WHERE pen > 0 GROUP BY ALL),
+hourly AS (
+  SELECT 'M_rep' AS metric, ref, host_ip, srv + cli AS hits,
+    CASE WHEN srv >= 3 THEN 'COMPROMISSIONE PERSISTENTE (C2 attivo - hits ripetuti)'
+         WHEN srv >= 1 THEN 'CONTATTO ISOLATO a server BL (possibile beacon iniziale)'
+         WHEN cli >= 11 THEN 'SCANSIONE MIRATA (target persistente)'
+         ELSE 'SCANSIONE RARA (rumore di fondo Internet)' END AS dettaglio,
+    CASE WHEN srv >= 3 THEN 50 WHEN srv >= 1 THEN 30 WHEN cli >= 11 THEN 15 ELSE 5 END AS penalita FROM rep
+  UNION ALL SELECT 'M_cert', ref, cli_ip, count(*) FILTER (WHERE (risk >> 6) & 1 = 1) + count(*) FILTER (WHERE (risk >> 29) & 1 = 1),
+    CAST(count(*) FILTER (WHERE (risk >> 29) & 1 = 1) AS VARCHAR), 40
+    FROM shown WHERE (risk >> 6) & 1 = 1 OR (risk >> 29) & 1 = 1 GROUP BY ref, cli_ip
+  UNION ALL SELECT 'M_sni', ref, cli_ip, count(*), '', 50 FROM shown WHERE (risk >> 24) & 1 = 1 GROUP BY ref, cli_ip
+  UNION ALL SELECT 'M_proto', ref, host_ip, CAST(sum(hits) AS BIGINT),
+    array_to_string(list(concat(proto, ' su porta ', srv_port) ORDER BY proto, srv_port) FILTER (WHERE rn <= 10), '|'), 25
+    FROM top_pairs GROUP BY ref, host_ip
+  UNION ALL SELECT 'M_srv', ref, host_ip, CAST(sum(hits) AS BIGINT),
+    array_to_string(list_sort(list(port) FILTER (WHERE rn <= 10)), '|'), 20 FROM top_ports GROUP BY ref, host_ip
+  UNION ALL SELECT 'M_scan', w.ref, w.host_ip, hits, concat(
+      CASE pen WHEN 50 THEN 'EVASIONE FIREWALL (FIN/RST scan)' WHEN 40 THEN 'SYN SCAN CLASSICO'
+               ELSE 'INCOMPLETE FLOWS (scan base)' END, '|', coalesce(c.codes, '')), pen
+    FROM worst w LEFT JOIN code_lists c ON c.ref = w.ref AND c.host_ip = w.host_ip)"""
+
+
 NIGHT = "2024-01-30 00:00:00"
 WORKDAY = "2024-01-29 15:00:00"
 SATURDAY = "2024-01-27 15:00:00"
@@ -427,6 +487,8 @@ def oracle_sql() -> dict[str, str]:
         "streamed_profile": _with() + f"""SELECT src AS host, {stamp.format("date_trunc('hour', first_seen)")} AS bucket,
             CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
             FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} GROUP BY ALL""",
+        "streamed_metrics": _with(hourly_metrics())
+            + f"SELECT metric, {stamp.format('ref')} AS ref, host_ip, hits, dettaglio, penalita FROM hourly",
         "contextual_baseline": night + """SELECT src AS host, buckets AS bucket_count, v_med AS volume_mediana,
             v_mad AS volume_mad, r_med AS rate_mediana, r_mad AS rate_mad FROM base""",
         "byte_labels": _with() + """SELECT src_ip AS host_ip, CAST(sum(bytes) AS BIGINT) AS bytes,

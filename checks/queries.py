@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from wardline.plans import profile, registry, run, scoring
 from wardline.plans.lineage import ensure_checkpoint_dir
 from wardline.sources import events as source
 from wardline.sources import tables as stored_tables
-from wardline.streaming import profile_stream
+from wardline.streaming import metric_stream, profile_stream
 
 # The benchmark events are thin (about one per active user and hour), so the
 # windows are wide: one day against the four weeks before it.
@@ -342,6 +343,42 @@ def _arriving(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(source.EVENTS).parquet(f"{folder}/events.parque[t]")
 
 
+#: Rows of the streamed metrics come up to 90 minutes late; the watermark allows two hours.
+LATEST_ARRIVAL, DELAY, ARRIVALS = 5400, "2 hours", 3
+#: What the hits of a metric are called, and the detail that the query shows.
+STREAMED = {
+    "M_rep": ("hits_totali", "scenario"), "M_cert": ("hits_totali", "CAST(hits_sha1 AS STRING)"), "M_sni": ("hits_missing", "''"),
+    "M_proto": ("hits_totali", "array_join(lista_mismatch, '|')"), "M_srv": ("hits_totali", "array_join(lista_porte, '|')"),
+    "M_scan": ("hits_totali", "concat(categoria_dominante, '|', array_join(codici_rilevati, '|'))")}
+
+
+def streamed_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """M_rep to M_scan of every hour that the watermark has closed, from a stream of several runs, out of order."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    place, p = _place(spark, "metrics"), replace(NIGHT, alert_window_minutes=60)
+    events = source.read_events(spark, f"{folder}/events.parquet").withColumn(
+        "arrival", F.expr(f"unix_seconds(ts) + pmod(hash(event_id), {LATEST_ARRIVAL})"))
+    first, last = events.agg(F.coalesce(F.min("arrival"), F.lit(0)), F.coalesce(F.max("arrival"), F.lit(0))).first()
+    families = (metric_stream.REPUTATION, metric_stream.ALERTED_FLOWS, metric_stream.HOST_ALERTS)
+    for part in range(ARRIVALS):
+        cut = [first + (last + 1 - first) * i // ARRIVALS for i in (part, part + 1)]
+        events.filter(F.col("arrival").between(cut[0], cut[1] - 1)).drop("arrival").write.mode("append").parquet(f"{place}/events")
+        arriving = spark.readStream.schema(source.EVENTS).parquet(f"{place}/events")
+        flows = source.flows_from_events(arriving)
+        rows = (flows, stored_tables.flow_alerts_view(flows), source.host_alerts_from_events(arriving))
+        running = [metric_stream.stream_family(
+            stream, family, f"{place}/{family.name}", f"{place}/progress-{family.name}", p, DELAY)
+            for stream, family in zip(rows, families)]
+        for query in running:
+            query.awaitTermination()
+    found = [
+        fired.selectExpr(f"'{key}' AS metric", "date_format(ref, 'yyyy-MM-dd HH:mm:ss') AS ref", "host_ip",
+                         f"{STREAMED[key][0]} AS hits", f"{STREAMED[key][1]} AS dettaglio", "penalita")
+        for family in families
+        for key, fired in metric_stream.closed_windows(spark, family, f"{place}/{family.name}", p).items()]
+    return reduce(DataFrame.union, found)
+
+
 def stream_restarted(spark: SparkSession, folder: str) -> DataFrame:
     """Two streams into one table, each from its own batch 0: neither loses what the other has written."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -424,6 +461,7 @@ def queries() -> dict[str, Query]:
         "host_hour": host_hour,
         "hourly_profile": hourly_profile,
         "streamed_profile": streamed_profile,
+        "streamed_metrics": streamed_metrics,
         "contextual_baseline": contextual_baseline,
         "byte_labels": byte_labels,
     }

@@ -68,19 +68,24 @@ def mismatches(alerts: DataFrame, p: RiskParams, minutes: int | None = None) ->
     return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
 
 
-def alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
-    """The measures of m_cert, m_sni and m_proto from one scan and one first shuffle.
-
-    Flows are grouped by host and combination, NULL for flows on their usual port.
-    """
+def alert_groups(p: RiskParams) -> tuple[Column, list[Column]]:
+    """What alert_measures takes: the key beside the host, NULL for flows on their usual port, and the counts."""
     mismatch = has_any_bit("flow_risk_bitmap", p.bit_nonstandard_port)
     combination = F.when(mismatch, F.struct(detected_protocol("json").alias("proto"), F.col("srv_port").alias("port")))
-    tls = [*certificate_hits(p), hits("hits_missing", p.bit_missing_sni)]
-    groups = (
-        alerted_subjects(alerts, p, None, *p.cert_bits, p.bit_missing_sni, p.bit_nonstandard_port)
-        .groupBy("host_ip", combination.alias("combination"))
-        .agg(F.count_if(mismatch).alias("hits"), *tls)
-    )
+    return combination.alias("combination"), [
+        F.count_if(mismatch).alias("hits"), *certificate_hits(p), hits("hits_missing", p.bit_missing_sni)]
+
+
+def tls_or_port_alerts(alerts: DataFrame, p: RiskParams, window: tuple[int, int] | None = None) -> DataFrame:
+    """Alerted flows of local clients that m_cert, m_sni or m_proto counts, in the window or at any time."""
+    alerts = alerts if window is None else in_windows(alerts, "tstamp", window)
+    return alerts.filter(
+        has_any_bit("flow_risk_bitmap", *p.cert_bits, p.bit_missing_sni, p.bit_nonstandard_port)
+        & is_local_text("cli_ip", p)).withColumnRenamed("cli_ip", "host_ip")
+
+
+def alert_measures(groups: DataFrame, p: RiskParams) -> DataFrame:
+    """The measures of m_cert, m_sni and m_proto from counts per host and combination."""
     names = [c for c in groups.columns if c.startswith("hits_")]
     totals = groups.groupBy("host_ip").agg(
         F.sum("hits").alias("hits_totali"), F.count("combination").alias("combinazioni_distinte"),
@@ -90,6 +95,13 @@ def alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
     return totals.join(listed, "host_ip").withColumn("lista_mismatch", labels)
 
 
+def alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
+    """The measures of m_cert, m_sni and m_proto from one scan and one first shuffle."""
+    combination, counts = alert_groups(p)
+    return alert_measures(
+        tls_or_port_alerts(alerts, p, alert_window(p)).groupBy("host_ip", combination).agg(*counts), p)
+
+
 def m_proto(inputs: MetricInputs, p: RiskParams, minutes: int | None = None) -> DataFrame:
     p = p.pinned()
     return verdicts.protocol_mismatch(p).flagged(mismatches(inputs.flow_alerts, p, minutes))

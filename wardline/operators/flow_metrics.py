@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.ip import ipv4_to_string
@@ -14,14 +14,23 @@ from wardline.params import RiskParams
 from wardline.plans.profile import activity_of
 
 
+SRV_LISTED, CLI_LISTED = "IS_SRV_BLACKLISTED = 1", "IS_CLI_BLACKLISTED = 1"
+
+
+def blacklisted(flows: DataFrame, p: RiskParams) -> DataFrame:
+    """Flows of local hosts with a blacklisted side."""
+    return flows.filter(is_subject(p) & F.expr(f"{SRV_LISTED} OR {CLI_LISTED}"))
+
+
+def blacklist_counts() -> list[Column]:
+    return [F.count_if(F.expr(SRV_LISTED)).alias("hits_srv"), F.count_if(F.expr(CLI_LISTED)).alias("hits_cli")]
+
+
 def blacklist_hits(flows: DataFrame, p: RiskParams, minutes: int | None = None) -> DataFrame:
     """Per host: flows to a blacklisted server and flows flagged on the client side."""
-    srv, cli = F.expr("IS_SRV_BLACKLISTED = 1"), F.expr("IS_CLI_BLACKLISTED = 1")
     return (
-        in_windows(flows, "FIRST_SEEN", alert_window(p, minutes))
-        .filter(is_subject(p) & (srv | cli))
-        .groupBy("IPV4_SRC_ADDR")
-        .agg(F.count_if(srv).alias("hits_srv"), F.count_if(cli).alias("hits_cli"))
+        blacklisted(in_windows(flows, "FIRST_SEEN", alert_window(p, minutes)), p)
+        .groupBy("IPV4_SRC_ADDR").agg(*blacklist_counts())
         .withColumn("host_ip", ipv4_to_string("IPV4_SRC_ADDR"))
     )
 

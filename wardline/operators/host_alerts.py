@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.ip import is_local_text
 from wardline.functions.payload import contacted_port, scan_codes
 from wardline.functions.text import scan_labels
-from wardline.functions.timewin import host_alert_window, in_windows
+from wardline.functions.timewin import Window as Window_, host_alert_window, in_windows
 from wardline.inputs import MetricInputs
 from wardline.operators import verdicts
 from wardline.operators.lists import frequent_items
@@ -76,17 +76,31 @@ def scans(alerts: DataFrame, p: RiskParams, minutes: int | None = None) -> DataF
     return found.withColumn("codici_descritti", scan_labels("codici_rilevati"))
 
 
+def port_or_scan_alerts(alerts: DataFrame, p: RiskParams, window: Window_ | None = None) -> DataFrame:
+    """Alerts on local hosts that m_srv or m_scan counts, in the window or at any time."""
+    alerts = alerts if window is None else in_windows(alerts, "tstamp", window)
+    return alerts.filter(
+        F.expr(f"alert_id IN ({p.srv_alert_id}, {p.scan_alert_id})") & is_local_text("ip", p)
+    ).withColumnRenamed("ip", "host_ip")
+
+
+def host_alert_groups(p: RiskParams) -> list[Column]:
+    """The keys beside the host under which host_alert_measures takes its counts, `alerts`."""
+    return [F.col("alert_id"), F.when(F.expr(f"alert_id = {p.srv_alert_id}"), contacted_port("json")).alias("port"),
+            F.when(F.expr(f"alert_id = {p.scan_alert_id}"), scan_codes("json")).alias("codes")]
+
+
 def host_alert_activity(alerts: DataFrame, p: RiskParams) -> DataFrame:
     """The measures of m_srv and m_scan from one scan and one first shuffle."""
+    groups = port_or_scan_alerts(alerts, p, host_alert_window(p)).groupBy("host_ip", *host_alert_groups(p)).agg(
+        F.count(F.lit(1)).alias("alerts"))
+    return host_alert_measures(groups, p)
+
+
+def host_alert_measures(groups: DataFrame, p: RiskParams) -> DataFrame:
+    """The measures of m_srv and m_scan from alerts per host, kind, port and set of codes."""
     is_port, is_scan = f"alert_id = {p.srv_alert_id}", f"alert_id = {p.scan_alert_id}"
-    local = in_windows(alerts, "tstamp", host_alert_window(p)).filter(
-        F.expr(f"({is_port}) OR ({is_scan})") & is_local_text("ip", p)).withColumnRenamed("ip", "host_ip")
-    groups = (
-        local.groupBy("host_ip", "alert_id", F.when(F.expr(is_port), contacted_port("json")).alias("port"),
-                      F.when(F.expr(is_scan), scan_codes("json")).alias("codes"))
-        .agg(F.count(F.lit(1)).alias("alerts"))
-        .withColumn("severity", F.when(F.expr(is_scan), verdicts.scan_rank("codes")).otherwise(0))
-    )
+    groups = groups.withColumn("severity", F.when(F.expr(is_scan), verdicts.scan_rank("codes")).otherwise(0))
     totals = groups.groupBy("host_ip").agg(
         F.expr(f"coalesce(sum(CASE WHEN {is_port} THEN alerts END), 0) AS srv_hits"),
         F.expr(f"count_if({is_port}) AS porte_distinte"),

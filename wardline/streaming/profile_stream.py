@@ -20,16 +20,18 @@ PARTIALS = ("host long, bucket timestamp, part_bytes_out long, part_flows long,
             "dt date, stream string, batch long")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, in whatever file system the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _known_stream(spark: SparkSession, path: str, stream: str) -> bool:
-    if not _exists(spark, path):
-        return False
-    return not spark.read.schema(PARTIALS).parquet(path).filter(F.col("stream") == stream).isEmpty()
+def require_known_batches(spark: SparkSession, path: str, checkpoint: str, stream: str) -> None:
+    """Refuse a checkpoint that doesn't know the batches of this stream in the table."""
+    if path_exists(spark, f"{checkpoint}/metadata") or not path_exists(spark, path):
+        return
+    if not spark.read.schema("stream string").parquet(path).filter(F.col("stream") == stream).isEmpty():
+        raise ValueError(f"{path} has batches of stream '{stream}' that the checkpoint {checkpoint} does not know")
 
 
 def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
@@ -52,9 +54,7 @@ def stream_profile(flows: DataFrame, path: str, checkpoint: str, p: RiskParams,
             .partitionBy("dt", "stream", "batch").parquet(path)
         )
 
-    spark = flows.sparkSession
-    if not _exists(spark, f"{checkpoint}/metadata") and _known_stream(spark, path, stream):
-        raise ValueError(f"{path} has batches of stream '{stream}' that the checkpoint {checkpoint} does not know")
+    require_known_batches(flows.sparkSession, path, checkpoint, stream)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (
         flows.writeStream.foreachBatch(append)
@@ -68,7 +68,7 @@ def read_partials(spark: SparkSession, path: str) -> DataFrame:
     Their columns are not those of a profile, so they can't be taken for one unmerged. A table that
     nothing has been written to yet has no rows.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], PARTIALS)
     return spark.read.schema(PARTIALS).parquet(path)
 
