@@ -252,6 +252,39 @@ net AS (
 )"""
 
 
+def replayed(ref: str) -> str:
+    """M_vol and M_fail at every hour of the week up to ref: each instant joined with its four weeks before the last day."""
+    ours = f"src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')}"
+    causes = ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{n}" for n, c in CAUSES.items())
+    carried = ", ".join(f"n_{n}" for n in CAUSES)
+    total = ", ".join(f"CAST(sum(n_{n}) AS BIGINT) AS n_{n}" for n in CAUSES)
+    return f"""
+refs AS (SELECT unnest(generate_series(TIMESTAMP '{ref}' - INTERVAL 7 DAY, TIMESTAMP '{ref}', INTERVAL 1 HOUR)) AS ref),
+hours AS (
+  SELECT src, any_value(src_ip) AS host_ip, date_trunc('hour', first_seen) AS bucket, CAST(sum(bytes) AS BIGINT) AS v,
+    count(*) AS n, count(*) FILTER (WHERE {FAILED}) AS nf, {causes}
+  FROM flows WHERE {ours} GROUP BY src, date_trunc('hour', first_seen)),
+past AS (
+  SELECT ref, src, v, CAST(nf AS DOUBLE) / n AS r FROM hours, refs
+  WHERE bucket >= ref - INTERVAL 28 DAY AND bucket < ref - INTERVAL 24 HOUR
+    AND {CATEGORY.format('bucket')} = {CATEGORY.format('ref')}),
+middle AS (
+  SELECT ref, src, count(*) AS buckets, median(v) AS v_med, median(r) AS r_med FROM past GROUP BY ALL HAVING count(*) >= 3),
+base AS (
+  SELECT past.ref, past.src, any_value(buckets) AS buckets, any_value(v_med) AS v_med, any_value(r_med) AS r_med,
+    median(abs(v - v_med)) AS v_mad, median(abs(r - r_med)) AS r_mad
+  FROM past JOIN middle m ON m.ref = past.ref AND m.src = past.src GROUP BY past.ref, past.src),
+cur AS (
+  SELECT ref, src, any_value(host_ip) AS host_ip, CAST(sum(v) AS BIGINT) AS v_out, CAST(sum(n) AS BIGINT) AS n_totali,
+    CAST(sum(nf) AS BIGINT) AS n_falliti, {total}
+  FROM hours, refs WHERE bucket >= ref - INTERVAL 24 HOUR AND bucket < ref GROUP BY ref, src),
+judged AS (
+  SELECT cur.ref, host_ip, v_out, n_totali, n_falliti, {carried}, buckets, v_med, v_mad, r_med, r_mad,
+    {CATEGORY.format('cur.ref')} AS categoria_temporale, CAST(n_falliti AS DOUBLE) / n_totali AS r,
+    greatest(v_mad, v_med * 0.10, 1048576.0::DOUBLE) AS v_eff, greatest(r_mad, 0.05::DOUBLE) AS r_eff
+  FROM cur JOIN base ON base.ref = cur.ref AND base.src = cur.src)"""
+
+
 def hourly_metrics() -> str:
     """M_rep .. M_scan of every hour; an hour is closed once a row that counts is two hours later than its end."""
     hour = "date_trunc('hour', {0}) + INTERVAL 1 HOUR AS ref"
@@ -384,6 +417,15 @@ def oracle_sql() -> dict[str, str]:
         "m_fail_working_hours": _with(statistical(WORKDAY)) + f"SELECT {fail_columns}, penalita FROM m_fail",
         "m_fail_weekend": _with(statistical(SATURDAY)) + f"SELECT {fail_columns}, penalita FROM m_fail",
         "m_fail_diagnostic": night + f"SELECT {fail_columns}, 30 * M_fail AS penalita FROM fail_judged",
+        "m_vol_replay": _with(replayed(NIGHT)) + f"""SELECT {stamp.format('ref')} AS ref, host_ip, 1 AS M_vol, v_out,
+            CAST(trunc(v_med) AS BIGINT) AS v_mediana, CAST(trunc(v_mad) AS BIGINT) AS mad, CAST(trunc(v_eff) AS BIGINT) AS mad_eff,
+            (v_out - v_med) / v_eff AS z_modified, categoria_temporale, buckets AS bucket_baseline, 20 AS penalita
+            FROM judged WHERE v_out > 52428800 AND v_out > v_med AND (v_out - v_med) / v_eff > 3""",
+        "m_fail_replay": _with(replayed(NIGHT)) + f"""SELECT {stamp.format('ref')} AS ref, host_ip, 1 AS M_fail, n_totali,
+            n_falliti, r AS r_corrente, r_med AS r_mediana, r_mad AS mad, r_eff AS mad_eff, (r - r_med) / r_eff AS z_modified,
+            buckets AS bucket_count, categoria_temporale, {", ".join(f"n_{c} AS breakdown_{c}" for c in CAUSES)},
+            {CAUSE} AS causa_dominante, 30 AS penalita
+            FROM judged WHERE n_totali >= 3 AND r > 0.30::DOUBLE AND r > r_med AND (r - r_med) / r_eff > 3""",
         "dominant_cause": night + f"SELECT host_ip, {CAUSE} AS causa, {BEST} AS conteggio FROM fail_judged",
         "scan_code_labels": _with() + f"""
             SELECT code, {LABEL.format('code')} AS label, count(*) AS alerts

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wardline.functions import ip, payload, risk, text, timewin
 from wardline.inputs import MetricInputs
-from wardline.operators import baseline, flow_metrics, verdicts
+from wardline.operators import baseline, flow_metrics, replay, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
 from wardline.plans import profile, registry, run, scoring
@@ -202,6 +202,12 @@ def m_fail_diagnostic(spark: SparkSession, folder: str) -> DataFrame:
     return flat(flow_metrics.m_fail(tables(spark, folder), NIGHT, only_fired=False))
 
 
+def _replayed(key: str) -> Query:
+    """The metric at every hour of a week, all time categories among them."""
+    week = (NIGHT.flows_epoch - 7 * timewin.DAY, NIGHT.flows_epoch + timewin.HOUR)
+    return lambda spark, folder: flat(replay.hourly_replay(tables(spark, folder).flows, NIGHT, *week)[key])
+
+
 def dominant_cause(spark: SparkSession, folder: str) -> DataFrame:
     judged = flow_metrics.m_fail(tables(spark, folder), NIGHT, only_fired=False)
     return judged.select("host_ip", verdicts.dominant_cause("breakdown").alias("d")).select(
@@ -423,6 +429,8 @@ def queries() -> dict[str, Query]:
         "m_fail_working_hours": _metric("M_fail", WORKDAY),
         "m_fail_weekend": _metric("M_fail", SATURDAY),
         "m_fail_diagnostic": m_fail_diagnostic,
+        "m_vol_replay": _replayed("M_vol"),
+        "m_fail_replay": _replayed("M_fail"),
         "dominant_cause": dominant_cause,
         "scan_code_labels": scan_code_labels,
         "host_scores": host_scores,

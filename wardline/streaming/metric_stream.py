@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions.ip import ipv4_to_string
 from wardline.operators import flow_alerts, flow_metrics, host_alerts, verdicts
-from wardline.operators.verdicts import Verdict
+from wardline.operators.verdicts import Verdict, by_window
 from wardline.params import RiskParams
 from wardline.streaming.profile_stream import path_exists, require_known_batches
 
@@ -117,12 +117,6 @@ def closed_windows(spark: SparkSession, family: Family, path: str, p: RiskParams
     return {rule.key: by_window(rule.flagged(measures)) for rule in family.rules(p)}
 
 
-def by_window(flagged: DataFrame) -> DataFrame:
-    """Rows of subjects (ref, ip) with the two as columns."""
-    return flagged.select("host_ip.ref", F.col("host_ip.ip").alias("host_ip"),
-                          *[c for c in flagged.columns if c != "host_ip"])
-
-
 def late_rows(spark: SparkSession, path: str) -> DataFrame:
     """(ref, arrived, late) for every closed window that has missed rows: those came after the watermark.
 
