@@ -399,6 +399,16 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{k}' AS metric, '{LABELS[k]}' AS label, true AS ok, count(*) AS n_hosts FROM {k.lower()}" for k in KEYS)
     short = _with(deterministic(NIGHT, limit=1, servers=2, clients=1), statistical(NIGHT))
     stamp = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+    novelty = _with() + f"""
+            , ours AS (SELECT src_ip AS host_ip, srv_port, first_seen FROM flows
+                       WHERE src <> 0 AND {LAN.format('src')}
+                         AND first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 28 DAY AND first_seen < TIMESTAMP '{NIGHT}'),
+            today AS (SELECT DISTINCT host_ip, srv_port FROM ours WHERE first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 24 HOUR),
+            history AS (SELECT DISTINCT host_ip, srv_port FROM ours WHERE first_seen < TIMESTAMP '{NIGHT}' - INTERVAL 24 HOUR)
+            SELECT * FROM today WHERE NOT EXISTS (
+                SELECT 1 FROM history h WHERE h.host_ip = today.host_ip AND h.srv_port = today.srv_port)
+              AND host_ip IN (SELECT host_ip FROM ours GROUP BY host_ip
+                              HAVING min(first_seen) <= TIMESTAMP '{NIGHT}' - INTERVAL 48 HOUR)"""
     return {
         "m_rep": night + "SELECT host_ip, 1 AS M_rep, hits_srv, hits_cli, hits_totali, scenario, penalita FROM m_rep",
         "m_cert": night + "SELECT host_ip, 1 AS M_cert, hits_self_signed, hits_sha1, hits_totali, penalita FROM m_cert",
@@ -476,16 +486,8 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
             FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} GROUP BY ALL""",
         "flagged_hosts": night + f"SELECT metric, n_hosts FROM ({counts})",
-        "service_novelty": _with() + f"""
-            , ours AS (SELECT src_ip AS host_ip, srv_port, first_seen FROM flows
-                       WHERE src <> 0 AND {LAN.format('src')}
-                         AND first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 28 DAY AND first_seen < TIMESTAMP '{NIGHT}'),
-            today AS (SELECT DISTINCT host_ip, srv_port FROM ours WHERE first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 24 HOUR),
-            history AS (SELECT DISTINCT host_ip, srv_port FROM ours WHERE first_seen < TIMESTAMP '{NIGHT}' - INTERVAL 24 HOUR)
-            SELECT * FROM today WHERE NOT EXISTS (
-                SELECT 1 FROM history h WHERE h.host_ip = today.host_ip AND h.srv_port = today.srv_port)
-              AND host_ip IN (SELECT host_ip FROM ours GROUP BY host_ip
-                              HAVING min(first_seen) <= TIMESTAMP '{NIGHT}' - INTERVAL 48 HOUR)""",
+        "service_novelty": novelty,
+        "service_novelty_stored": novelty,
         "flows_scan": _with() + f"""SELECT flow_id AS FLOW_ID, {stamp.format('first_seen')} AS FIRST_SEEN,
             {stamp.format("first_seen + INTERVAL 5 SECOND")} AS LAST_SEEN, src AS IPV4_SRC_ADDR, dst AS IPV4_DST_ADDR,
             bytes AS SRC2DST_BYTES, CAST(1 AS BIGINT) AS SRC2DST_PACKETS, CAST(answers AS BIGINT) AS DST2SRC_PACKETS,

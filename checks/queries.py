@@ -17,7 +17,7 @@ from wardline.inputs import MetricInputs
 from wardline.operators import baseline, flow_metrics, replay, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
-from wardline.plans import profile, registry, run, scoring
+from wardline.plans import first_seen, profile, registry, run, scoring
 from wardline.plans.lineage import ensure_checkpoint_dir
 from wardline.sources import events as source
 from wardline.sources import tables as stored_tables
@@ -230,6 +230,20 @@ def novelty(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("SRV_PORT").alias("srv_port"))
 
 
+def novelty_from_sightings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored sightings: four days each, stored twice, the older ones merged; of the flows one day is read."""
+    place, (start, end) = _place(spark, "sightings"), timewin.history_window(NIGHT)
+    flows = tables(spark, folder).flows.filter(baseline.is_subject(NIGHT))
+    columns = ("IPV4_SRC_ADDR", "FIRST_SEEN", "SRV_PORT")
+    cuts = [*range(start - timewin.DAY, end, 4 * timewin.DAY), end]
+    for window in zip(cuts, cuts[1:]):
+        for _ in range(2):
+            first_seen.add_sightings(flows, place, window, *columns)
+    first_seen.compact(spark, place, before=cuts[-3])
+    novel = first_seen.novelty_from_sightings(flows, place, NIGHT, *columns)
+    return novel.select(ip.ipv4_to_string("IPV4_SRC_ADDR").alias("host_ip"), F.col("SRV_PORT").alias("srv_port"))
+
+
 def flows_scan(spark: SparkSession, folder: str) -> DataFrame:
     return flat(tables(spark, folder).flows)
 
@@ -456,6 +470,7 @@ def queries() -> dict[str, Query]:
         "stream_restarted": stream_restarted,
         "flagged_hosts": flagged_hosts,
         "service_novelty": novelty,
+        "service_novelty_stored": novelty_from_sightings,
         "flows_scan": flows_scan,
         "flow_alerts_view": flow_alerts_view,
         "host_alerts_scan": host_alerts_scan,

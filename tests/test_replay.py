@@ -38,7 +38,7 @@ def test_every_hour_equals_a_run_of_its_own(spark, flows, changes):
     p = replace(RiskParams(flows_ref=END, min_baseline_buckets=2, fail_min_flows=2, vol_min_bytes=0), **changes)
     shift = 900 if "local_tz" in changes else 0  # whole hours there
     start, end = int(END.timestamp()) - 30 * HOUR + shift, int(END.timestamp()) + HOUR + shift
-    refs = [*range(start, end, 6 * HOUR)]
+    refs = [*range(start, end, 10 * HOUR)]
     inputs = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS))
     for only_fired in (True, False):
         got = replay.hourly_replay(flows, p, start, end, only_fired)

@@ -12,6 +12,23 @@ from wardline import schemas
 from wardline.functions.timewin import HOUR, PARTITION_COLUMN, day_column, laid_out_by_day
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system that a path names, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written; a missing one is no error."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                **options: str) -> DataFrame:
     """Any file source, with the declared schema.

@@ -20,7 +20,8 @@ from wardline.functions.ip import ipv4_to_string
 from wardline.operators import flow_alerts, flow_metrics, host_alerts, verdicts
 from wardline.operators.verdicts import Verdict, by_window
 from wardline.params import RiskParams
-from wardline.streaming.profile_stream import path_exists, require_known_batches
+from wardline.sources.tables import path_exists
+from wardline.streaming.profile_stream import require_known_batches
 
 
 @dataclass(frozen=True)

@@ -14,18 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from wardline.operators.baseline import hourly_profile
 from wardline.params import RiskParams
 from wardline.plans.profile import write_profile_rows
+from wardline.sources.tables import path_exists
 
 SUMS = ("bytes_out", "flows", "failed")
 PARTIALS = ("host long, bucket timestamp, part_bytes_out long, part_flows long, part_failed long, "
             "dt date, stream string, batch long")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, in whatever file system the path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def require_known_batches(spark: SparkSession, path: str, checkpoint: str, stream: str) -> None:
     """Refuse a checkpoint that doesn't know the batches of this stream in the table."""
     if path_exists(spark, f"{checkpoint}/metadata") or not path_exists(spark, path):
