@@ -66,6 +66,14 @@ def test_shards_hold_every_ngram_once(shard_bytes):
     assert (len(shards) > 1) == (shard_bytes < 1_000)
 
 
+def test_shards_of_very_many_words():
+    tokens = [b"a", b"b", b"\n", b"a", b"b", b"c", b"a", b"b", b"c"]
+    words, grams, counts = op.ShardCounter._count(tokens, 0)
+    ids = np.array([words.index(t) + 1 if t != b"\n" else 0 for t in tokens])
+    again = op._count_rows(ids, np.ones(len(ids), bool), 1 << 22)
+    assert np.array_equal(again[0], grams) and np.array_equal(again[1], counts)
+
+
 def grams_of(draw, n, words=8):
     rows = {tuple(draw.randint(1, words) for _ in range(draw.randint(1, 3))) for _ in range(n)}
     rows = sorted(r + (0,) * (3 - len(r)) for r in rows)

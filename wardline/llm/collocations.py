@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardline.llm.common import Shelf
 
 #: Bytes of text in a shard, n-grams of a union before it is compacted, and those of a finished range.
-SHARD_BYTES, PENDING, RANGE = 4_000_000, 2_000_000, 1_000_000
+SHARD_BYTES, PENDING, RANGE = 6_000_000, 1_500_000, 1_000_000
 #: Cuts of a range at a time, n-grams that a cut aims at, n-grams that a transducer names as possible borders.
-FAN, AIM, SAMPLES = 1_024, 400_000, 32
+FAN, AIM, SAMPLES = 1_024, 1_000_000, 32
 #: Borders that are broadcast; more are joined.
 BROADCAST_BORDERS = 200_000
 MOST_LEVELS = 12
@@ -36,13 +36,15 @@ for _c in b".,;:!?\x0a\x0b\x0c\x0d":
 _TABLE[0x09] = 0x20
 TABLE = bytes(_TABLE)
 
-FIELDS = "words array<binary>, starts array<int>, labels array<int>, weights array<bigint>, targets array<int>"
+#: A transducer as one value: an Arrow record batch, compressed.
+FIELDS = "machine binary"
 
 
 def _order(grams: np.ndarray, base: int) -> np.ndarray:
     """The order of rows of three numbers below `base`."""
     if base < 1 << 21:
-        return np.argsort((grams[:, 0] * base + grams[:, 1]) * base + grams[:, 2], kind="stable")
+        one, two, three = (grams[:, i].astype(np.int64) for i in range(3))
+        return np.argsort((one * base + two) * base + three, kind="stable")
     return np.lexsort((grams[:, 2], grams[:, 1], grams[:, 0]))
 
 
@@ -86,9 +88,10 @@ class CountTransducer:
             rows = np.column_stack([labels, weights, targets]).astype(np.int64)
             single = np.nonzero(size == 1)[0]
             if len(single):
-                kinds, of = np.unique(rows[first[single], 1], return_inverse=True)
-                ends, to = np.unique(rows[first[single], 2], return_inverse=True)
-                packed = (rows[first[single], 0] * len(ends) + to) * len(kinds) + of
+                label, weight, to = rows[first[single]].T
+                if int(weight.max()) > 1 << 10:  # three numbers must fit into one
+                    weight = np.unique(weight, return_inverse=True)[1]
+                packed = (label * (int(to.max()) + 1) + to) * (int(weight.max()) + 1) + weight
                 _, at, same = np.unique(packed, return_index=True, return_inverse=True)
                 found[single] = states + same
                 edges.append(rows[first[single][at]])
@@ -142,13 +145,13 @@ class CountTransducer:
 
     def _walk(self, other: CountTransducer | None = None) -> tuple[np.ndarray, np.ndarray]:
         states = np.array([len(self.starts) - 2])
-        path, mate, depth = np.zeros((1, 3), np.int64), None, 0
+        path, mate, depth = np.zeros((1, 3), np.int32), None, 0
         if other is not None:
             mate, base = np.array([len(other.starts) - 2]), len(other.words) + 1
             place = {w: i + 1 for i, w in enumerate(other.words)}
             to_other = np.array([0] + [place.get(w, 0) for w in self.words], np.int64)
             keys = np.repeat(np.arange(len(other.starts) - 1), np.diff(other.starts)) * base + other.labels
-        all_grams, all_counts = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+        all_grams, all_counts = [np.zeros((0, 3), np.int32)], [np.zeros(0, np.int64)]
         while len(states):
             whose, edge = self._children(states)
             path = path[whose]
@@ -180,6 +183,21 @@ class CountTransducer:
         """The n-grams of this acceptor in order, each with its weight in `counts`, 0 if it has none."""
         return self._walk(counts)
 
+    def to_bytes(self) -> bytes:
+        columns = {"words": pa.array(self.words, pa.binary()), "starts": pa.array(self.starts), "labels": pa.array(self.labels),
+                   "weights": pa.array(self.weights), "targets": pa.array(self.targets)}
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()]
+        batch, sink = pa.RecordBatch.from_arrays(lists, list(columns)), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as writer:
+            writer.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def from_bytes(cls, stored) -> CountTransducer:
+        with pa.ipc.open_stream(stored) as reader:
+            words, *arrays = (c[0].values for c in reader.read_next_batch().columns)
+        return cls(words.to_pylist(), *(a.to_numpy() for a in arrays))
+
     def phrase(self, gram: np.ndarray) -> bytes:
         return b" ".join(self.words[i - 1] for i in gram.tolist() if i)
 
@@ -201,14 +219,15 @@ def unite(parts: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> tuple[list
     """The n-grams of several shards under common words, equal ones summed; words that none uses are left out."""
     words = sorted(set().union(*(p[0] for p in parts)))
     label = {w: i + 1 for i, w in enumerate(words)}
-    grams = np.concatenate([np.array([0] + [label[w] for w in part[0]], np.int64)[part[1]] for part in parts])
+    grams = np.concatenate([np.array([0, *map(label.__getitem__, part[0])], np.int32)[part[1]] for part in parts])
     return words, *summed(grams, np.concatenate([p[2] for p in parts]), len(words) + 1)
 
 
 def without_unused(words: list[bytes], grams: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    used = np.unique(grams)
-    used = used[used > 0]
-    to = np.zeros(len(words) + 1, np.int64)
+    used = np.zeros(len(words) + 1, bool)
+    used[grams.ravel()] = True
+    used = np.nonzero(used[1:])[0] + 1
+    to = np.zeros(len(words) + 1, np.int32)
     to[used] = np.arange(1, len(used) + 1)
     return [words[i - 1] for i in used.tolist()], to[grams]
 
@@ -263,6 +282,8 @@ class ShardCounter:
         label[b"\n"] = 0
         ids = np.fromiter(map(label.__getitem__, tokens), np.int64, len(tokens))
         base, at = len(words) + 1, np.arange(len(ids)) >= known
+        if base >= 1 << 21:  # too many words for a number of 63 bits an n-gram
+            return words, *_count_rows(ids, at, base)
         one = ids[at & (ids > 0)] * base * base
         pair = (ids[:-1] > 0) & (ids[1:] > 0)
         two = (ids[:-1] * base + ids[1:])[pair & at[1:]] * base
@@ -271,7 +292,18 @@ class ShardCounter:
         keys, counts = np.unique(np.concatenate([one, two, three]), return_counts=True)
         if not len(keys):
             return None
-        return words, np.column_stack([keys // (base * base), keys // base % base, keys % base]), counts
+        return words, np.column_stack([keys // (base * base), keys // base % base, keys % base]).astype(np.int32), counts
+
+
+def _count_rows(ids: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end where `at` says, as rows."""
+    padded = np.concatenate([[0, 0], ids])
+    one, two, three = padded[2:], padded[1:-1], padded[:-2]
+    pair = at & (one > 0) & (two > 0)
+    triple, none = pair & (three > 0), np.zeros(len(ids), np.int64)
+    grams = np.concatenate([np.column_stack(rows)[chosen] for rows, chosen in (
+        ((one, none, none), at & (one > 0)), ((two, one, none), pair), ((three, two, one), triple))]).astype(np.int32)
+    return summed(grams, np.ones(len(grams), np.int64), base)
 
 
 def _row(leading: dict, words: list[bytes], grams: np.ndarray, counts: np.ndarray, samples: bool = True) -> pa.RecordBatch:
@@ -281,17 +313,13 @@ def _row(leading: dict, words: list[bytes], grams: np.ndarray, counts: np.ndarra
     steps = np.unique(np.linspace(0, len(grams), SAMPLES, endpoint=False).astype(np.int64)) if samples and len(grams) else []
     values = leading | {"size": len(grams), "samples": [made.phrase(grams[i]) for i in steps]}
     columns = [pa.array([v], pa.list_(pa.binary()) if isinstance(v, list) else None) for v in values.values()]
-    columns += [pa.array([made.words], pa.list_(pa.binary()))]
-    for values_, kind in ((made.starts, pa.int32()), (made.labels, pa.int32()), (made.weights, pa.int64()),
-                          (made.targets, pa.int32())):
-        columns.append(pa.ListArray.from_arrays(pa.array([0, len(values_)], pa.int32()), pa.array(values_, kind)))
-    return pa.RecordBatch.from_arrays(columns, [*values, "words", "starts", "labels", "weights", "targets"])
+    columns.append(pa.array([made.to_bytes()], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, [*values, "machine"])
 
 
 def _transducers(batch: pa.RecordBatch) -> Iterator[CountTransducer]:
-    columns = [batch.column(c) for c in ("words", "starts", "labels", "weights", "targets")]
-    for row in range(batch.num_rows):
-        yield CountTransducer(columns[0][row].as_py(), *(c[row].values.to_numpy() for c in columns[1:]))
+    for machine in batch.column("machine"):
+        yield CountTransducer.from_bytes(machine.as_buffer())
 
 
 SHARD_TYPE = f"range long, lang string, size long, samples array<binary>, {FIELDS}"
@@ -430,7 +458,7 @@ def count_ngrams(
         borders = shelf.keep(_borders(open_, aim), f"borders-{level}")
         few = borders.agg(F.coalesce(F.sum(F.size("borders") + 1), F.lit(0))).first()[0] <= BROADCAST_BORDERS
         cut = open_.join(F.broadcast(borders) if few else borders, ["range", "lang"]).select(
-            "range", "lang", "borders", "words", "starts", "labels", "weights", "targets").mapInArrow(_split, SHARD_TYPE)
+            "range", "lang", "borders", "machine").mapInArrow(_split, SHARD_TYPE)
         spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         united = shelf.keep(
             cut.repartition(spread, "range").sortWithinPartitions("range", "lang").mapInArrow(
@@ -521,7 +549,7 @@ def collocations(
     ranges = count_ngrams(shelf, docs, least, shard_bytes, aim, pending, most)
     totals = ranges.groupBy("lang").agg(F.sum("total").alias("n"))
 
-    made = ["range", "lang", "words", "starts", "labels", "weights", "targets"]
+    made = ["range", "lang", "machine"]
     known = shelf.keep(ranges.select(*made).mapInArrow(_ngram_rows, "lang string, phrase binary, f long"), "known")
     bucket = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, -(-known.count() // aim))))
     asked = ranges.select(*made).mapInArrow(_parts, "range long, lang string, phrase binary")
