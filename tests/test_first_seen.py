@@ -49,7 +49,7 @@ def test_equals_the_raw_form(flows, tmp_path, changes, size):
     store(flows, path, range(start - 2 * HOUR, end + 2 * size, size))
     expected = found(service_novelty(flows, p, *COLUMNS))
     assert found(op.novelty_from_sightings(flows, path, p, *COLUMNS)) == expected and expected
-    store(flows, path, [start - 2 * HOUR, start + 30 * HOUR])  # overlaps what is there
+    store(flows, path, [start - 2 * HOUR, start + 20 * HOUR])  # overlaps what is there
     assert found(op.novelty_from_sightings(flows, path, p, *COLUMNS)) == expected
 
 
