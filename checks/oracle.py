@@ -478,10 +478,14 @@ def oracle_sql() -> dict[str, str]:
         "scores_of_foreign_tables": scored + host_scores,
         "score_run_stored": scored + host_scores,
         "score_run_stored_from_profile": scored + host_scores,
+        "score_run_streamed_profile": _with(deterministic(WORKDAY), statistical(WORKDAY), scores()).replace(
+            "FROM events)", "FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-22 10:00:00' "
+            "AND ts < TIMESTAMP '2024-01-22 11:00:00'))") + host_scores,
         "profile_rewritten": _with() + f"""SELECT src AS host, {stamp.format("date_trunc('hour', first_seen)")} AS bucket,
             CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
-            FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} AND k % 3 = 0
-              AND first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 3 DAY AND first_seen < TIMESTAMP '{NIGHT}' GROUP BY ALL""",
+            FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} AND {FAILED}
+              AND first_seen >= TIMESTAMP '{NIGHT}' - INTERVAL 28 DAY AND first_seen < TIMESTAMP '{NIGHT}' - INTERVAL 24 HOUR
+            GROUP BY ALL""",
         "stream_restarted": _with() + f"""SELECT src AS host, {stamp.format("date_trunc('hour', first_seen)")} AS bucket,
             CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) AS flows, count(*) FILTER (WHERE {FAILED}) AS failed
             FROM flows WHERE src <> 0 AND {LAN.format('src')} AND {EXTERNAL.format('dst')} GROUP BY ALL""",

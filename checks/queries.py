@@ -181,12 +181,31 @@ def score_run_stored_from_profile(spark: SparkSession, folder: str) -> DataFrame
     return _score_columns(spark.read.parquet(f"{place}/results/host_scores"))
 
 
+#: A working hour of the history in which the network is idle.
+IDLE = (1705917600, 1705921200)  # 2024-01-22, 10 to 11 o'clock
+
+
+def score_run_streamed_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores from a streamed and compacted profile; raw flows are kept for the current day alone, and an hour was idle."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    place, busy = _place(spark, "profile"), ~timewin.between("ts", IDLE)
+    flows = source.flows_from_events(_arriving(spark, folder).filter(busy))
+    profile_stream.stream_profile(flows, f"{place}/table", f"{place}/progress", WORKDAY,
+                                  since=timewin.history_window(WORKDAY)[0]).awaitTermination()
+    profile_stream.compact(spark, f"{place}/table", f"{place}/profile")
+    events = source.read_events(spark, f"{folder}/events.parquet").filter(busy)
+    recent = timewin.in_windows(source.flows_from_events(events), "FIRST_SEEN", timewin.current_window(WORKDAY))
+    inputs = MetricInputs(recent, source.host_alerts_from_events(events))
+    stored = profile.read_profile(spark, f"{place}/profile")
+    return _score_columns(run.score_network(inputs, WORKDAY, profile=stored).host_scores)
+
+
 def profile_rewritten(spark: SparkSession, folder: str) -> DataFrame:
-    """A window written again from fewer flows keeps none of the old hours."""
+    """The whole history written again, from failed flows only, keeps none of the old hours."""
     flows, place = tables(spark, folder).flows, _place(spark, "profile")
-    window = (NIGHT.flows_epoch - 3 * timewin.DAY, NIGHT.flows_epoch)
+    window = timewin.history_window(NIGHT)
     profile.write_profile(flows, place, NIGHT, window)
-    profile.write_profile(flows.filter("(SRV_PORT - 1000) % 3 = 0"), place, NIGHT, window)
+    profile.write_profile(flows.filter(risk.is_failed(NIGHT)), place, NIGHT, window)
     return flat(profile.read_profile(spark, place).drop("dt", "hh"))
 
 
@@ -466,6 +485,7 @@ def queries() -> dict[str, Query]:
         "scores_of_foreign_tables": scores_of_foreign_tables,
         "score_run_stored": score_run_stored,
         "score_run_stored_from_profile": score_run_stored_from_profile,
+        "score_run_streamed_profile": score_run_streamed_profile,
         "profile_rewritten": profile_rewritten,
         "stream_restarted": stream_restarted,
         "flagged_hosts": flagged_hosts,

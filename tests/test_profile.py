@@ -200,3 +200,46 @@ def test_hours_that_the_profile_misses_are_read_raw_or_refused(flows, spark, tmp
     assert profile.uncovered_hours(profile.read_profile(spark, path), p) == []
     quiet = replace(lean, profile=profile.read_profile(spark, path))
     assert activity(profile.activity_of(quiet, p, "v")) == activity(host_activity(lean.flows, p, "v"))
+
+
+def test_an_idle_hour_is_no_lost_hour(spark, tmp_path):
+    """Every kind of profile knows that the network was idle; what is really missing is still refused."""
+    p = params(min_baseline_buckets=1)
+    idle = (profile.whole_hour(p.flows_epoch, p) - 3 * 24 * HOUR - 4 * HOUR, profile.whole_hour(p.flows_epoch, p) - 3 * 24 * HOUR)
+    first, last = profile.whole_hours(p)
+    rows = [(h, 4, seen, seen, address("10.0.0.1"), address("8.8.8.8"), 90 << 20 if seen > REF - timedelta(hours=1) else 1, 1, 5, 0, 0, 0, 0)
+            for h in range(8 * 24 * 2) for seen in [REF - timedelta(minutes=30 * h + 7)]
+            if not idle[0] <= seen.timestamp() < idle[1]]
+    flows = spark.createDataFrame(rows, schemas.FLOWS)
+    whole = (first - HOUR, p.flows_epoch)
+    direct = MetricInputs(flows=flows, host_alerts=spark.createDataFrame([], schemas.HOST_ALERTS),
+                          alerted_flows=spark.createDataFrame([], schemas.FLOW_ALERTS))
+    expected = activity(profile.activity_of(direct, p, "v"))
+    lean = replace(direct, flows=in_windows(flows, "FIRST_SEEN", (first - HOUR, first), (last, p.flows_epoch)))
+
+    place, table, progress = (str(tmp_path / n) for n in ("flows", "table", "progress"))
+    flows.write.parquet(place)
+    arriving = spark.readStream.schema(schemas.FLOWS).parquet(place)
+    profile_stream.stream_profile(arriving, table, progress, p).awaitTermination()
+    profile_stream.compact(spark, table, str(tmp_path / "compacted"))
+    profile.write_profile(flows, str(tmp_path / "written"), p, (first, last))
+    sources = {
+        "computed": profile.profile_of(flows, p, (first, last)),
+        "declared": profile.covering(hourly_profile(flows, p), whole),
+        "streamed": profile_stream.merged_profile(profile_stream.read_partials(spark, table)),
+        "compacted": profile.read_profile(spark, str(tmp_path / "compacted")),
+        "written": profile.read_profile(spark, str(tmp_path / "written")),
+    }
+    for name, stored in sources.items():
+        assert activity(profile.activity_of(replace(lean, profile=stored), p, "v")) == expected, name
+    bare = hourly_profile(flows, p)
+    with pytest.raises(ValueError, match="if the network was idle"):
+        profile.activity_of(replace(lean, profile=bare), p, "v")
+    told = replace(direct, profile=bare, flows_cover=(whole,))
+    assert activity(profile.activity_of(told, p, "v")) == expected
+    # Compaction notes idle hours, and wipes nothing that came from elsewhere.
+    more = flows.limit(1).withColumn("FIRST_SEEN", F.timestamp_seconds(F.lit(idle[0] + 60)))
+    profile.write_profile(more, str(tmp_path / "compacted"), p, (idle[0], idle[0] + HOUR))
+    profile_stream.compact(spark, table, str(tmp_path / "compacted"))
+    kept = profile.read_profile(spark, str(tmp_path / "compacted"))
+    assert kept.filter(F.unix_seconds("bucket") == idle[0]).count() == 1

@@ -18,6 +18,8 @@ class MetricInputs:
     host_alerts: DataFrame
     alerted_flows: DataFrame | None = None  # a ready alerted-flow table, if there is one
     profile: DataFrame | None = None  # stored hours: history then comes from here, and not from the flows
+    flows_cover: tuple[tuple[int, int], ...] = ()  # windows of epochs in which the flows are complete, idle hours included
+    profile_gaps: list | None = None  # hours to read raw beside the profile; a run fills it in, so that it is looked up once
     day_column: str | None = None  # partition column of all tables that holds the date of their time column
 
     def __post_init__(self) -> None:

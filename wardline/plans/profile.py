@@ -7,6 +7,8 @@ history window cut in two.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,20 @@ from wardline.operators.baseline import host_activity, hourly_profile, slices_of
 from wardline.params import RiskParams
 
 DAY_AND_HOUR = ("dt", "hh")
-STORED_AT = "wardline.stored_at"  # column metadata: the table that also shows hours without flows
+# Column metadata of `bucket`: the table that also shows hours without flows; windows that are covered, flows or not.
+STORED_AT, COVERS = "wardline.stored_at", "wardline.covers"
+
+
+def covering(profile: DataFrame, *windows: tuple[int, int]) -> DataFrame:
+    """Declare that the profile holds all flows of the windows, so that hours without a row were idle."""
+    known = {**profile.schema["bucket"].metadata}
+    known[COVERS] = json.dumps(merged([*json.loads(known.get(COVERS, "[]")), *windows]))
+    return profile.withMetadata("bucket", known)
+
+
+def profile_of(flows: DataFrame, p: RiskParams, window: tuple[int, int]) -> DataFrame:
+    """The hourly profile of flows that are complete in a window, computed and not stored."""
+    return covering(hourly_profile(in_windows(flows, "FIRST_SEEN", window), p), window)
 
 
 def with_partitions(profile: DataFrame) -> DataFrame:
@@ -66,44 +81,57 @@ def _hours(rows: DataFrame) -> set[int]:
     return {row[0] for row in rows.selectExpr("unix_seconds(bucket)").distinct().collect()}
 
 
-def _missing(windows: list[Window], p: RiskParams, covered: set[int]) -> list[Window]:
-    missing = []
+def _missing(windows: list[Window], p: RiskParams, covered: set[int], complete=()) -> list[Window]:
+    """The hours of the windows that are neither among the covered ones nor inside a complete window."""
+    missing, complete = [], merged(map(tuple, complete))
     for at, end in windows:
         while at < end:
             following = min(whole_hour(at, p) + HOUR, end)
-            if at not in covered:
+            if at not in covered and not any(a <= at and following <= b for a, b in complete):
                 missing.append((at, following))
             at = following
     return merged(missing)
 
 
 def uncovered_hours(profile: DataFrame, p: RiskParams) -> list[Window]:
-    """The whole hours that the baselines compare and of which the profile has no row.
+    """The whole hours that the baselines compare and that the profile doesn't cover.
 
-    A stored table also has a row for each hour that was written without flows.
+    Covered are hours that have a row, those of a stored table that were written without flows, and those that the profile
+    is declared to cover.
     """
-    windows = category_windows(p, whole_hours(p))
-    if path := profile.schema["bucket"].metadata.get(STORED_AT):
+    known = profile.schema["bucket"].metadata
+    complete = json.loads(known.get(COVERS, "[]"))
+    windows = _missing(category_windows(p, whole_hours(p)), p, set(), complete)
+    if not windows:
+        return []
+    if path := known.get(STORED_AT):
         stored = profile.sparkSession.read.schema(schemas.PROFILE).parquet(path)
         profile = laid_out_by_day(stored, "bucket", "dt")
     return _missing(windows, p, _hours(in_windows(profile, "bucket", *windows)))
 
 
-def require_history(profile: DataFrame, flows: DataFrame, p: RiskParams) -> list[Window]:
+def require_history(profile: DataFrame, flows: DataFrame, p: RiskParams, flows_cover=()) -> list[Window]:
     """The hours to read from raw flows; hours that neither has are refused, as baselines would silently miss them.
 
-    So is a profile without a single row in the history window.
+    `flows_cover` are windows in which the raw flows are complete: an hour without flows was idle there. Elsewhere an
+    hour without flows may be idle or lost, which nobody can tell from the flows. A profile without a single row in
+    the history window is refused unless it covers all of it.
     """
+    gaps = uncovered_hours(profile, p)
+    if not gaps:
+        return gaps
     first, last = whole_hours(p)
-    if first < last and in_windows(profile, "bucket", (first, last)).isEmpty():
+    lost = _missing(gaps, p, set(), flows_cover)
+    if not lost:
+        return gaps
+    if in_windows(profile, "bucket", (first, last)).isEmpty():
         raise ValueError("the profile has no row in the history window; leave it out to read raw flows")
-    gaps = uncovered_hours(profile, p)
-    if gaps:
-        raw = in_windows(flows, "FIRST_SEEN", *gaps).select(hour_bucket("FIRST_SEEN", p).alias("bucket"))
-        if lost := _missing(gaps, p, _hours(raw)):
-            raise ValueError(
-                f"neither the profile nor the raw flows cover {sum(b - a for a, b in lost) // HOUR} hours of the history, the "
-                f"first at epoch {lost[0][0]}; write_profile also stores hours in which there were no flows")
+    raw = in_windows(flows, "FIRST_SEEN", *lost).select(hour_bucket("FIRST_SEEN", p).alias("bucket"))
+    if lost := _missing(lost, p, _hours(raw)):
+        raise ValueError(
+            f"neither the profile nor the raw flows cover {sum(b - a for a, b in lost) // HOUR} hours of the history, the "
+            f"first at epoch {lost[0][0]}; if the network was idle then, say so: write_profile and compact store hours without "
+            "flows, covering declares them for a profile, and flows_cover for the raw flows of the inputs")
     return gaps
 
 
@@ -111,7 +139,9 @@ def activity_of(inputs: MetricInputs, p: RiskParams, *values: str, with_reputati
     """Current sums and baselines of every host, from the stored profile if the inputs have one."""
     if inputs.profile is None:
         return host_activity(inputs.flows, p, *values, with_reputation=with_reputation)
-    gaps = require_history(inputs.profile, inputs.flows, p)
+    gaps = inputs.profile_gaps
+    if gaps is None:
+        gaps = require_history(inputs.profile, inputs.flows, p, inputs.flows_cover)
     return host_activity_from_profile(
         inputs.profile, inputs.flows, p, *values, with_reputation=with_reputation, gaps=gaps)
 
@@ -143,7 +173,7 @@ def host_activity_from_profile(profile: DataFrame, flows: DataFrame, p: RiskPara
     recent = slices_of(raw, p, with_reputation, past=edges)
     extra = [*[f"n_{cause}" for cause in CAUSE_LABELS], "hits_srv", "hits_cli"]
     stored = (
-        in_windows(profile, "bucket", *category_windows(p, (first, last)))
+        in_windows(profile, "bucket", *category_windows(p, (first, last))).filter("host IS NOT NULL")
         .selectExpr("host", "bucket", "bytes_out", "flows", "failed", *[f"0L AS {c}" for c in extra])
     )
     return summarise(stored.unionByName(recent), p, *values)

@@ -52,7 +52,7 @@ def score_network(inputs: MetricInputs, p: RiskParams, profile: DataFrame | None
     if profile is not None:
         inputs = replace(inputs, profile=profile)
     if inputs.profile is not None:
-        require_history(inputs.profile, inputs.flows, p)
+        inputs = replace(inputs, profile_gaps=require_history(inputs.profile, inputs.flows, p, inputs.flows_cover))
     status = None
     scores = None
     if fused and specs == METRICS:
