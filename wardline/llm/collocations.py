@@ -1,9 +1,9 @@
 """Phrases whose words go together, from counts kept in weighted acyclic automata.
 
-A shard counts its n-grams, sorts them and builds a transducer from them: a path spells an
-n-gram, its last edge carries the count, and states with the same continuations are one
-state. Transducers are cut along borders of n-grams, and those of one prefix range are
-united by summing the weights of equal paths. A range whose union grows too large is cut
+A shard counts its n-grams, sorts them, cuts them at borders and builds a transducer for each
+prefix range: a path spells an n-gram, its last edge carries the count, and states with the
+same continuations are one state. The transducers of one range are united by summing the
+weights of equal paths. A range whose union grows too large is cut
 again, so no task holds more than a stated number of n-grams, however common a word is. The
 parts of a phrase are looked up by composition: an acceptor of the wanted parts walks
 through the transducer that holds their counts.
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardline.llm.common import Shelf
 
 #: Bytes of text in a shard, n-grams of a union before it is compacted, and those of a finished range.
-SHARD_BYTES, PENDING, RANGE = 6_000_000, 1_500_000, 1_000_000
+SHARD_BYTES, PENDING, RANGE = 4_000_000, 800_000, 500_000
 #: Cuts of a range at a time, n-grams that a cut aims at, n-grams that a transducer names as possible borders.
-FAN, AIM, SAMPLES = 1_024, 1_000_000, 32
+FAN, AIM, SAMPLES = 1_024, 800_000, 32
+#: Rows (on average) from which the first borders are drawn: one n-gram in SPARSE of theirs, at most SAMPLED per task and language.
+SAMPLE_ROWS, SPARSE, SAMPLED = 2_000, 16, 4_096
 #: Borders that are broadcast; more are joined.
 BROADCAST_BORDERS = 200_000
 MOST_LEVELS = 12
@@ -325,26 +327,64 @@ def _transducers(batch: pa.RecordBatch) -> Iterator[CountTransducer]:
 SHARD_TYPE = f"range long, lang string, size long, samples array<binary>, {FIELDS}"
 
 
-def count_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each transducer of the texts; null texts have no n-grams, null languages are `und`."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter("text IS NOT NULL").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int):
+    """(lang, words, grams, counts) of the shards of a task."""
+    counters: dict[str, ShardCounter] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            for shard in counters.setdefault(lang, ShardCounter(shard_bytes)).add(text.as_py()):
+                yield lang, *shard
+            if sum(c.size for c in counters.values()) > 4 * shard_bytes:  # many languages, a little of each
+                lang, counter = max(counters.items(), key=lambda c: c[1].size)
+                for shard in counter.flush():
+                    yield lang, *shard
+    for lang, counter in counters.items():
+        for shard in counter.flush():
+            yield lang, *shard
+
+
+def first_borders(docs: DataFrame, aim: int, sample_rows: int = SAMPLE_ROWS) -> dict[str, list[bytes]]:
+    """n-grams at which each language is cut, from a sample of rows. They decide where n-grams are summed, not what is counted."""
+    rows = docs.count()
+    share = min(1.0, sample_rows / max(1, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, ShardCounter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                counter = counters.setdefault(lang, ShardCounter(shard_bytes))
-                for shard in counter.add(text.as_py()):
-                    yield _row({"range": 0, "lang": lang}, *shard)
-                if sum(c.size for c in counters.values()) > 4 * shard_bytes:  # many languages, a little of each
-                    lang, counter = max(counters.items(), key=lambda c: c[1].size)
-                    for shard in counter.flush():
-                        yield _row({"range": 0, "lang": lang}, *shard)
-        for lang, counter in counters.items():
-            for shard in counter.flush():
-                yield _row({"range": 0, "lang": lang}, *shard)
-
-    return docs.filter("text IS NOT NULL").select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(run, SHARD_TYPE)
+        for lang, words, grams, _ in _shards(batches, SHARD_BYTES):
+            shown = CountTransducer(words, None, None, None, None)
+            at = np.unique(np.linspace(0, len(grams), min(SAMPLED, -(-len(grams) // SPARSE)), endpoint=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang], pa.string()), pa.array([len(grams)], pa.int64()),
+                 pa.array([[shown.phrase(grams[i]) for i in at]], pa.list_(pa.binary()))], ["lang", "size", "samples"])
+
+    sample = _texts(docs if share == 1.0 else docs.sample(share, seed=13)).repartition(8)
+    sizes, samples = {}, {}
+    for lang, size, some in sample.mapInArrow(run, "lang string, size long, samples array<binary>").collect():
+        sizes[lang] = sizes.get(lang, 0) + size
+        samples.setdefault(lang, set()).update(tuple(bytes(s).split(b" ")) for s in some)
+    return {lang: _cuts(found, sizes[lang] / share, aim) for lang, found in samples.items()}
+
+
+def _cuts(samples: set[tuple[bytes, ...]], size: float, aim: int, least: int = 1) -> list[bytes]:
+    """Borders among the samples that cut so many n-grams into ranges of about `aim`."""
+    samples = sorted(samples)
+    cuts = min(FAN, len(samples), max(least, int(-(-size // aim))))
+    return [b" ".join(samples[i]) for i in sorted({len(samples) * i // cuts for i in range(1, cuts)})]
+
+
+def count_shards(docs: DataFrame, borders: dict[str, list[bytes]], shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The transducers of all shards, cut at the borders; null texts have no n-grams, null languages are `und`."""
+    known = docs.sparkSession.sparkContext.broadcast(borders)  # from a sample of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, grams, counts in _shards(batches, shard_bytes):
+            for part, a, b in _pieces(words, grams, known.value.get(lang, [])):
+                yield _row({"range": part, "lang": lang}, words, grams[a:b], counts[a:b], False)
+
+    return _texts(docs).mapInArrow(run, SHARD_TYPE)
 
 
 def _borders(shards: DataFrame, aim: int) -> DataFrame:
@@ -354,10 +394,7 @@ def _borders(shards: DataFrame, aim: int) -> DataFrame:
         for batch in batches:
             chosen = []
             for size, samples in zip(batch.column("size").to_pylist(), batch.column("samples").to_pylist()):
-                samples = sorted({tuple(s.split(b" ")) for s in samples})
-                cuts = min(FAN, len(samples), max(2, -(-size // aim)))
-                at = [len(samples) * i // cuts for i in range(1, cuts)]
-                chosen.append([b" ".join(samples[i]) for i in sorted(set(at))])
+                chosen.append(_cuts({tuple(s.split(b" ")) for s in samples}, size, aim, 2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("range"), batch.column("lang"), pa.array(chosen, pa.list_(pa.binary()))],
                 ["range", "lang", "borders"])
@@ -367,25 +404,30 @@ def _borders(shards: DataFrame, aim: int) -> DataFrame:
         run, "range long, lang string, borders array<binary>")
 
 
+def _pieces(words: list[bytes], grams: np.ndarray, borders: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """(part, first row, last row + 1) of the parts between the borders that have rows."""
+    edges = [0]
+    for border in borders:
+        key = []
+        for word in border.split(b" "):
+            at = bisect_left(words, word)
+            key.append(at + 1)
+            if at == len(words) or words[at] != word:  # the next word's n-grams are beyond the border, whatever follows
+                break
+        edges.append(_first_from(grams, key))
+    for part, (a, b) in enumerate(zip(edges, [*edges[1:], len(grams)])):
+        if a < b:
+            yield part, a, b
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         leading = zip(*(batch.column(c).to_pylist() for c in ("range", "lang", "borders")))
         for (number, lang, borders), made in zip(leading, _transducers(batch)):
             grams, counts = made.expand()
-            cuts = []
-            for border in borders:  # the first n-gram that isn't below the border
-                key = []
-                for word in border.split(b" "):
-                    at = bisect_left(made.words, word)
-                    known = at < len(made.words) and made.words[at] == word
-                    key.append(at + 1)
-                    if not known:
-                        break
-                cuts.append(_first_from(grams, key))
-            edges = [0, *cuts, len(grams)]
-            for part, (a, b) in enumerate(zip(edges, edges[1:])):
-                if a < b:
-                    yield _row({"range": number * FAN + part, "lang": lang}, made.words, grams[a:b], counts[a:b], False)
+            for part, a, b in _pieces(made.words, grams, borders):
+                leads = {"range": (number + 1) * FAN + part, "lang": lang}  # numbers of one level are unlike those of others
+                yield _row(leads, made.words, grams[a:b], counts[a:b], False)
 
 
 def _first_from(grams: np.ndarray, key: list[int]) -> int:
@@ -452,16 +494,12 @@ def count_ngrams(
 
     Rows have range, lang, total (occurrences of words in the range, rare ones included) and the transducer.
     """
-    spark = docs.sparkSession
-    open_, finished = shelf.keep(count_shards(docs, shard_bytes), "shards"), None
+    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut, finished = count_shards(docs, first_borders(docs, aim), shard_bytes), None
     for level in range(MOST_LEVELS):
-        borders = shelf.keep(_borders(open_, aim), f"borders-{level}")
-        few = borders.agg(F.coalesce(F.sum(F.size("borders") + 1), F.lit(0))).first()[0] <= BROADCAST_BORDERS
-        cut = open_.join(F.broadcast(borders) if few else borders, ["range", "lang"]).select(
-            "range", "lang", "borders", "machine").mapInArrow(_split, SHARD_TYPE)
-        spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         united = shelf.keep(
-            cut.repartition(spread, "range").sortWithinPartitions("range", "lang").mapInArrow(
+            cut.select("range", "lang", "machine").repartition(spread, "range", "lang")
+            .sortWithinPartitions("range", "lang").mapInArrow(
                 _union(least, pending, most),
                 f"range long, lang string, done boolean, total long, size long, samples array<binary>, {FIELDS}"),
             f"united-{level}")
@@ -470,6 +508,10 @@ def count_ngrams(
         open_ = united.filter("NOT done").select(*[c.split()[0] for c in SHARD_TYPE.split(", ")])
         if open_.isEmpty():
             return finished
+        borders = shelf.keep(_borders(open_, aim), f"borders-{level}")
+        few = borders.agg(F.coalesce(F.sum(F.size("borders") + 1), F.lit(0))).first()[0] <= BROADCAST_BORDERS
+        cut = open_.join(F.broadcast(borders) if few else borders, ["range", "lang"]).select(
+            "range", "lang", "borders", "machine").mapInArrow(_split, SHARD_TYPE)
     raise RuntimeError("some n-grams could not be told apart by ranges")
 
 
