@@ -20,6 +20,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer where a column is called so already, whatever its case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fold_of(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids fall into the fold of the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

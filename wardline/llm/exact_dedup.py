@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardline.llm.common import Shelf
+from wardline.llm.common import Shelf, unused
 
 #: Prefixes counted at once for the directory; it never has more entries than 2**PREFIX_BITS.
 PREFIX_BITS = 18
@@ -105,16 +105,15 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both the doc_id and the text that stay are reduced to one of them.
     """
+    ident, sha, n = unused(docs.columns, "id_", "sha_", "rows_")
     verdicts = exact_dedup(docs.select("doc_id", "text")).filter("kept")
     stays = Shelf(docs.sparkSession, "exact-dedup").keep(
-        verdicts.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(
-            F.count("*").alias("__rows")), "stays")
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = lambda right: marked["doc_id"].eqNullSafe(right["__id"]) & (marked["__sha"] == right["__sha"])
-    repeated = stays.filter("__rows > 1")
+        verdicts.groupBy(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(n)), "stays")
+    marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = lambda right: marked["doc_id"].eqNullSafe(right[ident]) & (marked[sha] == right[sha])
+    repeated, single = stays.filter(f"{n} > 1"), stays.filter(f"{n} = 1")
     if repeated.isEmpty():
-        return marked.join(stays, same(stays), "left_semi").drop("__sha")
-    single = stays.filter("__rows = 1")
+        return marked.join(stays, same(stays), "left_semi").drop(sha)
     return (marked.join(single, same(single), "left_semi")
-            .union(marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__sha"]))
-            .drop("__sha"))
+            .union(marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", sha]))
+            .drop(sha))

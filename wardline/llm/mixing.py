@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardline.llm.common import WORD, Shelf, text_or_empty, uniform
+from wardline.llm.common import WORD, Shelf, text_or_empty, uniform, unused
 
 #: Units of a tree node: as many on average, and the most that a root takes.
 NODE_UNITS, ROOT_UNITS = 48, 64
@@ -252,25 +252,26 @@ def per_row(allotted: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """`docs` with every row as often as the mix takes it, all columns kept."""
     shelf = Shelf(docs.sparkSession, "mixture")
-    copies = shelf.keep(per_row(allot(docs, **options)).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.col("salt").alias("__salt"), "__row", "rows", F.col("copies").alias("__copies")), "copies")
-    marked = docs.withColumns({"__size": word_count(), "__salt": unit_salt()})
-    key = ("__size", "__salt")
+    ident, source, size, salt, row, n, copies, copy = unused(
+        docs.columns, "id_", "source_", "size_", "salt_", "row_", "n_", "copies_", "copy_")
+    taken = shelf.keep(per_row(allot(docs.select("doc_id", "text", "source"), **options)).select(
+        F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("size").alias(size),
+        F.col("salt").alias(salt), F.col("__row").alias(row), F.col("rows").alias(n), F.col("copies").alias(copies)), "copies")
+    marked = docs.withColumns({size: word_count(), salt: unit_salt()})
+    key = (size, salt)
 
     def same(left, right):
-        found = left["doc_id"].eqNullSafe(right["__id"]) & left["source"].eqNullSafe(right["__source"])
+        found = left["doc_id"].eqNullSafe(right[ident]) & left["source"].eqNullSafe(right[source])
         for name in key:
             found = found & (left[name] == right[name])
         return found
 
-    once, many = copies.filter("rows = 1").drop("rows", "__row"), copies.filter("rows > 1").drop("rows")
-    out = marked.join(once, same(marked, once)).drop(*(once[c] for c in ("__id", "__source", *key)))
+    once, many = taken.filter(F.col(n) == 1).drop(n, row), taken.filter(F.col(n) > 1).drop(n)
+    out = marked.join(once, same(marked, once)).drop(*(once[c] for c in (ident, source, *key)))
     if not many.isEmpty():
         order = Window.partitionBy("doc_id", "source", *key).orderBy("text")
-        numbered = marked.withColumn("__row", F.row_number().over(order))
-        some = numbered.join(many, same(numbered, many) & (numbered["__row"] == many["__row"]))
-        out = out.unionByName(some.drop(*(many[c] for c in ("__id", "__source", *key, "__row"))).drop("__row"))
-    return out.filter("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    ).select(*docs.columns)
+        numbered = marked.withColumn(row, F.row_number().over(order))
+        some = numbered.join(many, same(numbered, many) & (numbered[row] == many[row]))
+        out = out.unionByName(some.drop(*(many[c] for c in (ident, source, *key, row))).drop(row))
+    return out.filter(F.col(copies) > 0).withColumn(
+        copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

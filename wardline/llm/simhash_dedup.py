@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import Shelf
+from wardline.llm.common import Shelf, unused
 from wardline.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -233,7 +233,26 @@ def simhash_groups(docs: DataFrame, held: int = HELD, paired: int = PAIRED) -> D
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component: the one with the smallest doc_id; null ids stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """`docs` with exactly one row of each component, all columns kept.
+
+    It is the one with the smallest doc_id, null ids last; of rows with this id in one component the one
+    with the smallest SHA-256 of its text, and of rows that agree in both any one.
+    """
+    key, root, n = unused(docs.columns, "key_", "root_", "rows_")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn(key, F.struct(  # ordered as the rows are to be preferred
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("sha")))
+    groups = simhash_groups(marked.select(F.col(key).alias("doc_id"), "text"))
+    stays = Shelf(docs.sparkSession, "simhash-stays").keep(
+        groups.filter(F.col("doc_id.sha") == F.col("component_id.sha"))
+        .filter(F.col("doc_id.id").eqNullSafe(F.col("component_id.id")))
+        .groupBy(F.col("component_id").alias(root)).agg(F.count("*").alias(n)), "stays")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        same = marked[key]["id"].eqNullSafe(chosen[root]["id"]) & (marked[key]["sha"] == chosen[root]["sha"])
+        return marked.join(chosen, same, "left_semi")
+
+    repeated = stays.filter(F.col(n) > 1)
+    if repeated.isEmpty():
+        return of(stays).drop(key)
+    return of(stays.filter(F.col(n) == 1)).union(of(repeated).dropDuplicates([key])).drop(key)
