@@ -110,6 +110,14 @@ def test_composition_looks_up_counts():
     assert op.acceptor([b"x"]).compose(op.acceptor([]))[1].tolist() == [0]
 
 
+def test_composition_with_very_many_states():
+    """Numbers of state times words are beyond 32 bits."""
+    phrases = sorted({b"%x %x %x" % (i, i * 7 % 60_013, i * 11 % 50_021) for i in range(60_000)} | {b"%x" % i for i in range(60_000)})
+    counts = op.acceptor(phrases, list(range(1, len(phrases) + 1)))
+    grams, weights = op.acceptor(phrases[::3]).compose(counts)
+    assert sorted(weights.tolist()) == list(range(1, len(phrases) + 1, 3))
+
+
 @pytest.mark.parametrize("limits", [
     {}, {"shard_bytes": 300, "aim": 20, "pending": 200, "most": 100}, {"shard_bytes": 500, "aim": 20, "pending": 60, "most": 40}])
 def test_against_brute_force(spark, limits):

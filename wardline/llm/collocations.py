@@ -163,7 +163,7 @@ class CountTransducer:
                 wanted = mate[whose] * base + to_other[self.labels[edge]]
                 at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
                 hit = (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-                mate = np.where(hit, other.targets[at] if len(keys) else 0, 0)
+                mate = np.where(hit, other.targets[at] if len(keys) else 0, 0).astype(np.int64)  # times the base it grows large
                 got = np.where(hit, other.weights[at] if len(keys) else 0, 0)
             ends = weight > 0
             all_grams.append(path[ends])
