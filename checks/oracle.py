@@ -399,6 +399,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{k}' AS metric, '{LABELS[k]}' AS label, true AS ok, count(*) AS n_hosts FROM {k.lower()}" for k in KEYS)
     short = _with(deterministic(NIGHT, limit=1, servers=2, clients=1), statistical(NIGHT))
     stamp = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+    items = """
+            SELECT host_ip, 'M_srv' AS metric, CAST(port AS VARCHAR) AS item, hits FROM srv_pairs
+            UNION ALL SELECT host_ip, 'M_proto', concat(proto, ' su porta ', srv_port), hits FROM proto_pairs
+            UNION ALL SELECT host_ip, 'M_scan', CAST(code AS VARCHAR), hits FROM scan_codes"""
     novelty = _with() + f"""
             , ours AS (SELECT src_ip AS host_ip, srv_port, first_seen FROM flows
                        WHERE src <> 0 AND {LAN.format('src')}
@@ -462,10 +466,10 @@ def oracle_sql() -> dict[str, str]:
         "metric_status": night + counts,
         "metric_status_one_failing": night + counts.replace(
             "true AS ok, count(*) AS n_hosts FROM m_scan", "false AS ok, CAST(0 AS BIGINT) AS n_hosts"),
-        "host_items": night + """
-            SELECT host_ip, 'M_srv' AS metric, CAST(port AS VARCHAR) AS item, hits FROM srv_pairs
-            UNION ALL SELECT host_ip, 'M_proto', concat(proto, ' su porta ', srv_port), hits FROM proto_pairs
-            UNION ALL SELECT host_ip, 'M_scan', CAST(code AS VARCHAR), hits FROM scan_codes""",
+        "host_items": night + items,
+        "host_items_stored": _with(deterministic(ODD_MINUTE)) + f"SELECT host_ip, metric, item FROM ({items})",
+        "distinct_items_stored": _with(deterministic(ODD_MINUTE)) + f"""SELECT i.host_ip, i.metric, count(*) AS "distinct",
+            CAST(sum(hits) AS BIGINT) AS hits FROM ({items}) AS i GROUP BY ALL""",
         "m_rep_low_tiers": short + "SELECT host_ip, 1 AS M_rep, hits_srv, hits_cli, hits_totali, scenario, penalita FROM m_rep",
         "m_srv_short": short + "SELECT host_ip, 1 AS M_srv, hits_totali, porte_distinte, "
                                "array_to_string(lista_porte, '|') AS lista_porte, penalita FROM m_srv",

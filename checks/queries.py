@@ -17,7 +17,7 @@ from wardline.inputs import MetricInputs
 from wardline.operators import baseline, flow_metrics, replay, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
-from wardline.plans import first_seen, profile, registry, run, scoring
+from wardline.plans import first_seen, item_hours, profile, registry, run, scoring
 from wardline.plans.lineage import ensure_checkpoint_dir
 from wardline.sources import events as source
 from wardline.sources import tables as stored_tables
@@ -130,6 +130,25 @@ def host_items(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.host_items(tables(spark, folder), NIGHT)
 
 
+def _stored_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of the day before an odd minute: stored hours, less three that were never stored, and raw alerts for the rest."""
+    inputs, place, p = tables(spark, folder), _place(spark, "items"), ODD_MINUTE
+    start, end = timewin.alert_window(p)
+    first, last = timewin.whole_hour(start + timewin.HOUR - 1, p), timewin.whole_hour(end, p)
+    for window in ((first, first + 9 * timewin.HOUR), (first + 12 * timewin.HOUR, last)):
+        for _ in range(2):
+            item_hours.write_item_hours(inputs, place, p, window)
+    return item_hours.items_of_window(spark, place, inputs, p, (start, end))
+
+
+def distinct_items_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return item_hours.distinct_items(_stored_items(spark, folder))
+
+
+def host_items_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return item_hours.listed_items(_stored_items(spark, folder))
+
+
 def _place(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -477,6 +496,8 @@ def queries() -> dict[str, Query]:
         "metric_status": metric_status,
         "metric_status_one_failing": metric_status_one_failing,
         "host_items": host_items,
+        "host_items_stored": host_items_stored,
+        "distinct_items_stored": distinct_items_stored,
         "m_rep_low_tiers": _metric("M_rep", LOW),
         "m_srv_short": _metric("M_srv", LOW),
         "m_proto_short": _metric("M_proto", LOW),
