@@ -482,6 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "scores_of_foreign_tables": scored + host_scores,
         "score_run_stored": scored + host_scores,
         "score_run_stored_from_profile": scored + host_scores,
+        "score_run_committed": scored + host_scores,
         "score_run_streamed_profile": _with(deterministic(WORKDAY), statistical(WORKDAY), scores()).replace(
             "FROM events)", "FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-22 10:00:00' "
             "AND ts < TIMESTAMP '2024-01-22 11:00:00'))") + host_scores,

@@ -17,7 +17,7 @@ from wardline.inputs import MetricInputs
 from wardline.operators import baseline, flow_metrics, replay, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
-from wardline.plans import first_seen, item_hours, profile, registry, run, scoring
+from wardline.plans import commits, first_seen, item_hours, profile, registry, run, scoring
 from wardline.plans.lineage import ensure_checkpoint_dir
 from wardline.sources import events as source
 from wardline.sources import tables as stored_tables
@@ -191,6 +191,14 @@ def score_run_stored(spark: SparkSession, folder: str) -> DataFrame:
     return _score_columns(spark.read.parquet(f"{place}/results/host_scores"))
 
 
+def score_run_committed(spark: SparkSession, folder: str) -> DataFrame:
+    """An older run, then this one, each as one commit; the current version is read."""
+    inputs, place = tables(spark, folder), _place(spark, "runs")
+    for p in (SATURDAY, NIGHT):
+        run.score_network(inputs, p).commit(place)
+    return _score_columns(commits.read_committed(spark, place)["host_scores"])
+
+
 def score_run_stored_from_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The same from a stored profile."""
     place = _place(spark, "stored")
@@ -505,6 +513,7 @@ def queries() -> dict[str, Query]:
         "scores_isolated_from_profile": scores_isolated_from_profile,
         "scores_of_foreign_tables": scores_of_foreign_tables,
         "score_run_stored": score_run_stored,
+        "score_run_committed": score_run_committed,
         "score_run_stored_from_profile": score_run_stored_from_profile,
         "score_run_streamed_profile": score_run_streamed_profile,
         "profile_rewritten": profile_rewritten,

@@ -1,0 +1,48 @@
+"""A run is read as a whole, also when a later one breaks off."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from wardline.plans import commits as op
+
+
+def tables(spark, n):
+    return {"scores": spark.range(n), "index": spark.range(1).selectExpr(f"{n} AS hosts")}
+
+
+def seen(found):
+    return found["scores"].count(), found["index"].first()[0]
+
+
+def test_a_run_that_breaks_off_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert op.versions(spark, path) == []
+    with pytest.raises(ValueError, match="no committed version"):
+        op.read_committed(spark, path)
+    first = op.commit(tables(spark, 3), path)
+    assert seen(op.read_committed(spark, path)) == (3, 3)
+    broken = tables(spark, 5)
+    broken["index"] = broken["index"].select(F.raise_error(F.lit("disk full")).cast("string").alias("hosts"))
+    with pytest.raises(Exception, match="disk full"):
+        op.commit(broken, path)
+    assert seen(op.read_committed(spark, path)) == (3, 3) and op.versions(spark, path) == [first]
+    old = op.read_committed(spark, path)
+    second = op.commit(tables(spark, 7), path)
+    assert seen(op.read_committed(spark, path)) == (7, 7) and seen(old) == (3, 3)
+    assert seen(op.read_committed(spark, path, first)) == (3, 3) and op.versions(spark, path) == [first, second]
+    with pytest.raises(ValueError, match="no committed version x"):
+        op.read_committed(spark, path, "x")
+    with pytest.raises(ValueError, match="nothing"):
+        op.commit({}, path)
+
+
+def test_expire(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    made = [op.commit(tables(spark, n), path) for n in (1, 2, 3)]
+    spark.range(1).write.parquet(f"{path}/{1:020d}-dead/scores")  # began long ago and never ended
+    spark.range(1).write.parquet(f"{path}/{10 ** 19:020d}-young/scores")
+    assert op.expire(spark, path, keep=2) == sorted([f"{1:020d}-dead", made[0]])
+    assert op.versions(spark, path) == made[1:] and seen(op.read_committed(spark, path)) == (3, 3)
+    assert (tmp_path / "runs" / f"{10 ** 19:020d}-young").exists()
+    with pytest.raises(ValueError, match="stays"):
+        op.expire(spark, path, keep=0)

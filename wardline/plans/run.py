@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from wardline.inputs import MetricInputs
 from wardline.params import RiskParams
+from wardline.plans.commits import commit
 from wardline.plans.lineage import cut_lineage
 from wardline.plans.profile import require_history
 from wardline.plans.registry import METRICS, run_metrics
@@ -36,6 +37,10 @@ class ScoringRun:
         for name, frame in self.tables().items():
             write_result(frame, f"{path}/{name}", fmt)
 
+    def commit(self, path: str, fmt: str = "parquet") -> str:
+        """All tables as one version that readers see as a whole; see wardline.plans.commits."""
+        return commit(self.tables(), path, fmt)
+
 
 def score_network(inputs: MetricInputs, p: RiskParams, profile: DataFrame | None = None,
                   fused: bool = True, specs=METRICS) -> ScoringRun:

@@ -29,6 +29,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    system, place = _place(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """An empty file; that it is there already is an error."""
+    system, place = _place(spark, path)
+    system.create(place, False).close()
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                **options: str) -> DataFrame:
     """Any file source, with the declared schema.
