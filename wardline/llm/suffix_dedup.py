@@ -32,6 +32,8 @@ LEAST = 400
 GRAM = 24
 #: Bytes whose windows are named at once; bytes of a sorting task; bounds of a name that is sorted in one task.
 NAMED_AT_ONCE, SORTED_AT_ONCE, NAME_REGIONS, NAME_BYTES = 1 << 22, 1 << 20, 4_000, 1 << 21
+#: Parts into which the windows of one digest are dealt.
+DIGEST_PARTS = 128
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -310,8 +312,12 @@ def remove_repeats(
     if not hard.isEmpty():
         single = shelf.keep(hard.mapInArrow(
             _single_windows(least), "name long, content binary, at int, digest binary"), "single")
-        often = single.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-        each = single.join(often, "digest", "left_semi").groupBy("name", "content").agg(
+        # A digest may be that of very many windows: they are counted and looked up in parts, by the region they are from.
+        single = single.withColumn("part", F.pmod(F.xxhash64("content"), F.lit(DIGEST_PARTS)).cast("int"))
+        parts = single.groupBy("digest", "part").agg(F.count("*").alias("n"))
+        often = parts.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
+        wanted_parts = parts.join(often, "digest", "left_semi").select("digest", "part")
+        each = single.join(wanted_parts, ["digest", "part"], "left_semi").groupBy("name", "content").agg(
             F.sort_array(F.collect_list("at")).alias("starts"))
         decided = decided.union(each.select("name", "content", "starts", F.col("starts").alias("ends")))
     whole = contents.filter("n > 1").select(
