@@ -26,6 +26,8 @@ SHARD_BYTES, PENDING, RANGE = 4_000_000, 800_000, 500_000
 FAN, AIM, SAMPLES = 1_024, 800_000, 32
 #: Rows (on average) from which the first borders are drawn: one n-gram in SPARSE of theirs, at most SAMPLED per task and language.
 SAMPLE_ROWS, SPARSE, SAMPLED = 2_000, 16, 4_096
+#: Counts that one lookup task holds.
+LOOKED_UP = 50_000
 #: Borders that are broadcast; more are joined.
 BROADCAST_BORDERS = 200_000
 MOST_LEVELS = 12
@@ -593,7 +595,7 @@ def collocations(
 
     made = ["range", "lang", "machine"]
     known = shelf.keep(ranges.select(*made).mapInArrow(_ngram_rows, "lang string, phrase binary, f long"), "known")
-    bucket = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, -(-known.count() // aim))))
+    bucket = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, -(-known.count() // LOOKED_UP))))
     asked = ranges.select(*made).mapInArrow(_parts, "range long, lang string, phrase binary")
     answers = asked.withColumn("bucket", bucket).groupBy("lang", "bucket").cogroup(
         known.withColumn("bucket", bucket).groupBy("lang", "bucket")).applyInArrow(
