@@ -36,6 +36,31 @@ def test_overfull_buckets_split_and_collisions_chain(spark):
     assert got.agg({"chain": "max"}).first()[0] > 1
 
 
+def test_the_index_decides(spark, monkeypatch):
+    """Keys that the directory doesn't know are in no bucket, and their documents have no group."""
+    whole = op.directory
+
+    def without_one_half(shelf, keys, *rest):
+        places, depth = whole(shelf, keys, *rest)
+        return places.filter("entry % 2 = 0"), depth
+
+    docs = frame(spark, ROWS)
+    assert op.exact_dedup(docs, capacity=3).count() == len(ROWS)
+    monkeypatch.setattr(op, "directory", without_one_half)
+    assert 0 < op.exact_dedup(docs, capacity=3).count() < len(ROWS)
+
+
+def test_the_directory_grows_with_the_keys(spark):
+    assert op.prefix_bits(0, 65_536) == op.prefix_bits(10 ** 9, 65_536) == op.PREFIX_BITS
+    for keys in (10 ** 11, 10 ** 13, 10 ** 15):
+        assert keys / 2 ** op.prefix_bits(keys, 65_536) < 65_536 / 4
+    shelf = op.Shelf(spark, "test")
+    keys = spark.range(3_000).selectExpr("xxhash64(id) AS key")
+    places, depth = op.directory(shelf, keys, 4, bits=20)
+    held = keys.withColumn("entry", op.prefix(op.F.col("key"), depth, 20)).join(places, "entry").groupBy("bucket", "depth").count()
+    assert depth > 9 and held.agg({"count": "max"}).first()[0] <= 4 and held.agg({"count": "sum"}).first()[0] == 3_000
+
+
 def test_empty_table(spark):
     assert op.exact_dedup(frame(spark, [])).collect() == []
     assert op.distinct_documents(frame(spark, [])).collect() == []

@@ -1,49 +1,57 @@
 """Exact de-duplication over an extendible-hash index on shared files.
 
-Equal texts fall on the same 64-bit key. Texts are compared byte by byte where the
-aggregation groups them under their key, combined on the map side first, so a group of
-copies that holds a third of all rows sends one row per map task. Of every distinct text
-one slot goes into the index: a directory of hash prefixes, doubled as long as a bucket
-is overfull, tells the bucket; owner tasks take whole buckets, chain the slots whose
-keys collide, and write them as files in the shared folder. The documents then probe
-the index.
+Equal texts fall on the same 64-bit key. A directory of key prefixes, doubled as long as a
+bucket holds too many keys, tells the bucket of a key. Every text goes to its bucket, copies
+combined on the map side first, so a group of copies that holds a third of all rows sends one
+row per map task. There texts of one key are compared byte by byte; those that differ
+under the same key form a chain, and each link of it is one group of equal texts. Owner tasks
+write whole buckets to files in the shared folder. The documents then find their group by
+bucket, key and digest.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.llm.common import Shelf, unused
 
-#: Prefixes counted at once for the directory; it never has more entries than 2**PREFIX_BITS.
+#: Least number of prefix bits that are counted for the directory; more where there are more keys than that serves.
 PREFIX_BITS = 18
 
 
-def prefix(key: Column, depth: Column | int) -> Column:
-    """The upper `depth` bits of an unsigned 64-bit key; 0 at depth 0."""
-    bits = F.lit(depth) if isinstance(depth, int) else depth
-    top = F.shiftrightunsigned(key, 64 - PREFIX_BITS)
-    return F.call_function("shiftright", top, (F.lit(PREFIX_BITS) - bits).cast("int"))
+def prefix(key: Column, depth: Column | int, bits: int = PREFIX_BITS) -> Column:
+    """The upper `depth` of the upper `bits` bits of an unsigned 64-bit key; 0 at depth 0."""
+    depth = F.lit(depth) if isinstance(depth, int) else depth
+    top = F.shiftrightunsigned(key, 64 - bits)
+    return F.call_function("shiftright", top, (F.lit(bits) - depth).cast("int"))
+
 
+def prefix_bits(keys: int, capacity: int, least: int = PREFIX_BITS) -> int:
+    """Bits after which buckets of so many hashed keys are several times below their capacity."""
+    return min(60, max(least, ceil(log2(max(1, keys) / capacity)) + 4))
 
-def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+
+def directory(shelf: Shelf, keys: DataFrame, capacity: int, bits: int = PREFIX_BITS) -> tuple[DataFrame, int]:
     """(entry, depth, bucket) and the global depth: one row per prefix of that depth that holds keys.
 
-    Buckets start as one of depth 0. While a bucket holds more than `capacity` keys, the
+    `keys` holds each key once. Buckets start as one of depth 0. While a bucket holds more than `capacity` keys, the
     directory doubles and the overfull buckets split on their next bit; the others keep
     their depth and share several directory entries. The keys were counted per prefix
-    once, so doubling works on at most 2**PREFIX_BITS rows, whatever the corpus.
+    once, so doubling works on at most 2**bits rows. Keys that agree in all `bits` bits stay together.
     """
     counts = (
-        slots.groupBy(prefix(F.col("key"), PREFIX_BITS).alias("slot_prefix"))
+        keys.groupBy(prefix(F.col("key"), bits, bits).alias("slot_prefix"))
         .agg(F.count("*").alias("keys"))
         .withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")})
     )
-    counts = shelf.keep(counts.coalesce(1), "directory-0")  # bounded by 2**PREFIX_BITS rows
+    counts = shelf.keep(counts.coalesce(1) if bits <= PREFIX_BITS else counts, "directory-0")
     global_depth = 0
-    for depth in range(1, PREFIX_BITS + 1):
+    for depth in range(1, bits + 1):
         held = F.sum("keys").over(Window.partitionBy("depth", "bucket"))
-        overfull = counts.withColumn("held", held).filter((F.col("held") > capacity) & (F.col("depth") == depth - 1))
+        overfull = counts.filter(F.col("depth") == depth - 1).groupBy("bucket").agg(F.sum("keys").alias("held")).filter(
+            F.col("held") > capacity)
         if overfull.isEmpty():
             break
         split = (F.col("depth") == depth - 1) & (held > capacity)
@@ -51,14 +59,14 @@ def directory(shelf: Shelf, slots: DataFrame, capacity: int) -> tuple[DataFrame,
             counts.withColumn("split", split).select(
                 "slot_prefix", "keys",
                 F.when(F.col("split"), depth).otherwise(F.col("depth")).alias("depth"),
-                F.when(F.col("split"), F.call_function("shiftright", "slot_prefix", F.lit(PREFIX_BITS - depth)))
+                F.when(F.col("split"), F.call_function("shiftright", "slot_prefix", F.lit(bits - depth)))
                 .otherwise(F.col("bucket")).alias("bucket"),
             ),
             f"directory-{depth}",
         )
         global_depth = depth
-    entry = F.call_function("shiftright", "slot_prefix", F.lit(PREFIX_BITS - global_depth))
-    return counts.select(entry.alias("entry"), "depth", "bucket").distinct(), global_depth
+    entry = F.call_function("shiftright", "slot_prefix", F.lit(bits - global_depth))
+    return shelf.keep(counts.select(entry.alias("entry"), "depth", "bucket").distinct(), "directory"), global_depth
 
 
 def exact_dedup(
@@ -79,22 +87,26 @@ def exact_dedup(
         "doc_id", "body", F.shiftleft(F.xxhash64("body"), 64 - hash_bits).alias("key"),
         F.sha2("body", 256).alias("text_sha256"))
 
-    # Grouping on the text itself compares bytes among the texts that share a key.
-    slots = shelf.keep(
-        keyed.groupBy("key", "text_sha256", "body")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .drop("body"),
-        "slots",
-    )
-    places, global_depth = directory(shelf, slots, capacity)
+    keys = shelf.keep(keyed.groupBy("key").agg(F.count("*").alias("rows")), "keys").select("key")
+    bits = prefix_bits(keys.count(), capacity)
+    places, global_depth = directory(shelf, keys, capacity, bits)
+    small = global_depth <= PREFIX_BITS  # then it has at most 2**PREFIX_BITS rows
+
+    def in_bucket(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("entry", prefix(F.col("key"), global_depth, bits)).join(
+            F.broadcast(places) if small else places, "entry").drop("entry")
+
+    # Grouping by the text itself, in its bucket and under its key, compares bytes.
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
     index = shelf.keep(
-        slots.withColumn("entry", prefix(F.col("key"), global_depth))
-        .join(F.broadcast(places), "entry")  # at most 2**PREFIX_BITS rows
-        .drop("entry").repartition("bucket").withColumn("chain", chain),
+        in_bucket(keyed.drop("text_sha256")).groupBy("bucket", "key", "body")
+        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .withColumn("text_sha256", F.sha2("body", 256)).drop("body")
+        .repartition("bucket").withColumn("chain", chain),
         "index",
     )
-    return keyed.select("doc_id", "key", "text_sha256").join(index, ["key", "text_sha256"]).select(
+    return in_bucket(keyed.select("doc_id", "key", "text_sha256")).drop("depth").join(
+        index, ["bucket", "key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
         "bucket", "chain")
