@@ -612,5 +612,6 @@ def collocations(
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     kept = judged.join(longer, ["lang", "phrase"], "left").filter(
         F.col("longer_a").isNull() | (100 * F.col("longer_a") < covered_percent * F.col("a")))
-    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top).join(
-        totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # The limit stands right on the row number: so Spark keeps `top` rows of a language per task before they are sent on.
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang").select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
