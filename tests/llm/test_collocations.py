@@ -132,12 +132,6 @@ def test_against_brute_force(spark, limits):
         assert sorted(map(tuple, got.collect())) == brute(rows, least, percent, top)
 
 
-def test_no_task_ranks_all_phrases_of_a_language(spark):
-    docs = spark.createDataFrame([(1, "en", "a b c")], "doc_id long, lang string, text string")
-    plan = op.collocations(docs, 1)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "row_number" in plan
-
-
 def test_empty_tables_and_large_products(spark):
     docs = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert op.collocations(docs).collect() == []

@@ -26,8 +26,8 @@ SHARD_BYTES, PENDING, RANGE = 4_000_000, 800_000, 500_000
 FAN, AIM, SAMPLES = 1_024, 800_000, 32
 #: Rows (on average) from which the first borders are drawn: one n-gram in SPARSE of theirs, at most SAMPLED per task and language.
 SAMPLE_ROWS, SPARSE, SAMPLED = 2_000, 16, 4_096
-#: Counts that one lookup task holds.
-LOOKED_UP = 50_000
+#: Counts that one lookup task holds; parts in which the phrases of a language are ranked first.
+LOOKED_UP, RANKED_PARTS = 50_000, 32
 #: Borders that are broadcast; more are joined.
 BROADCAST_BORDERS = 200_000
 MOST_LEVELS = 12
@@ -612,6 +612,9 @@ def collocations(
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     kept = judged.join(longer, ["lang", "phrase"], "left").filter(
         F.col("longer_a").isNull() | (100 * F.col("longer_a") < covered_percent * F.col("a")))
-    # The limit stands right on the row number: so Spark keeps `top` rows of a language per task before they are sent on.
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang").select(
+    # The first of each part of a language, then the first of all: no task ranks all phrases of a language.
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)))
+    first = kept.withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
