@@ -496,9 +496,11 @@ def count_ngrams(
 
     Rows have range, lang, total (occurrences of words in the range, rare ones included) and the transducer.
     """
-    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut, finished = count_shards(docs, first_borders(docs, aim), shard_bytes), None
+    least_spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = first_borders(docs, aim)
+    cut, finished, parts = count_shards(docs, borders, shard_bytes), None, sum(len(b) + 1 for b in borders.values())
     for level in range(MOST_LEVELS):
+        spread = max(1, least_spread, parts // 2)  # a task holds about two ranges, however many there are
         united = shelf.keep(
             cut.select("range", "lang", "machine").repartition(spread, "range", "lang")
             .sortWithinPartitions("range", "lang").mapInArrow(
@@ -511,8 +513,8 @@ def count_ngrams(
         if open_.isEmpty():
             return finished
         borders = shelf.keep(_borders(open_, aim), f"borders-{level}")
-        few = borders.agg(F.coalesce(F.sum(F.size("borders") + 1), F.lit(0))).first()[0] <= BROADCAST_BORDERS
-        cut = open_.join(F.broadcast(borders) if few else borders, ["range", "lang"]).select(
+        parts = borders.agg(F.coalesce(F.sum(F.size("borders") + 1), F.lit(0))).first()[0]
+        cut = open_.join(F.broadcast(borders) if parts <= BROADCAST_BORDERS else borders, ["range", "lang"]).select(
             "range", "lang", "borders", "machine").mapInArrow(_split, SHARD_TYPE)
     raise RuntimeError("some n-grams could not be told apart by ranges")
 
