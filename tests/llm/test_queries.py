@@ -40,3 +40,12 @@ def test_columns_and_rows(spark, name):
     frame = queries.queries()[name](spark, str(FOLDER))
     assert ", ".join(f"{n} {t}" for n, t in frame.dtypes) == COLUMNS[name]
     assert frame.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_spelling_columns_and_words(spark):
+    frame = queries.op12_spelling(spark, str(FOLDER))
+    assert dict(frame.dtypes) == {"word": "string", "n": "bigint", "form": "string", "form_n": "bigint",
+                                  "n_near": "bigint", "root": "string"}
+    rows = frame.collect()
+    assert len({r["word"] for r in rows}) == len(rows) > 0
+    assert all(r["n"] >= 5 and len(r["word"]) >= 6 and (r["form"] is None) == (r["root"] == r["word"]) for r in rows)
