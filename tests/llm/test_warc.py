@@ -44,6 +44,23 @@ def test_archives_are_gzip_members_that_offsets_find(spark, tmp_path):
         assert gzip.decompress(content).count(record) >= 1
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(i, f"http://a.com/{i}", "".join(draw.choices("abcdefgh", k=draw.choice([10, 4_000, 30_000])))) for i in range(120)]
+    path = str(tmp_path / "archives")
+    op.write_archives(frame(spark, rows), path, archive_bytes=20_000)
+    captures = op.read_archives(spark, path).collect()
+    assert sorted(r["page_id"] for r in captures) == list(range(120))
+    files = {}
+    for r in captures:
+        files.setdefault(r["file"], []).append((r["offset"], r["length"]))
+    assert len(files) > 10
+    for lengths in files.values():
+        assert sum(n for _, n in sorted(lengths)[:-1]) <= 20_000
+    op.write_archives(frame(spark, []), path + "-none")
+    assert op.read_archives(spark, path + "-none").collect() == []
+
+
 def test_damage_is_noticed():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nHTTP\r\n\r\nx\r\n\r\n"
     assert op.parse(record)[2] == b"x"

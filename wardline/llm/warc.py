@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,8 +23,8 @@ from wardline.llm.common import Shelf
 
 #: Payloads from this size on are revisited.
 LEAST_REVISIT = 1000
-#: Bounds of an archive file and of an owner task's range.
-RECORDS_PER_FILE, CAPTURES_PER_RANGE = 4_000, 50_000
+#: An archive file ends with the record that reaches so many bytes, gzipped; captures of an owner task's range.
+ARCHIVE_BYTES, CAPTURES_PER_RANGE = 32 << 20, 50_000
 CRLF = "\r\n"
 GZIP, READ_AT_ONCE = 31, 1 << 16
 CAPTURE = ("urlkey string, timestamp string, page_id {id}, record_type string, payload_digest string, "
@@ -86,22 +87,32 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [member(x + b"\r\n\r\n") for x in batch.column("record").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+def _members(archive_bytes: int):
+    """Gzip members of records, and the number of the archive of this task that each goes to."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            packed = [member(x.as_py() + b"\r\n\r\n") for x in batch.column("record")]
+            begins = before + np.cumsum([0, *map(len, packed)], dtype=np.int64)
+            before = int(begins[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(packed, pa.binary()), pa.array(begins[:-1] // archive_bytes)], ["member", "lot"])
+
+    return pack
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write pages as archive files under `path`, through Spark's writer, so any file system that Spark writes serves.
 
     Its text format writes the bytes of a string as they are. It wants something between two rows, which is
-    an empty gzip member: readers of gzip pass over it.
+    an empty gzip member: readers of gzip pass over it. A task begins a file in a new folder `lot=…` after
+    `archive_bytes`, so a file has at most that and one record, however large or many the pages are.
     """
     (records(with_revisits(pages, least)).select(F.col("record").cast("binary").alias("record"))
-     .mapInArrow(_members, "member binary").select(F.col("member").cast("string")).write
+     .mapInArrow(_members(archive_bytes), "member binary, lot long").select(F.col("member").cast("string"), "lot").write
      .option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("ISO-8859-1"))
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .partitionBy("lot").text(path))
 
 
 def url_key(url: str) -> str:
