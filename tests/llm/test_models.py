@@ -140,6 +140,23 @@ def test_blocked_chains_equal_plain_forward_backward():
     assert got[-1].tolist() == got[-2].tolist() == [0, 0, 0]
 
 
+def test_many_labels_take_little_memory():
+    import tracemalloc
+    random_ = np.random.default_rng(6)
+    k = 150
+    model = language.Field([f"l{i:03}" for i in range(k)], random_.normal(size=(k, k)),
+                           random_.normal(size=(language.FEATURES, k)), {})
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdef") for _ in range(4)) for _ in range(500)]
+    texts = [" ".join(draw.choices(words, k=n)) for n in [200] * 500 + [6_000]]
+    model.posteriors(texts[:1])
+    tracemalloc.start()
+    got = model.posteriors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got.sum(axis=1), 1) and peak < 500e6
+
+
 def test_features_are_the_marked_ngrams_and_affixes():
     owner, number = language.features(["ab", "abcdef"], {"ab": 3})
     count = lambda w: int((owner == w).sum())

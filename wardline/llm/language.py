@@ -30,7 +30,9 @@ FEATURES, LEXICON_TEXTS = 1 << 16, 3
 #: Training chains: lengths of the stretches that are strung together, and of a chain.
 STRETCH, CHAIN = 40, 240
 ROUNDS, RATE, PENALTY = 50, 0.15, 1e-6
-BLOCK, WORDS_AT_ONCE, REMEMBERED = 64, 400_000, 400_000
+#: Words of a block, at least so many times the labels; words of a pass, and words times labels of a pass.
+BLOCK, BLOCK_LABELS, WORDS_AT_ONCE, NUMBERS_AT_ONCE = 64, 16, 400_000, 6_000_000
+REMEMBERED = 400_000
 SEED = 29
 
 
@@ -121,10 +123,10 @@ class Field:
         chains = [np.fromiter(map(self._at.__getitem__, t), np.int64, len(t)) for t in tokens]
         chains = [c[c > 0] for c in chains]
         result = np.zeros((len(texts), len(self.labels)))
-        at = 0
+        at, most = 0, min(WORDS_AT_ONCE, NUMBERS_AT_ONCE // max(len(self.labels), 1))
         while at < len(chains):
             end, total = at, 0
-            while end < len(chains) and (end == at or total + len(chains[end]) <= WORDS_AT_ONCE):
+            while end < len(chains) and (end == at or total + len(chains[end]) <= most):
                 total, end = total + len(chains[end]), end + 1
             if total:
                 result[at:end] = self._sums(chains[at:end])
@@ -132,31 +134,39 @@ class Field:
         return result / np.maximum([[len(c)] for c in chains], 1)
 
     def _sums(self, chains: list[np.ndarray]) -> np.ndarray:
+        """Sums over the words of each chain. Only chains of several blocks need a matrix for each block, and blocks
+        are longer with many labels, so that matrices stay few against the words."""
         lengths = np.array([len(c) for c in chains])
         emit = self._table[np.concatenate(chains)]
         move = np.exp(self.transitions - self.transitions.max())
-        k, n_blocks = len(self.labels), -(-lengths // BLOCK)
+        k = len(self.labels)
+        block = max(BLOCK, BLOCK_LABELS * k)
+        n_blocks = -(-lengths // block)
         # Blocks in descending length, so those that still have a word at a step come first.
         owner = np.repeat(np.arange(len(chains)), n_blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-        start = np.repeat(np.cumsum(lengths) - lengths, n_blocks) + nth * BLOCK
-        size = np.minimum(BLOCK, np.repeat(lengths, n_blocks) - nth * BLOCK)
+        start = np.repeat(np.cumsum(lengths) - lengths, n_blocks) + nth * block
+        size = np.minimum(block, np.repeat(lengths, n_blocks) - nth * block)
         order = np.argsort(-size, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         start, size, owner, nth = start[order], size[order], owner[order], nth[order]
-        live = [int(np.searchsorted(-size, -s, "left")) for s in range(BLOCK)]  # blocks longer than s
+        live = np.searchsorted(-size, -np.arange(block), "left")  # blocks longer than s
 
         def unit(x):
             return x / x.max(axis=-1, keepdims=True)
 
         # Across each block: weights after its last word, for each label before its first.
-        across = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
-        for s in range(BLOCK):
-            m = live[s]
+        joined = np.flatnonzero(n_blocks[owner] > 1)
+        slot = np.full(len(order), -1)
+        slot[joined] = np.arange(len(joined))
+        starts, longer = start[joined], np.searchsorted(-size[joined], -np.arange(block), "left")
+        across = np.broadcast_to(np.eye(k), (len(joined), k, k)).copy()
+        for s in range(block):
+            m = longer[s]
             if not m:
                 break
-            step = (across[:m].reshape(-1, k) @ move).reshape(m, k, k) * emit[start[:m] + s][:, None, :]
+            step = (across[:m].reshape(-1, k) @ move).reshape(m, k, k) * emit[starts[:m] + s][:, None, :]
             across[:m] = step / step.max(axis=(1, 2), keepdims=True)
         # Along the blocks of each text, forwards and backwards.
         ahead, behind = np.ones((len(order), k)), np.ones((len(order), k))
@@ -164,15 +174,15 @@ class Field:
         for i in range(1, int(n_blocks.max())):
             texts = np.flatnonzero(n_blocks > i)
             now, before = place[base[texts] + i], place[base[texts] + i - 1]
-            ahead[now] = unit(np.einsum("nk,nkj->nj", ahead[before], across[before]))
+            ahead[now] = unit(np.einsum("nk,nkj->nj", ahead[before], across[slot[before]]))
             texts = np.flatnonzero(n_blocks > i)
             now = place[base[texts] + n_blocks[texts] - 1 - i]
             after = place[base[texts] + n_blocks[texts] - i]
-            behind[now] = unit(np.einsum("nkj,nj->nk", across[after], behind[after]))
+            behind[now] = unit(np.einsum("nkj,nj->nk", across[slot[after]], behind[after]))
         # Within the blocks, all at once.
         forward = []
         state = ahead
-        for s in range(BLOCK):
+        for s in range(block):
             m = live[s]
             if not m:
                 break
