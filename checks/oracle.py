@@ -509,6 +509,13 @@ def oracle_sql() -> dict[str, str]:
         "network_membership": _with() + f"""SELECT src <> 0 AND {LAN.format('src')} AS subject,
             {EXTERNAL.format('dst')} AS outside, coalesce({LAN_TEXT.format('cli_ip')}, false) AS local_text,
             count(*) AS flows FROM flows GROUP BY ALL""",
+        "network_table": _with() + """, nets AS (SELECT DISTINCT 20 + c_custkey % 13 AS bits,
+              (CAST(167772160 + c_custkey AS BIGINT) >> (12 - c_custkey % 13)) << (12 - c_custkey % 13) AS lo FROM customer),
+            hosts AS (SELECT src, count(*) AS n FROM flows GROUP BY src),
+            tagged AS (SELECT h.src, any_value(h.n) AS n, arg_max(concat(lo >> 24, '.', (lo >> 16) & 255, '.',
+              (lo >> 8) & 255, '.', lo & 255, '/', bits), bits) FILTER (lo IS NOT NULL) AS network
+              FROM hosts h LEFT JOIN nets ON h.src BETWEEN lo AND lo + (1 << (32 - bits)) - 1 GROUP BY h.src)
+            SELECT network, count(*) AS hosts, CAST(sum(n) AS BIGINT) AS flows FROM tagged GROUP BY network""",
         "address_conversion": _with() + """SELECT src AS address, src_ip AS text,
             CASE WHEN cli_ip LIKE '%:%' THEN NULL ELSE src END AS parsed, count(*) AS flows FROM flows GROUP BY ALL""",
         "time_categories": _with() + f"""SELECT isodow(first_seen)::INTEGER AS giorno, hour(first_seen)::INTEGER AS ora,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wardline.functions import ip, payload, risk, text, timewin
 from wardline.inputs import MetricInputs
-from wardline.operators import baseline, flow_metrics, replay, verdicts
+from wardline.operators import baseline, flow_metrics, networks, replay, verdicts
 from wardline.operators.novelty import service_novelty
 from wardline.params import RiskParams
 from wardline.plans import commits, first_seen, item_hours, profile, registry, run, scoring
@@ -315,6 +315,18 @@ def network_membership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def network_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The most specific network of each flow's source and the flows of each; one network per customer, of 20 to 32 bits."""
+    bits = "20 + c_custkey % 13"
+    first = "shiftleft(shiftright(167772160 + c_custkey, 12 - c_custkey % 13), 12 - c_custkey % 13)"
+    text = spark.read.parquet(f"{folder}/customer.parquet").select(
+        F.expr(first).alias("first"), F.expr(bits).alias("bits")).select(
+        F.concat_ws("/", ip.ipv4_to_string("first"), F.col("bits").cast("string")).alias("network"))
+    rows = tables(spark, folder).flows.groupBy(F.col("IPV4_SRC_ADDR").alias("src")).agg(F.count("*").alias("flows"))
+    tagged = networks.with_network(rows, "src", networks.network_keys(text))
+    return tagged.groupBy("network").agg(F.count("*").alias("hosts"), F.sum("flows").alias("flows"))
+
+
 def address_conversion(spark: SparkSession, folder: str) -> DataFrame:
     address = "IPV4_SRC_ADDR"
     return _counted(
@@ -525,6 +537,7 @@ def queries() -> dict[str, Query]:
         "flow_alerts_view": flow_alerts_view,
         "host_alerts_scan": host_alerts_scan,
         "network_membership": network_membership,
+        "network_table": network_table,
         "address_conversion": address_conversion,
         "time_categories": time_categories,
         "time_windows": time_windows,
