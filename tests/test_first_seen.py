@@ -100,6 +100,26 @@ def test_only_the_current_window_of_flows_is_read(flows, spark, tmp_path):
     assert found(op.novelty_from_sightings(recent, path, p, *COLUMNS)) == found(frame)
 
 
+def test_storing_a_window_reads_its_flows_once(flows, spark, tmp_path):
+    read, path = spark.sparkContext.accumulator(0), str(tmp_path / "seen")
+    end = int(REF.timestamp())
+    window = (end - 2 * DAY, end)
+    rows = in_windows(flows, "ts", window).collect()
+
+    def noted(row):
+        read.add(1)
+        return row
+
+    counted = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(noted), flows.schema)
+    for _ in range(2):  # the second replaces the first
+        op.add_sightings(counted, path, window, *COLUMNS)
+    assert read.value == 2 * len(rows)
+    seen = [r for r in rows if r["port"] is not None]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/hosts").select("host", "first_seen", "last_seen").collect()) == sorted(
+        (h, min(r["ts"] for r in seen if r["host"] == h), max(r["ts"] for r in seen if r["host"] == h))
+        for h in {r["host"] for r in seen})
+
+
 def test_filter_loses_no_key_and_is_bounded(spark):
     keys = spark.range(5000).selectExpr("id AS host", "CAST(id % 7 AS INT) AS item")
     words = op.bloom_words(keys, "host", "item", bits=1 << 12)

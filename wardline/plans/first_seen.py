@@ -12,6 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions.timewin import HOUR, current_window, history_window, in_windows, instant, merged
 from wardline.params import RiskParams
@@ -25,11 +26,14 @@ def _seen(rows: DataFrame, first: str, last: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(first).alias("first_seen"), F.max(last).alias("last_seen"))
 
 
-def _write(pairs: DataFrame, hosts: DataFrame, path: str, window: tuple[int, int]) -> None:
+def _write(pairs: DataFrame, hosts: DataFrame | None, path: str, window: tuple[int, int]) -> None:
     start, end = window
     covers = pairs.sparkSession.range(1).selectExpr(
         f"{instant(start)} AS covers_from", f"{instant(end)} AS covers_until")
     for name, rows in (("pairs", pairs), ("hosts", hosts), ("covers", covers)):  # what it covers is said last
+        if rows is None:  # the hosts follow from the pairs just stored, without another pass over the rows
+            kept = pairs.sparkSession.read.schema(T.StructType([*pairs.schema, T.StructField("delta", T.StringType())]))
+            rows = _seen(kept.parquet(f"{path}/pairs").filter(F.col("delta") == f"{start}-{end}"), "first_seen", "last_seen", "host")
         (
             rows.withColumns({"until": F.expr(f"to_date({instant(end - 1)})"), "delta": F.lit(f"{start}-{end}")})
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -44,7 +48,7 @@ def add_sightings(rows: DataFrame, path: str, window: tuple[int, int], host: str
     rows = in_windows(rows, ts, window).filter(F.col(item).isNotNull()).select(
         F.col(host).alias("host"), F.col(item).alias("item"), F.col(ts).alias("at"))
     pairs = _seen(rows, "at", "at", "host", "item")
-    _write(pairs, _seen(pairs, "first_seen", "last_seen", "host"), path, window)
+    _write(pairs, None, path, window)
 
 
 def _covers(spark: SparkSession, path: str) -> list[tuple[int, int, str, str]]:
