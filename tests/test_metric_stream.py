@@ -134,3 +134,20 @@ def test_another_checkpoint_is_refused_and_streams_add_up(spark, tmp_path):
     run("two", stream="second")
     (row,) = op.closed_windows(spark, op.HOST_ALERTS, path, PARAMS)["M_srv"].collect()
     assert row["hits_totali"] == 4 and op.late_rows(spark, path).collect() == []
+
+
+def test_a_batch_writes_a_few_files_a_day_whatever_the_tasks(spark, tmp_path):
+    arrivals, days, hosts = Arrivals(spark, tmp_path / "in", schemas.HOST_ALERTS), 3, 200
+    arrivals.add([(f"10.0.0.{h}", START + timedelta(days=d, minutes=h), 29, '{"port":%d}' % h)
+                  for d in range(days) for h in range(hosts)] + [("10.0.0.1", START + timedelta(days=days), 29, "{}")])
+    path, tasks = tmp_path / "table", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        op.stream_family(arrivals.stream(), op.HOST_ALERTS, str(path), str(tmp_path / "progress"), PARAMS).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    written = [sum(1 for _ in day.rglob("*.parquet")) for day in path.glob("kind=closed/dt=*")]
+    assert len(written) == days and max(written) <= op.FILES_A_DAY
+    assert all(sum(1 for _ in day.rglob("*.parquet")) == 1 for day in path.glob("kind=arrived/dt=*"))
+    ports = op.closed_windows(spark, op.HOST_ALERTS, str(path), PARAMS)["M_srv"]
+    assert ports.agg(F.sum("hits_totali")).first()[0] == days * hosts and op.late_rows(spark, str(path)).collect() == []

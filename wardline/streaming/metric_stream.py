@@ -24,6 +24,10 @@ from wardline.sources.tables import path_exists
 from wardline.streaming.profile_stream import require_known_batches
 
 
+#: Files that a batch writes of a day of closed windows, at most; of its arrivals it writes one.
+FILES_A_DAY = 16
+
+
 @dataclass(frozen=True)
 class Family:
     """Metrics that share rows: which rows count, under which keys, and how verdicts follow from the counts."""
@@ -78,8 +82,11 @@ def stream_family(rows: DataFrame, family: Family, path: str, checkpoint: str, p
         # Arrivals are one row per window and task before they are sent on; closed groups are few by then.
         shape = [c for c in batch.columns if c != "n_rows"]
         summed = batch.groupBy(*shape).agg(F.sum("n_rows").alias("n_rows"))
+        # A day is dealt to a few tasks by host and window; else every task of the shuffle writes a file of each day.
+        part = F.when(F.col("kind") == "closed", F.pmod(F.xxhash64("host_ip", "ref"), F.lit(FILES_A_DAY)))
         (
             summed.withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id), "dt": F.to_date("ref")})
+            .repartition("kind", "dt", part)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("kind", "dt", "stream", "batch").parquet(path)
         )
